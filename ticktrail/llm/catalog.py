@@ -5,6 +5,7 @@ from __future__ import annotations
 from .language import op7_language
 from .line_dedup import OP6_SQL, op6_line_dedup
 from .mixing import op1_mixing
+from .ngram_join import op2_ngram_join
 from .packing import op3_packing
 from .quality_cnn import op5_quality
 from .quality_rules import OP8_SQL, op8_quality_rules
@@ -14,6 +15,7 @@ from .url_filter import OP10_SQL, op10_url_filter
 
 QUERIES = {
     "op1_mixing": op1_mixing,
+    "op2_ngram_join": op2_ngram_join,
     "op3_packing": op3_packing,
     "op4_toxicity": op4_toxicity,
     "op5_quality": op5_quality,
