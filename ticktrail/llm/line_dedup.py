@@ -71,7 +71,7 @@ def _with_dropped(docs: DataFrame, min_chars: int, min_docs: int) -> DataFrame:
 def split_kept(text: bytes, dropped, min_chars: int) -> tuple[list[bytes], int]:
     """Kept lines and the number of all lines."""
     lines = text.split(b"\n")
-    if not dropped:
+    if dropped is None or not len(dropped):
         return lines, len(lines)
     gone = set(dropped)
     return [x for x in lines if line_hash(x, min_chars) not in gone], len(lines)
