@@ -14,7 +14,7 @@ CASTAGNOLI = 0x82F63B78
 
 
 def splitmix(x) -> np.ndarray:
-    x = np.asarray(x, np.uint64) + np.uint64(GAMMA)
+    x = np.atleast_1d(np.asarray(x, np.uint64)) + np.uint64(GAMMA)  # arrays wrap in silence
     for shift, by in ((30, MIX_A), (27, MIX_B)):
         x = (x ^ (x >> np.uint64(shift))) * np.uint64(by)
     return x ^ (x >> np.uint64(31))

@@ -1 +1,89 @@
-"""Pending."""
+"""Lineage, watermarks, manifests and statistics."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..operators import lake as L
+from ..operators.replay import positions
+from .base import query, raw, table
+from .quality_plans import QUAL
+from .replay_plans import POS_SQL
+
+
+@query("lineage_summary", f"SELECT stream, seq // 2000 AS file_no, min(seq) AS min_cursor, max(seq) AS max_cursor, count(*) AS rows, bit_or({QUAL}) AS quality_union FROM raw GROUP BY ALL")
+def _(spark, sf):
+    return L.lineage(raw(spark, sf).withColumn("q", F.expr(QUAL)).withColumn("file_no", F.expr("seq div 2000")), ["stream", "file_no"], "seq", "q")
+
+
+@query("input_identity", "SELECT instrument_id, sha256(string_agg(stream || ':' || seq, ',' ORDER BY seq)) AS input_identity_hash FROM raw WHERE kind = 'signup' GROUP BY instrument_id")
+def _(spark, sf):
+    d = raw(spark, sf).where("kind = 'signup'").groupBy("instrument_id").agg(F.array_sort(F.collect_list(F.struct("seq", "stream"))).alias("e"))
+    return d.select("instrument_id", F.sha2(F.array_join(F.transform("e", lambda x: F.concat_ws(":", x["stream"], x["seq"])), ","), 256).alias("input_identity_hash"))
+
+
+@query("durability_barrier", POS_SQL + ", d AS (SELECT stream, max(end_pos) FILTER (WHERE seq % 16 = 0) AS durable FROM placed GROUP BY stream), w AS (SELECT stream, seq // 500 AS wm, max(end_pos) AS consumed FROM placed GROUP BY ALL) SELECT wm, bool_and(consumed <= durable) AS may_checkpoint, count(*) AS inputs FROM w JOIN d USING (stream) GROUP BY wm")
+def _(spark, sf):
+    p = positions(raw(spark, sf))
+    d = p.where("seq % 16 = 0").groupBy("stream").agg(F.max("end_pos").alias("durable"))
+    w = p.groupBy("stream", F.expr("seq div 500").alias("wm")).agg(F.max("end_pos").alias("consumed"))
+    return w.join(F.broadcast(d), "stream").groupBy("wm").agg(F.bool_and(F.col("consumed") <= F.col("durable")).alias("may_checkpoint"), F.count("*").alias("inputs"))
+
+
+@query("retention_plan", "SELECT seq // 1000 AS segment, bool_and(qty < 100) AND count(*) > 0 AND min(price) >= 0 AND bool_or(kind = 'view') AND max(seq) < 9000 AND count(*) FILTER (WHERE kind = 'signup') > 0 AS may_delete FROM raw GROUP BY 1")
+def _(spark, sf):
+    c = F.bool_and(F.col("qty") < 100) & (F.count("*") > 0) & (F.min("price") >= 0) & F.bool_or(F.col("kind") == "view") & (F.max("seq") < 9000) & (F.count_if(F.col("kind") == "signup") > 0)
+    return raw(spark, sf).groupBy(F.expr("seq div 1000").alias("segment")).agg(c.alias("may_delete"))
+
+
+@query("feed_statistics", "SELECT count(*) FILTER (WHERE kind <> 'error') AS delivered, count(*) FILTER (WHERE kind = 'error') AS errors, count(*) FILTER (WHERE qty = 0) AS filtered, count(*) FILTER (WHERE qty > 95) AS dropped, max(price) AS high_water, count(DISTINCT instrument_id) AS active FROM raw")
+def _(spark, sf):
+    k = F.col("kind")
+    return raw(spark, sf).agg(F.count_if(k != "error").alias("delivered"), F.count_if(k == "error").alias("errors"), F.count_if(F.col("qty") == 0).alias("filtered"), F.count_if(F.col("qty") > 95).alias("dropped"), F.max("price").alias("high_water"), F.countDistinct("instrument_id").alias("active"))
+
+
+@query("service_counts", "SELECT stream, kind, count(*) AS messages, CAST(sum(body) AS BIGINT) AS bytes FROM raw GROUP BY ALL")
+def _(spark, sf):
+    return raw(spark, sf).groupBy("stream", "kind").agg(F.count("*").alias("messages"), F.sum("body").alias("bytes"))
+
+
+@query("capture_reconciliation", POS_SQL + " SELECT stream, count(*) AS callback_records, count(*) FILTER (WHERE seq % 100 <> 99) AS append_records, count(*) FILTER (WHERE seq % 100 < 90) AS durable_records, CAST(sum(size) AS BIGINT) AS callback_bytes, CAST(sum(size) FILTER (WHERE seq % 100 < 90) AS BIGINT) AS durable_bytes FROM placed GROUP BY stream")
+def _(spark, sf):
+    s = F.col("seq") % 100
+    return positions(raw(spark, sf)).groupBy("stream").agg(F.count("*").alias("callback_records"), F.count_if(s != 99).alias("append_records"), F.count_if(s < 90).alias("durable_records"), F.sum("size").alias("callback_bytes"), F.sum(F.when(s < 90, F.col("size"))).alias("durable_bytes"))
+
+
+@query("latency_histogram", "SELECT CASE WHEN price < 100 THEN 0 WHEN price < 1000 THEN 1 WHEN price < 2000 THEN 2 WHEN price < 5000 THEN 3 ELSE 4 END AS bucket, count(*) AS n FROM raw GROUP BY 1")
+def _(spark, sf):
+    p = F.col("price")
+    return raw(spark, sf).groupBy(F.when(p < 100, 0).when(p < 1000, 1).when(p < 2000, 2).when(p < 5000, 3).otherwise(4).alias("bucket")).agg(F.count("*").alias("n"))
+
+
+@query("synthetic_universe", """WITH u AS (
+  SELECT 101 AS service_id, CAST(600000 + i AS VARCHAR) AS security_id, 10000 + (i * 7919 % 19000) * 10 AS reference_price_milli, 10 AS tick_size_milli, 100 AS lot_size, false AS option FROM range(3000) r(i)
+  UNION ALL SELECT 102, lpad(CAST(i + 1 AS VARCHAR), 6, '0'), 10000 + (i * 7877 % 19000) * 10, 10, 100, false FROM range(2000) r(i)
+  UNION ALL SELECT 103, 'D' || lpad(CAST(i AS VARCHAR), 4, '0'), 500000 + (i * 12347 % 45000) * 100, 100, 1, i % 2 = 1 FROM range(320) r(i))
+SELECT * FROM u""", with_raw=False)
+def _(spark, sf):
+    from ..sources.synth import universe
+
+    return universe(spark, 3000, 2000, 320)
+
+
+@query("synthetic_ticks")
+def _(spark, sf):
+    from ..sources.synth import generate, universe
+
+    return generate(universe(spark, 20, 10, 4), 50, seed=5)
+
+
+@query("service_metrics", "SELECT kind, 'records_total{kind=\"' || kind || '\"} ' || count(*) AS line FROM raw GROUP BY kind")
+def _(spark, sf):
+    return raw(spark, sf).groupBy("kind").agg(F.count("*").alias("n")).select("kind", F.concat(F.lit('records_total{kind="'), "kind", F.lit('"} '), "n").alias("line"))
+
+
+@query("segment_manifest", "SELECT seq // 1000 AS segment, '{\"segment\":\"' || (seq // 1000) || '\",\"records\":\"' || count(*) || '\",\"first_seq\":\"' || min(seq) || '\"}' AS manifest FROM raw GROUP BY 1")
+def _(spark, sf):
+    g = raw(spark, sf).groupBy(F.expr("seq div 1000").alias("segment")).agg(F.count("*").alias("n"), F.min("seq").alias("f"))
+    body = F.to_json(F.struct(F.col("segment").cast("string").alias("segment"), F.col("n").cast("string").alias("records"), F.col("f").cast("string").alias("first_seq")))
+    return g.select("segment", body.alias("manifest"))

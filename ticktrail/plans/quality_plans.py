@@ -1 +1,125 @@
-"""Pending."""
+"""Sequence guard, quality bits and duplicates."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..functions.bits import BIT, QUALITY_BITS, masks_pass
+from ..functions.bits import names as bit_names
+from ..operators.control import sequence_guard
+from ..operators.ordered import prefix
+from .base import query, raw, table
+
+COLS = ["l_partkey", "l_suppkey", "cents", "qty", "ship"]
+GUARD = """WITH l AS (SELECT l_orderkey AS scope, CAST(l_linenumber AS BIGINT) AS s, l_partkey, l_suppkey, CAST(round(l_extendedprice * 100) AS BIGINT) AS cents, CAST(l_quantity AS BIGINT) AS qty, epoch_us(l_shipdate) AS ship FROM lineitem),
+o AS (SELECT *, row_number() OVER (PARTITION BY scope ORDER BY ship, l_partkey, l_suppkey, cents, qty, s) AS i FROM l),
+g AS (SELECT *, l_suppkey AS p, max(s) OVER (PARTITION BY scope ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS top,
+  first_value(l_suppkey) OVER (PARTITION BY scope, s ORDER BY i) AS fp, row_number() OVER (PARTITION BY scope, s ORDER BY i) AS n FROM o),
+v AS (SELECT *, CASE WHEN top IS NULL THEN 'FIRST_OBSERVED' WHEN n > 1 AND p = fp THEN 'EXACT_DUPLICATE' WHEN n > 1 THEN 'CONFLICT_DUPLICATE' WHEN s = top + 1 THEN 'CONTIGUOUS' WHEN s > top + 1 THEN 'FORWARD_GAP' ELSE 'BACKWARD' END AS verdict FROM g),
+z AS (SELECT *, CASE WHEN verdict = 'FORWARD_GAP' THEN s - top - 1 ELSE 0 END AS missing, max((verdict IN ('CONFLICT_DUPLICATE', 'BACKWARD'))::INT) OVER (PARTITION BY scope ORDER BY i) = 1 AS poisoned FROM v)"""
+
+
+def _guard(spark, sf):
+    from ..functions.clock import micros
+
+    li = table(spark, sf, "lineitem").select(
+        F.col("l_orderkey").alias("scope"), F.col("l_linenumber").cast("long").alias("s"), "l_partkey", "l_suppkey",
+        F.round(F.col("l_extendedprice") * 100).cast("long").alias("cents"), F.col("l_quantity").cast("long").alias("qty"), micros(F.col("l_shipdate")).alias("ship"),
+    )
+    return sequence_guard(li, ["scope"], ["ship", "l_partkey", "l_suppkey", "cents", "qty", "s"], "s", F.col("l_suppkey"))
+
+
+@query("seq_guard", GUARD + " SELECT scope, s, l_partkey, verdict, missing, poisoned FROM z", with_raw=False)
+def _(spark, sf):
+    return _guard(spark, sf).select("scope", "s", "l_partkey", "verdict", "missing", "poisoned")
+
+
+@query("seq_gaps", GUARD + " SELECT scope, count(*) FILTER (WHERE missing > 0) AS gaps, CAST(sum(missing) AS BIGINT) AS missing FROM z GROUP BY scope", with_raw=False)
+def _(spark, sf):
+    return _guard(spark, sf).groupBy("scope").agg(F.count_if(F.col("missing") > 0).alias("gaps"), F.sum("missing").alias("missing"))
+
+
+@query("poisoned_scopes", GUARD + " SELECT verdict, count(*) AS rows, count(*) FILTER (WHERE poisoned) AS poisoned_rows, count(DISTINCT scope) AS scopes FROM z GROUP BY verdict", with_raw=False)
+def _(spark, sf):
+    return _guard(spark, sf).groupBy("verdict").agg(F.count("*").alias("rows"), F.count_if("poisoned").alias("poisoned_rows"), F.countDistinct("scope").alias("scopes"))
+
+
+QUAL = "CAST((CASE WHEN kind = 'error' THEN {a} ELSE 0 END) + (CASE WHEN qty = 0 THEN {b} ELSE 0 END) + (CASE WHEN price < 100 THEN {c} ELSE 0 END) + (CASE WHEN seq % 50 = 0 THEN {d} ELSE 0 END) AS BIGINT)".format(a=BIT["SOURCE_DISCONNECTED"], b=BIT["NULL_VALUE_PRESENT"], c=BIT["SNAPSHOT_STALE"], d=BIT["VENDOR_SEQUENCE_GAP"])
+NAMES = " ".join(f"WHEN {i} THEN '{n}'" for i, n in enumerate(QUALITY_BITS))
+
+
+@query("quality_bits", f"SELECT seq, {QUAL} AS quality, CAST(bit_count({QUAL}) AS INTEGER) AS bits FROM raw")
+def _(spark, sf):
+    return raw(spark, sf).select("seq", F.expr(QUAL).alias("quality"), F.bit_count(F.expr(QUAL)).alias("bits"))
+
+
+@query("quality_summary", f"q AS (SELECT stream, {QUAL} AS quality FROM raw), b AS (SELECT stream, CASE i {NAMES} END AS flag FROM q, range(36) r(i) WHERE (quality >> CAST(i AS INT)) & 1 = 1) SELECT stream, flag, count(*) AS rows FROM b GROUP BY ALL")
+def _(spark, sf):
+    d = raw(spark, sf).select("stream", F.explode(bit_names(F.expr(QUAL))).alias("flag"))
+    return d.groupBy("stream", "flag").agg(F.count("*").alias("rows"))
+
+
+@query("quality_masks", f"SELECT seq FROM raw WHERE (qty & 3) = 3 AND ({QUAL} & {BIT['SOURCE_DISCONNECTED'] | BIT['SNAPSHOT_STALE']}) = 0")
+def _(spark, sf):
+    return raw(spark, sf).where(masks_pass(F.col("qty"), 3, F.expr(QUAL), BIT["SOURCE_DISCONNECTED"] | BIT["SNAPSHOT_STALE"])).select("seq")
+
+
+@query("invalid_reasons", "SELECT CASE WHEN qty = 0 THEN 'EMPTY' WHEN price % 17 = 0 THEN 'OFFSET' WHEN price % 13 = 0 THEN 'TEXT' ELSE 'NONE' END AS reason, count(*) AS rows FROM raw GROUP BY 1")
+def _(spark, sf):
+    r = F.when(F.col("qty") == 0, "EMPTY").when(F.col("price") % 17 == 0, "OFFSET").when(F.col("price") % 13 == 0, "TEXT").otherwise("NONE")
+    return raw(spark, sf).groupBy(r.alias("reason")).agg(F.count("*").alias("rows"))
+
+
+@query("dedupe_canonical", "SELECT l_orderkey, l_linenumber, min(l_partkey) AS l_partkey, count(*) AS copies FROM lineitem GROUP BY 1, 2", with_raw=False)
+def _(spark, sf):
+    return table(spark, sf, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.min("l_partkey").alias("l_partkey"), F.count("*").alias("copies"))
+
+
+@query("hot_cold_merge", "h AS (SELECT seq, price, 0 AS tier FROM raw WHERE seq >= 3000 UNION ALL SELECT seq, price + 1, 1 FROM raw WHERE seq < 4000) SELECT seq, arg_min(price, tier) AS price, CAST(min(tier) AS INTEGER) AS tier, count(*) AS copies FROM h GROUP BY seq")
+def _(spark, sf):
+    d = raw(spark, sf)
+    both = d.where("seq >= 3000").select("seq", "price", F.lit(0).alias("tier")).unionByName(d.where("seq < 4000").select("seq", (F.col("price") + 1).alias("price"), F.lit(1).alias("tier")))
+    return both.groupBy("seq").agg(F.min_by("price", "tier").alias("price"), F.min("tier").alias("tier"), F.count("*").alias("copies"))
+
+
+@query("reconcile", """WITH b AS (SELECT o_orderkey, CASE WHEN o_orderkey % 11 = 0 THEN o_orderstatus || '?' ELSE o_orderstatus END AS st, o_orderpriority AS pr, o_custkey % 8 AS channel FROM orders WHERE o_orderkey % 13 <> 0),
+j AS (SELECT o.o_custkey % 8 AS channel, b.o_orderkey IS NOT NULL AS hit, b.st IS DISTINCT FROM o.o_orderstatus AS d1, b.pr IS DISTINCT FROM o.o_orderpriority AS d2 FROM orders o LEFT JOIN b USING (o_orderkey))
+SELECT channel, count(*) AS capture_rows, count(*) FILTER (WHERE hit) AS backup_matches, count(*) FILTER (WHERE NOT hit) AS missing_rows, 2 * count(*) FILTER (WHERE hit) AS fields_compared,
+  count(*) FILTER (WHERE hit AND (d1 OR d2)) AS differing_rows, CASE WHEN count(*) FILTER (WHERE NOT hit) = 0 AND count(*) FILTER (WHERE hit AND (d1 OR d2)) = 0 THEN 'PASS' ELSE 'FAIL' END AS result FROM j GROUP BY channel""", with_raw=False)
+def _(spark, sf):
+    from ..operators.lake import reconcile
+
+    o = table(spark, sf, "orders").select("o_orderkey", (F.col("o_custkey") % 8).alias("channel"), F.col("o_orderstatus").alias("st"), F.col("o_orderpriority").alias("pr"))
+    b = o.where("o_orderkey % 13 <> 0").withColumn("st", F.when(F.col("o_orderkey") % 11 == 0, F.concat("st", F.lit("?"))).otherwise(F.col("st"))).drop("channel")
+    return reconcile(o, b, ["o_orderkey"], ["st", "pr"], "channel")
+
+
+@query("idempotent_publish", "k AS (SELECT instrument_id, qty, count(*) AS n, count(DISTINCT price) AS versions FROM raw GROUP BY ALL) SELECT instrument_id, qty, n AS offers, CASE WHEN versions > 1 THEN 'CONFLICT' WHEN n > 1 THEN 'DUPLICATE' ELSE 'PUBLISHED' END AS outcome FROM k")
+def _(spark, sf):
+    g = raw(spark, sf).groupBy("instrument_id", "qty").agg(F.count("*").alias("offers"), F.countDistinct("price").alias("v"))
+    return g.select("instrument_id", "qty", "offers", F.when(F.col("v") > 1, "CONFLICT").when(F.col("offers") > 1, "DUPLICATE").otherwise("PUBLISHED").alias("outcome"))
+
+
+@query("distinct_parents", "SELECT stream, qty AS occurrence, count(*) AS locators FROM raw GROUP BY ALL HAVING count(*) > 1")
+def _(spark, sf):
+    return raw(spark, sf).groupBy("stream", F.col("qty").alias("occurrence")).agg(F.count("*").alias("locators")).where("locators > 1")
+
+
+@query("parent_lineage", "SELECT c.seq AS child_seq, p.seq AS parent_seq, p.price FROM raw c JOIN raw p ON c.stream = p.stream AND p.seq = c.seq - 4 * (c.qty % 3) WHERE c.kind = 'purchase'")
+def _(spark, sf):
+    d = raw(spark, sf)
+    c = d.where("kind = 'purchase'").select("stream", F.col("seq").alias("child_seq"), F.expr("seq - 4 * (qty % 3)").alias("parent_seq"))
+    return c.join(d.select("stream", F.col("seq").alias("parent_seq"), "price"), ["stream", "parent_seq"]).select("child_seq", "parent_seq", "price")
+
+
+@query("queue_high_water", "q AS (SELECT stream, sum(CASE WHEN kind IN ('click', 'view') THEN 1 WHEN kind IN ('purchase', 'error') THEN -1 ELSE 0 END) OVER (PARTITION BY stream ORDER BY seq) AS depth FROM raw) SELECT stream, CAST(max(depth) AS BIGINT) AS high_water FROM q GROUP BY stream")
+def _(spark, sf):
+    step = F.when(F.col("kind").isin("click", "view"), 1).when(F.col("kind").isin("purchase", "error"), -1).otherwise(0).cast("long")
+    return prefix(raw(spark, sf), ["stream"], "seq", {"depth": ("sum", step)}).groupBy("stream").agg(F.max("depth").alias("high_water"))
+
+
+@query("faulted_replay")
+def _(spark, sf):
+    from ..sources.faults import FaultRule, transform
+
+    return transform(raw(spark, sf).select("seq", "stream", "price"), ["stream"], "seq", "price", FaultRule(seed=7, drop_one_in=9, duplicate_one_in=11, copies=2, mutate_one_in=5, xor_mask=3, reorder_window=16))
