@@ -221,29 +221,18 @@ def mix_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     """Pipeline stage: the documents as the mix takes them. A document appears once for each epoch that
     takes some of its words, with those words (joined by a space where only parts are taken, verbatim
     where all are). Columns stay as they are; n_chars follows the text. Documents without words go."""
-    keyed = written(docs.withColumn("__row", F.concat_ws("-", F.spark_partition_id(), F.monotonically_increasing_id())), "to-mix")
+    keyed = written(docs.withColumn("__row", F.monotonically_increasing_id()), "to-mix")
     sized = written(keyed.select("doc_id", "source", size_of(F.col("text")).alias("size"), "__row"), "sizes")
     m = mix(sized)
     parts = m.taken.groupBy("__row", "epoch").agg(
         F.sum("n").alias("__n"), F.first("size").alias("__size"), F.array_sort(F.collect_list(F.struct("from", "n"))).alias("__parts")
     )
     both = keyed.join(parts, "__row")
-
-    @F.pandas_udf("string")
-    def cut(text, size, parts):
-        import pandas as pd
-
-        out = []
-        for t, s, ps in zip(text, size, parts):
-            if sum(x["n"] for x in ps) == s:
-                out.append(t)
-                continue
-            words = t.encode().split()
-            out.append(b" ".join(b" ".join(words[x["from"] : x["from"] + x["n"]]) for x in ps).decode())
-        return pd.Series(out)
-
-    small_batches(spark)
-    out = both.withColumn("text", cut(F.coalesce("text", F.lit("")), F.col("__size"), F.col("__parts")))
+    words = F.regexp_extract_all("text", F.lit(f"({WORD})"), F.lit(1))
+    # The outer transform binds the words once, however many parts a long text has.
+    part = lambda w: F.transform("__parts", lambda x: F.slice(w, (x["from"] + 1).cast("int"), x["n"].cast("int")))
+    some = F.transform(F.array(words), lambda w: F.array_join(F.flatten(part(w)), " "))[0]
+    out = both.withColumn("text", F.when(F.col("__n") == F.col("__size"), F.col("text")).otherwise(some))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
     return out.select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -59,7 +59,7 @@ class _Words(dict):
     """64-bit hashes of words, kept while they fit."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 1_000_000:
+        if len(self) > 250_000:
             self.clear()
         v = self[word] = xxhash.xxh3_64_intdigest(word)
         return v

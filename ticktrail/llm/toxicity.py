@@ -71,7 +71,7 @@ class LinearModel:
         weights, bias = self.weights, self.bias
 
         def score(text: bytes) -> float:
-            if len(known) > 400_000:
+            if len(known) > 250_000:
                 known.clear()
             total = bias
             for w in set(text.split()):
