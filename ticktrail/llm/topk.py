@@ -207,7 +207,7 @@ def search(vectors: DataFrame, is_query: Column, params: TopKParams | None = Non
     def queries_of(batches):
         for batch in batches:
             for row in batch.to_pylist():
-                ids, x = np.frombuffer(row["ids"], np.int64), np.frombuffer(row["values"], np.int32).reshape(-1, row["dim"])
+                ids, x = np.frombuffer(row["ids"], np.int64), np.frombuffer(row["values"], np.int32).reshape(row["n"], row["dim"])
                 at = np.flatnonzero(np.frombuffer(row["queries"], bool))
                 for c, i in enumerate(range(0, len(at), p.query_block)):
                     a = at[i : i + p.query_block]
@@ -227,9 +227,10 @@ def search(vectors: DataFrame, is_query: Column, params: TopKParams | None = Non
                 ids, null = np.frombuffer(row["ids"], np.int64), np.frombuffer(row["nulls"], bool)
                 block = held[1] if held[0] == row["block"] else SlicedBlock(x, p.drop)
                 held = (row["block"], block)
-                qs = np.frombuffer(row["q"], np.int32).reshape(-1, row["dim"]).astype(np.int64)
+                asked_at = np.frombuffer(row["qat"], np.int32)
+                qs = np.frombuffer(row["q"], np.int32).reshape(len(asked_at), row["dim"]).astype(np.int64)
                 out = {"qrow": [], "query_id": [], "vec_id": [], "score": []}
-                for q, at, qid in zip(qs, np.frombuffer(row["qat"], np.int32), np.frombuffer(row["qids"], np.int64)):
+                for q, at, qid in zip(qs, asked_at, np.frombuffer(row["qids"], np.int64)):
                     own = int(at) if row["qhome"] == row["block"] else None
                     rows, score = block.top(q, p.k, own)
                     best = np.lexsort((ids[rows], null[rows], -score))[: p.k]

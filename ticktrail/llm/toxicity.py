@@ -39,9 +39,10 @@ class ToxicityParams:
     epochs: int = 15
     batch: int = 256
     rate: float = 0.25
-    l2: float = 1e-6
+    l2: float = 1e-4
     ratio: float = 2.0
-    support: int = 5
+    support: int = 3
+    z: float = 4.0
     seed: int = 11
 
 
@@ -123,13 +124,15 @@ def fit_nnpu(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: fl
     return LinearModel(w.astype(np.float32), float(b))
 
 
-def telling(positive: list[np.ndarray], unlabelled: list[np.ndarray], ratio: float, support: int) -> np.ndarray:
-    """Which features are ``ratio`` times as frequent among positives and have support there; the rest are
-    noise that a positive-unlabelled fit learns by heart."""
+def telling(positive: list[np.ndarray], unlabelled: list[np.ndarray], p: ToxicityParams) -> np.ndarray:
+    """Features that are ``ratio`` times as frequent among positives, ``z`` standard deviations above chance
+    and in ``support`` positives; the rest are noise that a positive-unlabelled fit learns by heart."""
     count = lambda rows: np.bincount(np.concatenate(rows) if rows else np.empty(0, np.int64), minlength=1 << BITS)
-    p, u = count(positive), count(unlabelled)
-    support = max(2, min(support, len(positive) // 20))
-    return (p >= support) & ((p + 0.5) * len(unlabelled) > ratio * (u + 0.5) * len(positive))
+    pos, unl, n_p, n_u = count(positive), count(unlabelled), len(positive), len(unlabelled)
+    share = n_p / max(1, n_p + n_u)
+    chance = (pos + unl) * share
+    far = pos - chance >= p.z * np.sqrt(chance * (1 - share))
+    return far & (pos >= p.support) & ((pos + 0.5) * n_u > p.ratio * (unl + 0.5) * n_p)
 
 
 def calibrated(model: LinearModel, unlabelled: list[np.ndarray], share: float) -> LinearModel:
@@ -167,7 +170,7 @@ def train(docs: DataFrame, labels: DataFrame, params: ToxicityParams | None = No
     rows = [flat[off[i] : off[i + 1]] for i in order]
     y = y[order]
     positive, unlabelled = [r for r, v in zip(rows, y) if v], [r for r, v in zip(rows, y) if not v]
-    ok = telling(positive, unlabelled, p.ratio, p.support)
+    ok = telling(positive, unlabelled, p)
     positive, unlabelled = [r[ok[r]] for r in positive], [r[ok[r]] for r in unlabelled]
     model = fit_nnpu(positive, unlabelled, prior, p)
     if not positive or not unlabelled:
