@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 from .common import by_batch, hash_sample, label_ids, remainder, small_batches, table, utf8
 
 BITS = 18
+MASK = (1 << BITS) - 1
 PREFIXES = (4, 5, 7)
 STRIP = b".,;:!?\"'()[]{}*#$%&|<>-_"
 
@@ -46,19 +47,24 @@ class ToxicityParams:
     seed: int = 11
 
 
-def word_features(word: bytes) -> np.ndarray:
+def word_features(word: bytes) -> set[int]:
     """Hashed indices of a word and its beginnings, by code points."""
-    w = word.strip(STRIP).lower()
-    if not w:
-        return np.empty(0, np.int32)
-    s = w.decode("utf-8", "replace").lower()
-    keys = [b"w" + s.encode()] + [b"p" + s[:k].encode() for k in PREFIXES if len(s) >= k]
-    return np.unique(np.array([xxhash.xxh3_64_intdigest(k) & ((1 << BITS) - 1) for k in keys], np.int32))
+    s = word.strip(STRIP).decode("utf-8", "replace").lower()
+    if not s:
+        return set()
+    out = {xxhash.xxh3_64_intdigest("w" + s) & MASK}
+    for k in PREFIXES:
+        if len(s) < k:
+            break
+        out.add(xxhash.xxh3_64_intdigest("p" + s[:k]) & MASK)
+    return out
 
 
 def features(text: bytes) -> np.ndarray:
-    words = set(text.split())
-    return np.unique(np.concatenate([word_features(w) for w in words])) if words else np.empty(0, np.int32)
+    found: set[int] = set()
+    for w in set(text.split()):
+        found |= word_features(w)
+    return np.array(sorted(found), np.int32)
 
 
 @dataclass
@@ -69,7 +75,8 @@ class LinearModel:
     def scorer(self):
         """A function of a text; a word's sum of weights is looked up once and kept while it fits."""
         known: dict[bytes, float] = {}
-        weights, bias = self.weights, self.bias
+        at = np.flatnonzero(self.weights)
+        weights, bias = dict(zip(at.tolist(), self.weights[at].tolist())), self.bias
 
         def score(text: bytes) -> float:
             if len(known) > 250_000:
@@ -78,7 +85,7 @@ class LinearModel:
             for w in set(text.split()):
                 v = known.get(w)
                 if v is None:
-                    v = known[w] = float(weights[word_features(w)].sum())
+                    v = known[w] = sum(weights.get(i, 0.0) for i in word_features(w))
                 total += v
             return 1.0 / (1.0 + np.exp(-min(max(total, -30.0), 30.0)))
 
