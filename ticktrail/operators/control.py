@@ -12,49 +12,71 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.bits import flag, union
+from .lineage import cut
 from .ordered import prefix
 
 SUCCESS, FAILURE, DISCONNECTED, DECODE_ERROR, SUBSCRIPTION = "LOGON_SUCCESS", "LOGON_FAILURE", "DISCONNECTED", "DECODE_ERROR", "SUBSCRIPTION"
 
 
-def session(df: DataFrame, keys: Sequence[str] = ("stream",), order: str = "seq", kind: str = "ctype", address: str = "address") -> DataFrame:
-    """df plus poisoned, connection_epoch, logged_in, disconnected, switched and quality."""
+def control_states(ctl: DataFrame, keys: Sequence[str], order: str, kind: str, address: str, mask: str | None = None) -> DataFrame:
+    """keys, order and __state, a struct, for each control row. ctl is read several times: hand in a cut table.
+
+    A logon replaces the subscription mask, a subscription answer adds to it while logged in, and the
+    subscription epoch moves only when the mask changed."""
     k = F.col(kind)
-    d = prefix(df, keys, order, {"__bad": ("max", F.when(k == DECODE_ERROR, 1).otherwise(0))}, inclusive=True)
-    d = d.withColumn("poisoned", F.col("__bad") == 1).drop("__bad")
-    live = ~F.col("poisoned")
+    d = prefix(ctl, keys, order, {"__bad": ("max", F.when(k == DECODE_ERROR, 1).otherwise(0)), "__run": ("sum", F.when(k.isin(SUCCESS, FAILURE), 1).otherwise(0).cast("long"))})
+    live = F.col("__bad") == 0
     ok = live & (k == SUCCESS)
     d = prefix(d, keys, order, {"__before": ("last", F.when(ok, F.col(address)))}, inclusive=False)
     login = F.when(k == DECODE_ERROR, 0).when(~live, None).when(k == SUCCESS, 1).when(k.isin(FAILURE, DISCONNECTED), 0)
     window = F.when(~live, None).when(k == SUCCESS, 0).when(k == DISCONNECTED, 1)
     switch = F.when(ok, (F.col("__before").isNotNull() & (F.col("__before") != F.col(address))).cast("int"))
-    d = prefix(d, keys, order, {"connection_epoch": ("sum", F.when(ok, 1).otherwise(0).cast("long")), "__login": ("last", login), "__window": ("last", window), "__switch": ("last", switch)})
-    d = d.withColumn("logged_in", F.coalesce(F.col("__login") == 1, F.lit(False)))
-    d = d.withColumn("disconnected", F.coalesce(F.col("__window") == 1, F.lit(False)))
-    d = d.withColumn("switched", F.coalesce(F.col("__switch") == 1, F.lit(False)))
+    d = prefix(d, keys, order, {"__epoch": ("sum", F.when(ok, 1).otherwise(0).cast("long")), "__login": ("last", login), "__window": ("last", window), "__switch": ("last", switch)})
+    fields = [
+        (F.col("__bad") == 1).alias("poisoned"), F.col("__epoch").alias("connection_epoch"), (F.coalesce("__login", F.lit(0)) == 1).alias("logged_in"),
+        (F.coalesce("__window", F.lit(0)) == 1).alias("disconnected"), (F.coalesce("__switch", F.lit(0)) == 1).alias("switched"), F.col("__run").alias("logon_run"),
+    ]
+    if mask:
+        d = cut(d, "control")
+        adds = ok | (live & (k == SUBSCRIPTION) & (F.coalesce("__login", F.lit(0)) == 1))
+        d = prefix(d, [*keys, "__epoch"], order, {"__sum": ("bit_or", F.when(adds, F.col(mask)))}).withColumn("__now", F.when(adds, F.col("__sum")))
+        d = prefix(d, keys, order, {"__was": ("last", F.col("__now"))}, inclusive=False)
+        moved = F.col("__now").isNotNull() & ~F.col("__now").eqNullSafe(F.col("__was"))
+        d = prefix(d.withColumn("__moved", moved.cast("long")), keys, order, {"__sepoch": ("sum", F.col("__moved")), "__mask": ("last", F.col("__now"))})
+        fields += [F.col("__sepoch").alias("subscription_epoch"), F.col("__mask").alias("effective_mask"), (moved & F.col("__was").isNotNull()).alias("changed")]
+    return d.select(*keys, order, F.struct(*fields, F.col(order).alias("at")).alias("__state"))
+
+
+def carry(df: DataFrame, states: DataFrame, keys: Sequence[str], order: str) -> DataFrame:
+    """df plus __now, the __state at or before each row: one running last value over the union."""
+    kind = states.schema["__state"].dataType
+    both = df.withColumn("__state", F.lit(None).cast(kind)).withColumn("__at", F.col(order) * 2 + 1)
+    both = both.unionByName(states.withColumn("__at", F.col(order) * 2).drop(order), allowMissingColumns=True)
+    return prefix(both, keys, "__at", {"__now": ("last", F.col("__state"))}).where(F.col("__at") % 2 == 1).drop("__state", "__at")
+
+
+def session(df: DataFrame, keys: Sequence[str] = ("stream",), order: str = "seq", kind: str = "ctype", address: str = "address", mask: Column | None = None) -> DataFrame:
+    """df plus poisoned, connection_epoch, logged_in, disconnected, switched, logon_run and quality; with a
+    mask (of the keys that a control row answers for) also subscription_epoch, effective_mask and
+    subscription_changed. The state machine runs over the few control rows alone."""
+    extra = [] if mask is None else [mask.cast("long").alias("__m")]
+    ctl = cut(df.where(F.col(kind).isNotNull()).select(*keys, order, kind, address, *extra), "control")
+    d = carry(df, cut(control_states(ctl, keys, order, kind, address, "__m" if extra else None), "states"), keys, order)
+    zero = F.lit(0).cast("long")
+    first = {"poisoned": F.lit(False), "connection_epoch": zero, "logged_in": F.lit(False), "disconnected": F.lit(False), "switched": F.lit(False), "logon_run": zero}
+    d = d.withColumns({n: F.coalesce(F.col(f"__now.{n}"), v) for n, v in first.items()})
+    if extra:
+        own = (F.col("__now.at") == F.col(order)) & F.col("__now.changed")
+        d = d.withColumns({"subscription_epoch": F.coalesce("__now.subscription_epoch", zero), "effective_mask": F.col("__now.effective_mask"), "subscription_changed": F.coalesce(own, F.lit(False))})
     unknown = ~F.col("logged_in")
     quality = union(flag("SESSION_UNKNOWN", unknown), flag("SOURCE_DISCONNECTED", unknown & F.col("disconnected")), flag("CONNECTION_SWITCHED", F.col("switched")))
-    return d.withColumn("quality", quality).drop("__before", "__login", "__window", "__switch")
-
-
-def subscription_epochs(df: DataFrame, mask: Column, keys: Sequence[str] = ("stream",), order: str = "seq") -> DataFrame:
-    """df (with session columns) plus effective_mask and subscription_epoch. A logon replaces the mask, a
-    subscription answer adds to it while logged in, and the epoch moves only when the mask changed."""
-    k = F.col("ctype")
-    ok = ~F.col("poisoned") & (k == SUCCESS)
-    add = ok | (~F.col("poisoned") & (k == SUBSCRIPTION) & F.col("logged_in"))
-    d = prefix(df, [*keys, "connection_epoch"], order, {"__mask": ("bit_or", F.when(add, mask))})
-    d = d.withColumn("__now", F.when(add, F.col("__mask")))
-    d = prefix(d, keys, order, {"__was": ("last", F.col("__now"))}, inclusive=False)
-    moved = F.col("__now").isNotNull() & ~F.col("__now").eqNullSafe(F.col("__was"))
-    d = prefix(d.withColumn("__moved", moved.cast("long")), keys, order, {"subscription_epoch": ("sum", F.col("__moved")), "effective_mask": ("last", F.col("__now"))})
-    return d.withColumn("subscription_changed", F.col("__moved").eqNullSafe(1) & F.col("__was").isNotNull()).drop("__mask", "__now", "__was", "__moved")
+    return d.drop("__now").withColumn("quality", quality)
 
 
 def first_seen(df: DataFrame, bit: Column, market: Column, keys: Sequence[str] = ("stream",), order: str = "seq") -> DataFrame:
-    """df plus seen_mask: required keys seen since the last logon answer, while logged in."""
-    d = prefix(df, keys, order, {"__run": ("sum", F.when(F.col("ctype").isin(SUCCESS, FAILURE), 1).otherwise(0).cast("long"))})
-    return prefix(d, [*keys, "__run"], order, {"seen_mask": ("bit_or", F.when(market & F.col("logged_in") & ~F.col("poisoned"), bit).otherwise(F.lit(0).cast("long")))}).drop("__run")
+    """df (with session columns) plus seen_mask: required keys seen since the last logon answer, while logged in."""
+    value = F.when(market & F.col("logged_in") & ~F.col("poisoned"), bit).otherwise(F.lit(0).cast("long"))
+    return prefix(df, [*keys, "logon_run"], order, {"seen_mask": ("bit_or", value)})
 
 
 #: Refusals in the order in which they are checked; the first that applies is the reason.

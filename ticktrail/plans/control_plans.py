@@ -28,8 +28,8 @@ def _control(spark, sf):
     return raw(spark, sf).withColumn("address", F.expr("seq % 3")).withColumn("ctype", kind)
 
 
-def _session(spark, sf):
-    return C.session(_control(spark, sf))
+def _session(spark, sf, mask=None):
+    return C.session(_control(spark, sf), mask=mask)
 
 
 @query("session_attribution", SES + f""" SELECT seq, stream, connection_epoch, logged_in,
@@ -84,7 +84,7 @@ sub AS (SELECT *, CAST(sum((now IS NOT NULL AND now IS DISTINCT FROM was)::INT)
 
 @query("subscription_epochs", SUB + " SELECT seq, stream, subscription_epoch, CAST(effective_mask AS BIGINT) AS effective_mask, subscription_changed FROM sub")
 def _(spark, sf):
-    d = C.subscription_epochs(_session(spark, sf), F.expr("shiftleft(1L, int(qty % 6))"))
+    d = _session(spark, sf, F.expr("shiftleft(1L, int(qty % 6))"))
     return d.select("seq", "stream", "subscription_epoch", "effective_mask", "subscription_changed")
 
 
