@@ -198,3 +198,42 @@ def test_history_layout(spark, tmp_path):
     lake.write_history(d, str(tmp_path / "h"), ["trade_date", "kind"], ["recv_ns", "seq"], buckets=4)
     back = spark.read.parquet(str(tmp_path / "h"))
     assert back.count() == d.count() and {"trade_date", "kind", "bucket"} <= set(back.columns)
+
+
+def test_bounded_reads(spark):
+    from ticktrail.functions import decode
+
+    data = [bytes([1, 2, 3, 4, 255, 255, 255, 255, 255, 255, 255, 255]), b"\x01", b"", None]
+    got = spark.createDataFrame([(i, b) for i, b in enumerate(data)], "i int, b binary").select(
+        "i", decode.read_uint(F.col("b"), 0, 2).alias("a"), decode.read_uint(F.col("b"), 4, 8).alias("c")
+    ).orderBy("i").collect()
+    assert [r.a and int(r.a) for r in got] == [513, None, None, None] and [r.c and int(r.c) for r in got] == [2**64 - 1, None, None, None]
+    word = lambda at, n: at.to_bytes(4, "little") + n.to_bytes(4, "little")
+    cases = {word(8, 3) + b"abc": (b"abc", None, False), word(5, 0): (b"", None, True), word(0, 0): (b"", None, False), word(4, 2) + b"xx": (None, "OVERLAP", False), word(8, 9) + b"x": (None, "OUT_OF_BOUNDS", False), b"xx": (None, "TRUNCATED", False)}
+    rows = spark.createDataFrame([(b,) for b in cases], "b binary").select("b", decode.read_text(F.col("b"), 0).alias("t")).collect()
+    for r in rows:
+        v, e, flagged = cases[bytes(r.b)]
+        assert (None if r.t.value is None else bytes(r.t.value)) == v and r.t.error == e and r.t.empty_offset == flagged
+    assert decode.list_at(word(8, 2) + b"abcd", 0, 2, 5, 0) == ([b"ab", b"cd"], None) and decode.list_at(word(8, 6), 0, 1, 5, 0)[1] == "TOO_MANY"
+    assert spark.createDataFrame([(word(8, 2) + b"abcd",)], "b binary").select(decode.read_list(F.col("b"), 0, 2, 5)["items"].alias("x")).first().x == [b"ab", b"cd"]
+
+
+def test_feed_config_and_clock():
+    from ticktrail.functions.clock import advance
+    from ticktrail.sources.catalogs import CATALOG, FeedConfig
+
+    assert FeedConfig().validate() == "" and sum(map(len, CATALOG.values())) == 28
+    for bad in ({"book_depth": 0}, {"orders_per_level": 101}, {"min_step_ms": 9, "max_step_ms": 1}, {"start_date": 20230229}, {"start_date": 20240302}, {"start_time": 120000000}, {"shanghai": -1}, {"shanghai": 0, "shenzhen": 0, "derivatives_per_market": 0}):
+        assert FeedConfig(**bad).validate()
+    assert advance(41_400_000, 0, 1) == (46_800_000, 0) and advance(53_999_999, 0, 2) == (34_200_000, 1) and advance(53_999_999, 0, 1) == (54_000_000, 0)
+
+
+def test_replay_cli(spark, tmp_path, capsys):
+    from ticktrail import replay_cli
+
+    rec = segment(tmp_path)
+    assert replay_cli.main([str(tmp_path), "--message", "1", "--sequence", "102", "112"]) == 0
+    lines = capsys.readouterr().out.strip().split("\n")
+    assert len(lines) == sum(x.message == 1 and 102 <= x.sequence < 112 for x in rec) and all(x.startswith("record\t") for x in lines)
+    replay_cli.main([str(tmp_path), "--out", str(tmp_path / "o")])
+    assert spark.read.text(str(tmp_path / "o")).count() == len(rec)

@@ -60,3 +60,15 @@ def weekday(date: Column) -> Column:
 def next_trading_day(date: Column) -> Column:
     """The next weekday; no holidays."""
     return F.date_add(date, F.when(weekday(date) == 5, 3).when(weekday(date) == 6, 2).otherwise(1))
+
+
+OPEN, MORNING_CLOSE, AFTERNOON_OPEN, CLOSE = 34_200_000, 41_400_000, 46_800_000, 54_000_000
+
+
+def advance(ms: int, days: int, step: int) -> tuple[int, int]:
+    """The next event time after ``step`` milliseconds and the trading days passed: past the close the next
+    day's opening, inside the midday pause its end. A recurrence: walk it within one instrument."""
+    if step > CLOSE - min(ms, CLOSE):
+        return OPEN, days + 1
+    ms += step
+    return (AFTERNOON_OPEN if MORNING_CLOSE < ms < AFTERNOON_OPEN else ms), days

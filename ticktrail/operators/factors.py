@@ -49,6 +49,17 @@ class FactorSpec:
         return hashlib.sha256(self.canonical().encode()).hexdigest()
 
 
+def run_factor(df: DataFrame, spec: FactorSpec, keys: Sequence[str], at: str, inputs: str) -> DataFrame:
+    """spec.apply's column value, valid and identity per row: valid needs warmup inside the window, the
+    required validity bits and no forbidden quality bit. A value that is null is never valid."""
+    from ..functions.bits import masks_pass
+
+    w = sliding(keys, at, spec.window_ns)
+    d = spec.apply(df).withColumn("__n", F.count(inputs).over(w))
+    ok = (F.col("__n") >= spec.min_rows) & F.col("value").isNotNull() & masks_pass(F.col("validity"), spec.required_validity, F.col("quality"), spec.forbidden_quality)
+    return d.withColumn("valid", ok).withColumn("input_spec", F.lit(spec.identity)).drop("__n")
+
+
 def ewma(df: DataFrame, keys: Sequence[str], order: str, value: str, alpha: float) -> DataFrame:
     """Exponentially weighted mean: a recurrence, walked per key (an instrument's day)."""
 
