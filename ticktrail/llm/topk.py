@@ -243,7 +243,8 @@ def search(vectors: DataFrame, is_query: Column, params: TopKParams | None = Non
     farrow = pa.schema([("qrow", pa.string()), ("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.int64())])
     # Blocks of rows with blocks of queries of their length: each pair is one row of work. The few, small
     # query blocks are dealt to the row blocks by length.
-    local = _pairs(built, asked).mapInArrow(find, "qrow string, query_id long, vec_id long, score long")
+    local = written(_pairs(built, asked).mapInArrow(find, "qrow string, query_id long, vec_id long, score long"), "block-tops")
+    small_batches(vectors.sparkSession)
     order = Window.partitionBy("qrow").orderBy(F.desc("score"), F.col("vec_id").asc_nulls_last())
     best = local.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= p.k)
     return best.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
