@@ -103,8 +103,8 @@ def classes_of(ids, links):
     return {i: find(i) for i in ids}
 
 
-@pytest.mark.parametrize("chunk", [768, 3])
-def test_join_against_brute_force(spark, chunk):
+@pytest.mark.parametrize("chunk, loose", [(768, 2.0), (3, 2.0), (3, 0.0)])  # 0: every group of several blocks is split
+def test_join_against_brute_force(spark, chunk, loose):
     d = sf_docs(spark).select("doc_id", "text")
     rows = [(r.doc_id, r.text) for r in d.collect()]
     base = " ".join(f"w{i}" for i in range(200)).split()
@@ -114,7 +114,7 @@ def test_join_against_brute_force(spark, chunk):
         rows.append((10_000 + k, " ".join(w)))
     rows += [(20_000, "a b"), (20_001, "a b"), (20_002, None), (20_003, ""), (20_004, "a b c")]
     links = brute_links(rows)
-    got = {r.id: r for r in ngram_join.join_ngrams(spark.createDataFrame(rows, "doc_id long, text string"), params=ngram_join.JoinParams(chunk=chunk)).collect()}
+    got = {r.id: r for r in ngram_join.join_ngrams(spark.createDataFrame(rows, "doc_id long, text string"), params=ngram_join.JoinParams(chunk=chunk, loose=loose)).collect()}
     n = Counter(x for pair in links for x in pair)
     assert {i: got[i].n_links for i, _ in rows} == {i: n[i] for i, _ in rows}
     assert {i: got[i].class_id for i, _ in rows} == classes_of([i for i, _ in rows], links)

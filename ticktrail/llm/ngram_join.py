@@ -11,7 +11,9 @@
 4. A candidate group is compared exactly, all nodes with all, in blocks of about ``chunk`` nodes by
    ``chunk``. A block's intersections are matrix products; it returns one row per node (its links) and a
    spanning forest, not pairs. So no link inside a candidate group is lost, at the cost of shingle sets
-   being copied once for every ``chunk`` nodes of their group.
+   being copied once for every ``chunk`` nodes of their group. A group of several blocks that is loose - its
+   nodes hang together by chains, and the tries' own groups hold fewer than 1/``loose`` of its pairs - is
+   compared within those groups instead; a pair that meets in several trees is counted in the first.
 5. Links join nodes to classes.
 
 Documents without words link to nothing and are classes of their own; null texts likewise. Rows that
@@ -44,6 +46,7 @@ class JoinParams:
     longest: int = 8
     recall: float = 0.999
     chunk: int = 768
+    loose: float = 2.0
     seed: int = 17
 
     @property
@@ -167,8 +170,9 @@ def forest_of(linked: np.ndarray) -> np.ndarray:
         label = new
 
 
-def compare_block(nodes: list[bytes], chunks: list[int], copies: list[int], sets: list[np.ndarray], i: int, j: int, t: float):
-    """(node, links, root) for the nodes of a block that have links: within chunk i, or between i and j."""
+def compare_block(nodes: list[bytes], chunks: list[int], copies: list[int], sets: list[np.ndarray], i: int, j: int, t: float, tree: int = -1, prefixes=None):
+    """(node, links, root) for the nodes of a block that have links: within chunk i, or between i and j. In a
+    trie's group, links of nodes that meet in an earlier tree too are left to that one."""
     order = np.argsort(chunks, kind="stable") if i != j else np.arange(len(nodes))
     first = [k for k in order if chunks[k] == i]
     second = [k for k in order if chunks[k] == j] if i != j else first
@@ -176,6 +180,10 @@ def compare_block(nodes: list[bytes], chunks: list[int], copies: list[int], sets
     if not first or not second or len(at) < 2:
         return []
     got = links_between([sets[k] for k in first], [sets[k] for k in second], t)
+    if tree > 0:
+        one, two = np.array([prefixes[k][:tree] for k in first]), np.array([prefixes[k][:tree] for k in second])
+        for k in range(tree):
+            got &= one[:, None, k] != two[None, :, k]
     if i == j:
         np.fill_diagonal(got, False)
         full = got
@@ -188,38 +196,62 @@ def compare_block(nodes: list[bytes], chunks: list[int], copies: list[int], sets
     return [(nodes[k], int(w), nodes[at[r]]) for k, w, r in zip(at, weight, root) if w]
 
 
+def members(nodes: DataFrame, groups: DataFrame, p: JoinParams) -> DataFrame:
+    """(node, rep0, copies, prefixes, spots): where each node is compared. A candidate group is one place, unless
+    chains of prefixes made it so loose that its tries' own groups hold fewer pairs than the whole: then a
+    node has a spot in each of those (at most one a tree), and its prefixes go along."""
+    sizes = groups.groupBy("root").agg(F.count("*").alias("n"))
+    d = written(groups.join(sizes, "root").join(nodes.select("node", F.col("rep").alias("rep0"), "copies", "prefixes"), "node"), "members")
+    large = d.where(F.col("n") > p.chunk)
+    tries = large.select("root", "n", "node", F.posexplode("prefixes").alias("tree", "prefix"))
+    met = tries.groupBy("root", "n", "tree", "prefix").agg(F.count("*").alias("m")).where("m > 1")
+    pairs = met.groupBy("root", "n").agg(F.sum(F.col("m").cast("double") * F.col("m")).alias("pairs"))
+    loose = written(pairs.where(F.col("pairs") * p.loose < F.col("n").cast("double") * F.col("n")).select("root"), "loose-groups")
+
+    def spot(grp, tree, n):
+        chunks = (F.floor((n + (p.chunk - 1)) / p.chunk)).cast("int")
+        return F.struct(grp.alias("grp"), tree.alias("tree"), F.pmod(F.xxhash64("node"), chunks).cast("int").alias("chunk"), chunks.alias("chunks"))
+
+    whole = d.join(loose, "root", "left_anti").select(
+        "node", "rep0", "copies", F.lit(None).cast("array<long>").alias("prefixes"), F.array(spot(F.col("root"), F.lit(-1), F.col("n"))).alias("spots")
+    )
+    name = F.concat(F.col("root"), F.concat_ws(":", "tree", "prefix").cast("binary"))
+    spots = tries.join(loose, "root", "left_semi").join(met, ["root", "n", "tree", "prefix"]).select("node", spot(name, F.col("tree"), F.col("m")).alias("s"))
+    spots = spots.groupBy("node").agg(F.collect_list("s").alias("spots"))
+    apart = large.join(spots, "node").select("node", "rep0", "copies", "prefixes", "spots")
+    return whole.unionByName(apart)
+
+
 def compared(docs: DataFrame, key: str, nodes: DataFrame, groups: DataFrame, p: JoinParams) -> DataFrame:
     """(node, links, root, alone): links counts documents; alone marks groups of one block, whose root is final."""
-    sizes = groups.groupBy("root").agg(F.count("*").alias("n"))
-    members = groups.join(sizes, "root").join(nodes.select("node", "rep", "copies"), "node")
-    chunks = F.expr(f"int((n + {p.chunk} - 1) div {p.chunk})")
-    members = members.select("node", "rep", "copies", F.col("root").alias("grp"), chunks.alias("chunks"))
-    members = members.withColumn("chunk", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int"))
     texts = docs.select(F.col(key).alias("rep"), utf8().alias("text"))
     # The texts move once, by id; null ids meet null ids (repeated ids are told apart by the set's hash).
-    both = members.withColumnRenamed("rep", "rep0").join(texts, F.col("rep0").eqNullSafe(F.col("rep")))
+    both = members(nodes, groups, p).join(texts, F.col("rep0").eqNullSafe(F.col("rep")))
 
     def cut(batch):
         s = [shingles(t, p.words) for t in batch.column("text").to_pylist()]
         ok = [set_hash(x) == n for x, n in zip(s, batch.column("node").to_pylist())]
-        out = {c: [v for v, o in zip(batch.column(c).to_pylist(), ok) if o] for c in ("grp", "node", "copies", "chunk", "chunks")}
-        return out | {"s": [x.tobytes() for x, o in zip(s, ok) if o]}
+        kept = batch.filter(pa.array(ok, pa.bool_()))
+        return {c: kept.column(c) for c in ("node", "copies", "prefixes", "spots")} | {"s": [x.tobytes() for x, o in zip(s, ok) if o]}
 
-    sets = by_batch(both.select("grp", "node", "copies", "chunk", "chunks", "text"), cut, "grp binary, node binary, copies long, chunk int, chunks int, s binary")
+    spots = "array<struct<grp: binary, tree: int, chunk: int, chunks: int>>"
+    sets = by_batch(both.select("node", "copies", "prefixes", F.col("spots").cast(spots).alias("spots"), "text"), cut, f"node binary, copies long, prefixes array<long>, spots {spots}, s binary")
+    sets = sets.select("node", "copies", "prefixes", "s", F.inline("spots"))
     other = F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("o")
     sets = sets.select("*", other).withColumn("i", F.least("chunk", "o")).withColumn("j", F.greatest("chunk", "o")).drop("o")
     dealt = sets.repartition("grp", "i", "j").sortWithinPartitions("grp", "i", "j", "node")
     arrow = pa.schema([("node", pa.binary()), ("links", pa.int64()), ("root", pa.binary()), ("alone", pa.bool_())])
 
     def run(batches):
-        held, now = {}, None  # node -> (chunk, copies, set) of the current block
+        held, now = {}, None  # node -> (chunk, copies, set, prefixes) of the current block
         rows = []
 
         def close():
             if len(held) > 1:
                 nodes_ = list(held)
-                ch, co, se = zip(*held.values())
-                rows.extend((*r, now[3] == 1) for r in compare_block(nodes_, list(ch), list(co), list(se), now[1], now[2], p.threshold))
+                ch, co, se, pre = zip(*held.values())
+                alone = now[3] == 1 and now[4] < 0
+                rows.extend((*r, alone) for r in compare_block(nodes_, list(ch), list(co), list(se), now[1], now[2], p.threshold, now[4], pre))
             held.clear()
 
         def flush():
@@ -229,12 +261,12 @@ def compared(docs: DataFrame, key: str, nodes: DataFrame, groups: DataFrame, p:
             return out
 
         for batch in batches:
-            cols = [batch.column(c).to_pylist() for c in ("grp", "i", "j", "chunks", "node", "chunk", "copies", "s")]
-            for grp, i, j, n, node, chunk, copies, s in zip(*cols):
-                if now != (grp, i, j, n):
+            cols = [batch.column(c).to_pylist() for c in ("grp", "i", "j", "chunks", "tree", "node", "chunk", "copies", "s", "prefixes")]
+            for *block, node, chunk, copies, s, prefixes in zip(*cols):
+                if now != block:
                     close()
-                    now = (grp, i, j, n)
-                held[node] = (chunk, copies, np.frombuffer(s, np.uint64))
+                    now = block
+                held[node] = (chunk, copies, np.frombuffer(s, np.uint64), prefixes)
             if len(rows) > 5000:
                 yield flush()
         if now:
