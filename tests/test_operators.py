@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from ticktrail.functions import bits, fixed, hashing
-from ticktrail.operators import control, lake, market, ordered, replay
+from ticktrail.operators import control, factors, lake, market, ordered, replay
 from ticktrail.plans import base, control_plans
 from ticktrail.sources import faults, rawlog, synth
 from ticktrail.streaming import session_stream
@@ -85,9 +85,10 @@ def test_faults_keep_their_promises(spark):
     assert all(abs(straight.index((r.seq, r.copy)) - (r.new_seq - 1)) < 8 for r in got)
 
 
-def test_sequence_guard_table(spark):
+@pytest.mark.parametrize("width", [2, 65536])
+def test_sequence_guard_table(spark, width):
     rows = [("c1", 1, 100, "a"), ("c1", 2, 101, "b"), ("c1", 3, 101, "b"), ("c1", 4, 104, "c"), ("c1", 5, 102, "d"), ("c1", 6, 105, "e"), ("c2", 7, 1, "x"), ("c2", 8, 1, "y")]
-    got = control.sequence_guard(spark.createDataFrame(rows, "scope string, i long, seq long, h string"), ["scope"], ["i"], "seq", F.col("h")).orderBy("i").collect()
+    got = control.sequence_guard(spark.createDataFrame(rows, "scope string, i long, seq long, h string"), ["scope"], ["i"], "seq", F.col("h"), width=width).orderBy("i").collect()
     assert [r.verdict for r in got] == ["FIRST_OBSERVED", "CONTIGUOUS", "EXACT_DUPLICATE", "FORWARD_GAP", "BACKWARD", "CONTIGUOUS", "FIRST_OBSERVED", "CONFLICT_DUPLICATE"]
     assert [r.poisoned for r in got] == [False] * 4 + [True, True, False, True] and got[3].missing == 2
 
@@ -112,6 +113,21 @@ def test_asof_ties(spark):
     assert [r.bid for r in got] == [None, 8, 8]
 
 
+def test_asof_and_sliding_by_brute_force_over_chunks(spark):
+    rng = random.Random(5)
+    t = [(rng.choice([1, 1, 1, 2, None]), rng.randrange(-60, 300), i) for i in range(150)]
+    s = [(rng.choice([1, 1, 2, None]), rng.randrange(-60, 300), i) for i in range(80)]
+    a, b = spark.createDataFrame(t, "k long, at long, seq long"), spark.createDataFrame(s, "k long, at long, seq long").withColumn("v", F.col("seq"))
+    for width in (7, 1000):
+        got = {r.seq: r.v for r in market.asof(a, b, ["k"], "at", "seq", ["v"], width=width).collect()}
+        assert got == {i: max(((y, j) for q, y, j in s if q == k and y <= x), default=(0, None))[1] for k, x, i in t}
+    t.append((1, None, 999))
+    a = spark.createDataFrame(t, "k long, at long, seq long")
+    for chunks in (1, 4):
+        got = {r.seq: r.n for r in factors.sliding(a, ["k"], "at", 20, {"n": F.count("*")}, chunks=chunks).collect()}
+        assert got == {i: 1 if x is None else sum(q == k and y is not None and x - 20 <= y <= x for q, y, _ in t) for k, x, i in t}
+
+
 def test_bits_and_numbers(spark):
     assert len(bits.QUALITY_BITS) == 36
     r = spark.range(1).select(

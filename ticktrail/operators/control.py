@@ -8,12 +8,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.bits import flag, union
 from .lineage import cut
-from .ordered import prefix
+from .ordered import BUCKET, prefix
 
 SUCCESS, FAILURE, DISCONNECTED, DECODE_ERROR, SUBSCRIPTION = "LOGON_SUCCESS", "LOGON_FAILURE", "DISCONNECTED", "DECODE_ERROR", "SUBSCRIPTION"
 
@@ -102,21 +102,21 @@ def resubscribe_verdict(logged_in: Column, trading: Column, hash_ok: Column) ->
     return F.when(~logged_in, "NOT_LOGGED_IN").when(trading, "INSIDE_TRADING").when(~hash_ok, "AUDIT_HASH_MISMATCH").otherwise("ALLOWED")
 
 
-def sequence_guard(df: DataFrame, scope: Sequence[str], order: Sequence[str], seq: str, payload: Column) -> DataFrame:
+def sequence_guard(df: DataFrame, scope: Sequence[str], order: Sequence[str], seq: str, payload: Column, width: int = BUCKET) -> DataFrame:
     """df plus verdict and poisoned. A sequence is compared with the scope's largest accepted one; a repeat
     with the first payload seen under it. After a conflict or a step back the scope is poisoned: later rows
-    are classified but not applied. A scope is one instrument's or channel's day; windows are per scope."""
-    from pyspark.sql import Window
-
-    w = Window.partitionBy(*scope).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    are classified but not applied. The first column of ``order`` is an integer, the others break ties;
+    running values go by buckets of ``width``, so that a scope with very many rows is many tasks."""
     same = Window.partitionBy(*scope, seq).orderBy(*order)
-    d = df.withColumn("__p", payload).withColumn("__top", F.max(seq).over(w)).withColumn("__first", F.first("__p").over(same)).withColumn("__n", F.row_number().over(same))
+    at, ties = order[0], list(order[1:])
+    d = prefix(df.withColumn("__p", payload), scope, at, {"__top": ("max", F.col(seq))}, inclusive=False, width=width, ties=ties)
+    d = d.withColumn("__first", F.first("__p").over(same)).withColumn("__n", F.row_number().over(same))
     s, top = F.col(seq), F.col("__top")
     verdict = (
         F.when(top.isNull(), "FIRST_OBSERVED").when((F.col("__n") > 1) & (F.col("__p") == F.col("__first")), "EXACT_DUPLICATE").when(F.col("__n") > 1, "CONFLICT_DUPLICATE")
         .when(s == top + 1, "CONTIGUOUS").when(s > top + 1, "FORWARD_GAP").otherwise("BACKWARD")
     )
     d = d.withColumn("verdict", verdict).withColumn("missing", F.when(F.col("verdict") == "FORWARD_GAP", s - top - 1).otherwise(0).cast("long"))
-    upto = Window.partitionBy(*scope).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    bad = F.max(F.col("verdict").isin("CONFLICT_DUPLICATE", "BACKWARD").cast("int")).over(upto) == 1
-    return d.withColumn("poisoned", bad).drop("__p", "__top", "__first", "__n")
+    d = cut(d.drop("__p", "__top", "__first", "__n"), "guard")
+    bad = F.col("verdict").isin("CONFLICT_DUPLICATE", "BACKWARD").cast("int")
+    return prefix(d, scope, at, {"__bad": ("max", bad)}, width=width, ties=ties).withColumn("poisoned", F.col("__bad") == 1).drop("__bad")

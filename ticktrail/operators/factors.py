@@ -22,9 +22,17 @@ def microprice(bid: Column, bid_qty: Column, ask: Column, ask_qty: Column) -> Co
     return F.try_divide(num.cast("double"), (bid_qty + ask_qty).cast("double"))
 
 
-def sliding(keys: Sequence[str], at: str, width: int):
-    """Rows of the same keys within ``width`` nanoseconds up to and including this row's time."""
-    return Window.partitionBy(*keys).orderBy(at).rangeBetween(-width, 0)
+def sliding(df: DataFrame, keys: Sequence[str], at: str, width: int, values: dict[str, Column], chunks: int = 16) -> DataFrame:
+    """df plus an aggregate for each name over the rows of the same keys within ``width`` nanoseconds up to
+    and including this row's time. Keys are cut into chunks of ``chunks`` widths; only the last width of a
+    chunk is copied to the next one, so a key with very many rows is many tasks."""
+    span = width * max(1, chunks)
+    b = F.floor(F.col(at) / span)
+    late = F.col(at) >= (b + 1) * span - width
+    d = df.withColumn("__own", b).withColumn("__b", F.explode(F.when(late, F.array(b, b + 1)).otherwise(F.array(b))))
+    w = Window.partitionBy(*keys, "__b").orderBy(at).rangeBetween(-width, 0)
+    d = d.select("*", *[v.over(w).alias(n) for n, v in values.items()])
+    return d.where(F.col("__own").eqNullSafe(F.col("__b"))).drop("__own", "__b")
 
 
 @dataclass(frozen=True)
@@ -54,8 +62,7 @@ def run_factor(df: DataFrame, spec: FactorSpec, keys: Sequence[str], at: str, in
     required validity bits and no forbidden quality bit. A value that is null is never valid."""
     from ..functions.bits import masks_pass
 
-    w = sliding(keys, at, spec.window_ns)
-    d = spec.apply(df).withColumn("__n", F.count(inputs).over(w))
+    d = sliding(spec.apply(df), keys, at, spec.window_ns, {"__n": F.count(inputs)})
     ok = (F.col("__n") >= spec.min_rows) & F.col("value").isNotNull() & masks_pass(F.col("validity"), spec.required_validity, F.col("quality"), spec.forbidden_quality)
     return d.withColumn("valid", ok).withColumn("input_spec", F.lit(spec.identity)).drop("__n")
 

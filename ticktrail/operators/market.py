@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.bits import flag
 from ..functions.fixed import div
+from .ordered import prefix
 
 #: Fields that have a validity bit, the place in the list is the bit.
 VALIDITY = ("price", "qty", "amount", "matched_qty", "primary_order_id", "buy_order_id", "sell_order_id", "side", "order_type", "aggressor", "phase", "exchange_time")
@@ -69,14 +70,14 @@ def latest(df: DataFrame, keys: Sequence[str], cursor: Sequence[str]) -> DataFra
     return best.select(*keys, *[F.col(f"__r.{c}").alias(c) for c in rest])
 
 
-def asof(left: DataFrame, right: DataFrame, keys: Sequence[str], at: str, tie: str, value: Sequence[str]) -> DataFrame:
+def asof(left: DataFrame, right: DataFrame, keys: Sequence[str], at: str, tie: str, value: Sequence[str], width: int = 3_600_000_000_000) -> DataFrame:
     """left plus, for each row, ``value`` of the right row with the largest (at, tie) not after it; at equal
-    times the right row counts. One shuffle by key of the union; windows are per key."""
+    times the right row counts. The last value runs over the union of both, cut into buckets of ``width`` (an hour of
+    nanoseconds), so that a key with very many rows is many tasks."""
     cols = [*keys, at, tie]
     l_only = [c for c in left.columns if c not in cols]
     v = F.struct(*value)
     lt = left.select(*cols, F.struct(*l_only).alias("__l"), F.lit(None).cast(right.select(v.alias("v")).schema["v"].dataType).alias("__r"), F.lit(1).alias("__side"))
     rt = right.select(*cols, F.lit(None).cast(left.select(F.struct(*l_only).alias("v")).schema["v"].dataType).alias("__l"), v.alias("__r"), F.lit(0).alias("__side"))
-    w = Window.partitionBy(*keys).orderBy(at, "__side", tie).rowsBetween(Window.unboundedPreceding, 0)
-    out = lt.unionByName(rt).withColumn("__got", F.last("__r", ignorenulls=True).over(w)).where("__side = 1")
+    out = prefix(lt.unionByName(rt), keys, at, {"__got": ("last", F.col("__r"))}, width=width, ties=["__side", tie]).where("__side = 1")
     return out.select(*cols, *[F.col(f"__l.{c}").alias(c) for c in l_only], *[F.col(f"__got.{c}").alias(c) for c in value])

@@ -16,10 +16,10 @@ from pyspark.sql import functions as F
 BUCKET = 65_536
 
 
-def prefix(df: DataFrame, keys: Sequence[str], order: str, values: dict[str, tuple[str, Column]], inclusive: bool = True, width: int = BUCKET) -> DataFrame:
+def prefix(df: DataFrame, keys: Sequence[str], order: str, values: dict[str, tuple[str, Column]], inclusive: bool = True, width: int = BUCKET, ties: Sequence[str] = ()) -> DataFrame:
     """df plus a column for each name: (kind, expression) with kind sum, max, min, bit_or or last (the last
     that isn't null), over the rows of the same keys up to this row, itself included or not. ``order`` is
-    an integer column, unique within keys."""
+    an integer column, with ``ties`` unique within keys; ``width`` of it make a bucket."""
     keys = list(keys)
     d = df.withColumn("__b", F.floor(F.col(order) / width))
     for n, (_, e) in values.items():
@@ -28,7 +28,7 @@ def prefix(df: DataFrame, keys: Sequence[str], order: str, values: dict[str, tup
 
     def summary(n, kind):
         v = F.col(f"__v_{n}")
-        got = F.max_by(v, F.when(v.isNotNull(), F.col(order))) if kind == "last" else whole[kind](v)
+        got = F.max_by(v, F.when(v.isNotNull(), F.struct(order, *ties) if ties else F.col(order))) if kind == "last" else whole[kind](v)
         return got.alias(f"__s_{n}")
 
     def over(col, kind, w):
@@ -39,7 +39,7 @@ def prefix(df: DataFrame, keys: Sequence[str], order: str, values: dict[str, tup
     carry = sums.select(*keys, "__b", *[over(F.col(f"__s_{n}"), k, before).alias(f"__c_{n}") for n, (k, _) in values.items()])
     carry = carry.select(*[F.col(k).alias(f"__k_{k}") for k in keys], F.col("__b").alias("__kb"), *[f"__c_{n}" for n in values])
     on = [d[k].eqNullSafe(carry[f"__k_{k}"]) for k in keys] + [d["__b"] == carry["__kb"]]
-    inside = Window.partitionBy(*keys, "__b").orderBy(order).rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1)
+    inside = Window.partitionBy(*keys, "__b").orderBy(order, *ties).rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1)
     out = d
     for n, (k, _) in values.items():
         out = out.withColumn(f"__w_{n}", over(F.col(f"__v_{n}"), k, inside))

@@ -32,25 +32,26 @@ W = f"WINDOW w AS (PARTITION BY instrument_id ORDER BY recv_ns RANGE BETWEEN {24
 
 @query("trade_imbalance", f"SELECT seq, CAST(sum(CASE WHEN price % 2 = 0 THEN qty ELSE -qty END) OVER w AS BIGINT) AS signed_qty, CAST(sum(qty) OVER w AS BIGINT) AS total_qty FROM raw WHERE kind = 'purchase' {W}")
 def _(spark, sf):
-    w = X.sliding(["instrument_id"], "recv_ns", 24 * HOUR)
-    return raw(spark, sf).where("kind = 'purchase'").select("seq", F.sum(F.when(F.col("price") % 2 == 0, F.col("qty")).otherwise(-F.col("qty"))).over(w).alias("signed_qty"), F.sum("qty").over(w).alias("total_qty"))
+    signed = F.when(F.col("price") % 2 == 0, F.col("qty")).otherwise(-F.col("qty"))
+    d = X.sliding(raw(spark, sf).where("kind = 'purchase'"), ["instrument_id"], "recv_ns", 24 * HOUR, {"signed_qty": F.sum(signed), "total_qty": F.sum("qty")})
+    return d.select("seq", "signed_qty", "total_qty")
 
 
 @query("cancel_rate", f"SELECT seq, count(*) FILTER (WHERE kind = 'error') OVER w AS cancels, count(*) FILTER (WHERE kind = 'click') OVER w AS adds FROM raw {W}")
 def _(spark, sf):
-    w = X.sliding(["instrument_id"], "recv_ns", 24 * HOUR)
-    return raw(spark, sf).select("seq", F.count_if(F.col("kind") == "error").over(w).alias("cancels"), F.count_if(F.col("kind") == "click").over(w).alias("adds"))
+    n = lambda k: F.count_if(F.col("kind") == k)
+    return X.sliding(raw(spark, sf), ["instrument_id"], "recv_ns", 24 * HOUR, {"cancels": n("error"), "adds": n("click")}).select("seq", "cancels", "adds")
 
 
 @query("trade_intensity", f"SELECT seq, count(*) OVER w AS trades, CAST(count(*) OVER w AS DOUBLE) / 24.0 AS per_hour FROM raw WHERE kind = 'purchase' {W}")
 def _(spark, sf):
-    n = F.count("*").over(X.sliding(["instrument_id"], "recv_ns", 24 * HOUR))
-    return raw(spark, sf).where("kind = 'purchase'").select("seq", n.alias("trades"), (n.cast("double") / F.lit(24.0)).alias("per_hour"))
+    d = X.sliding(raw(spark, sf).where("kind = 'purchase'"), ["instrument_id"], "recv_ns", 24 * HOUR, {"trades": F.count("*")})
+    return d.select("seq", "trades", (F.col("trades").cast("double") / F.lit(24.0)).alias("per_hour"))
 
 
 @query("sliding_sum_5s", "SELECT seq, CAST(sum(qty) OVER (PARTITION BY instrument_id ORDER BY recv_ns RANGE BETWEEN 5000000000 PRECEDING AND CURRENT ROW) AS BIGINT) AS qty_5s FROM raw")
 def _(spark, sf):
-    return raw(spark, sf).select("seq", F.sum("qty").over(X.sliding(["instrument_id"], "recv_ns", 5_000_000_000)).alias("qty_5s"))
+    return X.sliding(raw(spark, sf), ["instrument_id"], "recv_ns", 5_000_000_000, {"qty_5s": F.sum("qty")}, chunks=720).select("seq", "qty_5s")
 
 
 @query("rolling_primitives", "SELECT seq, CAST(sum(qty) OVER w AS BIGINT) AS s, count(*) OVER w AS n, CAST(sum(qty * qty) OVER w AS BIGINT) AS ss, min(price) OVER w AS lo, max(price) OVER w AS hi, first_value(price) OVER w AS oldest FROM raw WINDOW w AS (PARTITION BY instrument_id ORDER BY seq ROWS BETWEEN 9 PRECEDING AND CURRENT ROW)")

@@ -26,7 +26,7 @@ def _guard(spark, sf):
         F.col("l_orderkey").alias("scope"), F.col("l_linenumber").cast("long").alias("s"), "l_partkey", "l_suppkey",
         F.round(F.col("l_extendedprice") * 100).cast("long").alias("cents"), F.col("l_quantity").cast("long").alias("qty"), micros(F.col("l_shipdate")).alias("ship"),
     )
-    return sequence_guard(li, ["scope"], ["ship", "l_partkey", "l_suppkey", "cents", "qty", "s"], "s", F.col("l_suppkey"))
+    return sequence_guard(li, ["scope"], ["ship", "l_partkey", "l_suppkey", "cents", "qty", "s"], "s", F.col("l_suppkey"), width=400 * 86_400_000_000)
 
 
 @query("seq_guard", GUARD + " SELECT scope, s, l_partkey, verdict, missing, poisoned FROM z", with_raw=False)
