@@ -1,6 +1,7 @@
 """Operators that SQL doesn't state: recurrences, codecs, faults, streaming, and hard inputs."""
 
 import random
+import time
 
 import numpy as np
 import pytest
@@ -9,7 +10,7 @@ from pyspark.sql import functions as F
 from ticktrail.functions import bits, fixed, hashing
 from ticktrail.operators import control, factors, lake, market, ordered, replay
 from ticktrail.plans import base, control_plans
-from ticktrail.sources import faults, rawlog, synth
+from ticktrail.sources import faults, rawlog, sinks, synth
 from ticktrail.streaming import session_stream
 
 SF = "/root/testdata/sf0.001"
@@ -253,3 +254,33 @@ def test_replay_cli(spark, tmp_path, capsys):
     assert len(lines) == sum(x.message == 1 and 102 <= x.sequence < 112 for x in rec) and all(x.startswith("record\t") for x in lines)
     replay_cli.main([str(tmp_path), "--out", str(tmp_path / "o")])
     assert spark.read.text(str(tmp_path / "o")).count() == len(rec)
+
+
+def test_csv_is_never_overwritten(spark, tmp_path):
+    rows = [(1, 'say "hi", twice', [1, 2]), (2, None, []), (3, "", None), (4, "two\nlines", [3])]
+    d, path = spark.createDataFrame(rows, "i long, t string, a array<int>"), str(tmp_path / "csv")
+    sinks.write_csv(d, path)
+    back = spark.read.option("header", True).option("escape", '"').option("multiLine", True).option("emptyValue", "").option("nullValue", "~").csv(path)
+    got = {int(r.i): (r.t, r.a) for r in back.collect()}
+    assert got[1] == ('say "hi", twice', "[1,2]") and got[3][0] == "" and got[4][0] == "two\nlines" and not got[2][0]
+    with pytest.raises(Exception, match="PATH_ALREADY_EXISTS"):
+        sinks.write_csv(d, path)
+    assert [r.i for r in sinks.current_generation(d.withColumn("generation", F.when(F.col("i") > 1, F.col("i") % 2)), 1).collect()] == [3]
+
+
+def test_metrics_are_replaced_whole(spark, tmp_path):
+    assert sinks.metrics_text({"b": 2, "a": 1}, {"q": 'x"\n'}) == 'ticktrail_a{q="x\\"\\n"} 1\nticktrail_b{q="x\\"\\n"} 2\n'
+    at, source = tmp_path / "metrics.txt", str(tmp_path / "in")
+    spark.range(5).write.parquet(source)
+    listener = sinks.MetricsListener(str(at))
+    spark.streams.addListener(listener)
+    try:
+        q = spark.readStream.schema("id long").parquet(source).writeStream.queryName("counted").format("noop").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
+        assert q.awaitTermination(60)
+        for _ in range(100):
+            if at.exists():
+                break
+            time.sleep(0.1)
+    finally:
+        spark.streams.removeListener(listener)
+    assert 'ticktrail_input_rows{query="counted"} 5' in at.read_text() and not (tmp_path / "metrics.txt.part").exists()
