@@ -117,6 +117,7 @@ def sequence_guard(df: DataFrame, scope: Sequence[str], order: Sequence[str], se
         .when(s == top + 1, "CONTIGUOUS").when(s > top + 1, "FORWARD_GAP").otherwise("BACKWARD")
     )
     d = d.withColumn("verdict", verdict).withColumn("missing", F.when(F.col("verdict") == "FORWARD_GAP", s - top - 1).otherwise(0).cast("long"))
-    d = cut(d.drop("__p", "__top", "__first", "__n"), "guard")
-    bad = F.col("verdict").isin("CONFLICT_DUPLICATE", "BACKWARD").cast("int")
-    return prefix(d, scope, at, {"__bad": ("max", bad)}, width=width, ties=ties).withColumn("poisoned", F.col("__bad") == 1).drop("__bad")
+    d = d.drop("__p", "__top", "__first", "__n")
+    bad = d.where(F.col("verdict").isin("CONFLICT_DUPLICATE", "BACKWARD")).groupBy(*[F.col(k).alias(f"__{k}") for k in scope]).agg(F.min(F.struct(*order)).alias("__from"))
+    on = [d[k].eqNullSafe(bad[f"__{k}"]) for k in scope]
+    return d.join(bad, on, "left").withColumn("poisoned", F.coalesce(F.struct(*order) >= F.col("__from"), F.lit(False))).drop("__from", *[f"__{k}" for k in scope])
