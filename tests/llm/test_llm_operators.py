@@ -221,6 +221,23 @@ def test_chunks_cover_the_document():
         assert np.allclose(m.pooled(data)[:32], z, atol=1e-4) and np.allclose(m.pooled(data), m.pooled(data, 85), atol=1e-4)
 
 
+def test_quality_learns_from_whole_texts(spark):
+    rng = np.random.default_rng(3)
+    rows, labels = [], []
+    for i in range(120):  # 20 chunks; what tells the classes apart is in the third one
+        words = [f"word{k}" for k in rng.integers(0, 500, 2000)]
+        text = " ".join(words)[: 20 * quality_cnn.CHUNK]
+        if i % 2:
+            text = text[:1100] + "#@!%" * 60 + text[1340:]
+        rows.append((i, text))
+        labels.append((i, 1 - i % 2, 0))
+    d, y = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    m = quality_cnn.train(d, y, quality_cnn.CnnParams(epochs=40, batch=16))
+    seen = [t.encode() for i, t in rows if not held(3, 1)(i)]
+    assert np.allclose(m.mu, np.mean([m.pooled(t) for t in seen], axis=0), atol=1e-3)
+    assert all((m.score(t.encode()) >= 0.5) == (i % 2 == 0) for i, t in rows)
+
+
 def test_quality_hard_inputs(spark, docs, empty):
     labels = spark.createDataFrame([(1, 1, 0)], "doc_id long, quality int, toxic int")
     m = quality_cnn.train(docs, labels)

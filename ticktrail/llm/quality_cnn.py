@@ -6,9 +6,9 @@ mean and smallest of a document's chunk maxima feed one logistic output. As WIDT
 half filters applied to neighbouring blocks, so a chunk's convolution is one matrix product and nothing
 is copied for the overlap.
 
-Training is on the driver, on at most ``max_rows`` labelled documents; a training document gives up to
-``train_chunks`` chunks spread evenly over its length. Scoring reads every byte of every text, batch by
-batch, and shuffles nothing. Null and empty texts are one chunk of padding and get the score that the
+Training is on the driver, on at most ``max_rows`` labelled documents, each with its whole text: filters learn
+from every chunk, and the output layer is fitted to the features that scoring computes. The driver's memory
+goes by those rows' texts. Scoring reads every byte of every text, batch by batch, and shuffles nothing. Null and empty texts are one chunk of padding and get the score that the
 network gives it. Repeated rows are scored each. Without labels every score is 0.5.
 """
 
@@ -24,15 +24,16 @@ from .common import by_batch, hash_sample, label_ids, remainder, small_batches,
 
 EMBED, STRIDE, WIDTH = 8, 6, 12
 CHUNK = 510  # bytes; a multiple of STRIDE
+PER = CHUNK // STRIDE  # filter positions of a chunk
+PIECE = 64  # chunks whose products training holds at once
 
 
 @dataclass(frozen=True)
 class CnnParams:
-    """max_rows bounds the labelled rows, train_chunks the chunks of a row, that training collects."""
+    """max_rows bounds the labelled rows that training collects; their texts are whole."""
 
     filters: int = 32
     max_rows: int = 2400
-    train_chunks: int = 8
     epochs: int = 14
     batch: int = 64
     rate: float = 0.004
@@ -85,9 +86,43 @@ class Cnn:
         return 1.0 / (1.0 + np.exp(-min(max(z, -30.0), 30.0)))
 
 
-def fit(rows: list[list[bytes]], y: np.ndarray, p: CnnParams) -> Cnn:
-    """Adam on the logistic loss; rows are documents as lists of chunks. Classes weigh the same in the
-    filters' training; the output layer is then fitted to the true shares by Newton steps."""
+class Chunks:
+    """The chunks of whole texts: at is a chunk's first block in flat, wins its filter positions."""
+
+    def __init__(self, texts: list[bytes]):
+        blocks = [blocks_of(t) for t in texts]
+        sizes = np.array([len(b) for b in blocks])
+        self.flat = np.concatenate(blocks)
+        self.n = -(-(sizes - 1) // PER)
+        self.first = np.cumsum(self.n) - self.n
+        own = np.repeat(np.arange(len(texts)), self.n)
+        k = (np.arange(len(own)) - self.first[own]) * PER
+        self.at, self.wins = (np.cumsum(sizes) - sizes)[own] + k, np.minimum(PER, sizes[own] - 1 - k)
+
+    def of(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The chunks of these texts, and which of the rows each belongs to."""
+        own = np.repeat(np.arange(len(rows)), self.n[rows])
+        skipped = np.cumsum(self.n[rows]) - self.n[rows]
+        return self.first[rows][own] + np.arange(len(own)) - skipped[own], own
+
+    def tops(self, emb: np.ndarray, w: np.ndarray, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Each filter's maximum over each chunk, and the block of flat where it starts."""
+        f, tops, rows = w.shape[1] // 2, [], []
+        for s in range(0, len(which), PIECE):
+            at, wins = self.at[which[s : s + PIECE]], self.wins[which[s : s + PIECE]]
+            blocks = self.flat[np.minimum(at[:, None] + np.arange(PER + 1), len(self.flat) - 1)]
+            h = (emb[blocks].reshape(-1, STRIDE * EMBED) @ w).reshape(len(at), PER + 1, 2 * f)
+            z = h[:, :-1, :f] + h[:, 1:, f:]
+            z[np.arange(PER) >= wins[:, None]] = -np.inf  # a filter doesn't reach over a text's end
+            best = z.argmax(axis=1)
+            tops.append(np.take_along_axis(z, best[:, None], axis=1)[:, 0])
+            rows.append(best + at[:, None])
+        return np.concatenate(tops), np.concatenate(rows)
+
+
+def fit(texts: list[bytes], y: np.ndarray, p: CnnParams) -> Cnn:
+    """Adam on the logistic loss over whole texts. Classes weigh the same in the filters' training; the
+    output layer is then fitted to the true shares by Newton steps."""
     rng = np.random.default_rng(p.seed)
     f = p.filters
     par = {
@@ -102,29 +137,15 @@ def fit(rows: list[list[bytes]], y: np.ndarray, p: CnnParams) -> Cnn:
         m.c = 0.0
         return m
     mom = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in par.items()}
-    blocks = [[blocks_of(x) for x in r] for r in rows]
+    chunks = Chunks(texts)
     weight = np.where(y == 1, 0.5 / max(1, (y == 1).sum()), 0.5 / max(1, (y == 0).sum())) * len(y)
     step = 0
     for _ in range(p.epochs):
-        order = rng.permutation(len(rows))
+        order = rng.permutation(len(texts))
         for s in range(0, len(order), p.batch):
             at = order[s : s + p.batch]
-            part = [b for i in at for b in blocks[i]]
-            own = np.repeat(np.arange(len(at)), [len(blocks[i]) for i in at])
-            sizes = np.array([len(b) for b in part])
-            allb = np.concatenate(part)
-            x = par["emb"][allb].reshape(len(allb), -1)
-            h = x @ par["w"]
-            ends = np.cumsum(sizes)
-            z = np.full((len(allb), f), -np.inf, np.float32)
-            z[:-1] = h[:-1, :f] + h[1:, f:]
-            z[ends - 1] = -np.inf  # a filter doesn't reach over a chunk's end
-            starts = ends - sizes
-            top = np.maximum.reduceat(z, starts, axis=0)
-            group = np.repeat(np.arange(len(part)), sizes)
-            row = np.full((len(part), f), len(allb), np.int64)
-            r_, c_ = np.nonzero(z == top[group])
-            np.minimum.at(row, (group[r_], c_), r_)
+            which, own = chunks.of(at)
+            top, row = chunks.tops(par["emb"], par["w"], which)
             a = np.maximum(top + par["b"], 0)
             first = np.flatnonzero(np.r_[True, own[1:] != own[:-1]])
             n = np.bincount(own, minlength=len(at))[:, None]
@@ -139,14 +160,14 @@ def fit(rows: list[list[bytes]], y: np.ndarray, p: CnnParams) -> Cnn:
             g["b"] = da.sum(axis=0)
             ci, fi = np.nonzero(da)
             ri, val = row[ci, fi], da[ci, fi]
-            dh = np.zeros_like(h)
-            np.add.at(dh, (ri, fi), val)
-            np.add.at(dh, (ri + 1, fi + f), val)
-            hot = np.flatnonzero(dh.any(axis=1))
-            g["w"] = x[hot].T @ dh[hot]
-            dx = (dh[hot] @ par["w"].T).reshape(-1, EMBED)
+            hot, to = np.unique(np.concatenate([ri, ri + 1]), return_inverse=True)
+            x = par["emb"][chunks.flat[hot]].reshape(len(hot), -1)
+            dh = np.zeros((len(hot), 2 * f), np.float32)
+            np.add.at(dh, (to, np.concatenate([fi, fi + f])), np.concatenate([val, val]))
+            g["w"] = x.T @ dh
+            dx = (dh @ par["w"].T).reshape(-1, EMBED)
             ge = np.zeros_like(par["emb"])
-            np.add.at(ge, allb[hot].reshape(-1), dx)
+            np.add.at(ge, chunks.flat[hot].reshape(-1), dx)
             g["emb"] = ge
             step += 1
             for k in par:
@@ -155,9 +176,9 @@ def fit(rows: list[list[bytes]], y: np.ndarray, p: CnnParams) -> Cnn:
                 m2 += 0.001 * (g[k] ** 2 - m2)
                 par[k] -= p.rate * (m1 / (1 - 0.9**step)) / (np.sqrt(m2 / (1 - 0.999**step)) + 1e-7)
     body = model(zero, one)
-    feats = np.array([_pool_chunks(body, r) for r in rows])
+    feats = np.array([body.pooled(t) for t in texts])
     mu, sd = feats.mean(axis=0), feats.std(axis=0) + 1e-3
-    xs = np.concatenate([(feats - mu) / sd, np.ones((len(rows), 1))], axis=1)
+    xs = np.concatenate([(feats - mu) / sd, np.ones((len(texts), 1))], axis=1)
     beta = np.zeros(3 * f + 1)
     ridge = np.r_[np.full(3 * f, 1.0), 1e-6]
     for _ in range(25):
@@ -171,29 +192,14 @@ def fit(rows: list[list[bytes]], y: np.ndarray, p: CnnParams) -> Cnn:
     return Cnn(par["emb"], par["w"], par["b"], beta[:-1], float(beta[-1]), mu, sd)
 
 
-def _pool_chunks(m: Cnn, chunks: list[bytes]) -> np.ndarray:
-    return summary(np.array([m.pooled(x)[: m.filters] for x in chunks]))
-
-
-def spread_chunks(text: bytes, n: int) -> list[bytes]:
-    """At most n chunks of CHUNK + STRIDE bytes at even distances, the first and the last included."""
-    count = max(1, -(-len(text) // CHUNK))
-    at = range(count) if count <= n else np.unique(np.linspace(0, count - 1, n).round().astype(int))
-    return [text[i * CHUNK : (i + 1) * CHUNK + STRIDE] for i in at]
-
-
 def train(docs: DataFrame, labels: DataFrame, params: CnnParams | None = None, folds: int = 3, held_out: int = 1) -> Cnn:
     p = params or CnnParams()
     known = label_ids(labels, "quality", folds, held_out)
     chosen = hash_sample(known.select("doc_id", "y"), p.max_rows, p.seed)  # at most max_rows ids: bounded broadcast
     rows = docs.select("doc_id", utf8().alias("text")).join(F.broadcast(chosen), "doc_id")
-
-    def run(batch):
-        return {"doc_id": batch.column("doc_id"), "y": batch.column("y"), "x": [spread_chunks(t, p.train_chunks) for t in batch.column("text").to_pylist()]}
-
-    got = by_batch(rows, run, "doc_id long, y int, x array<binary>").toArrow()
+    got = rows.select("doc_id", "y", "text").toArrow()
     order = np.argsort(got.column("doc_id").to_numpy(), kind="stable")
-    x, y = got.column("x").to_pylist(), got.column("y").to_numpy()
+    x, y = got.column("text").to_pylist(), got.column("y").to_numpy()
     return fit([x[i] for i in order], y[order].astype(np.float32), p)
 
 
