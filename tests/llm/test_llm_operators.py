@@ -120,6 +120,22 @@ def test_join_against_brute_force(spark, chunk, loose):
     assert {i: got[i].class_id for i, _ in rows} == classes_of([i for i, _ in rows], links)
 
 
+def test_loose_groups_are_compared_whole(spark):
+    """Few, short tries: many links of a chained group meet in none of them, and count all the same."""
+    p = ngram_join.JoinParams(trees=3, recall=0.5, chunk=8)
+    words = [f"w{i}" for i in range(900)]
+    rows = [(k, " ".join(words[4 * k : 5 * k + 60])) for k in range(160)]
+    forest = ngram_join.Forest(p)
+    pre = {i: set(enumerate(forest.prefixes(ngram_join.shingles(t.encode(), p.words)))) for i, t in rows}
+    group = classes_of([i for i, _ in rows], [(a, b) for a in pre for b in pre if a < b and pre[a] & pre[b]])
+    links = {(a, b) for a, b in brute_links(rows) if group[a] == group[b]}
+    assert max(Counter(group.values()).values()) > 4 * p.chunk and sum(not pre[a] & pre[b] for a, b in links) > 20
+    got = {r.id: r for r in ngram_join.join_ngrams(spark.createDataFrame(rows, "doc_id long, text string"), params=p).collect()}
+    n = Counter(x for pair in links for x in pair)
+    assert {i: got[i].n_links for i, _ in rows} == {i: n[i] for i, _ in rows}
+    assert {i: got[i].class_id for i, _ in rows} == classes_of([i for i, _ in rows], links)
+
+
 def test_depth_keeps_recall():
     p = ngram_join.JoinParams()
     assert 1 - (1 - p.threshold**p.depth) ** p.trees >= p.recall > 1 - (1 - p.threshold ** (p.depth + 1)) ** p.trees

@@ -10,10 +10,10 @@
    of that graph are candidate groups.
 4. A candidate group is compared exactly, all nodes with all, in blocks of about ``chunk`` nodes by
    ``chunk``. A block's intersections are matrix products; it returns one row per node (its links) and a
-   spanning forest, not pairs. So no link inside a candidate group is lost, at the cost of shingle sets
-   being copied once for every ``chunk`` nodes of their group. A group of several blocks that is loose - its
-   nodes hang together by chains, and the tries' own groups hold fewer than 1/``loose`` of its pairs - is
-   compared within those groups instead; a pair that meets in several trees is counted in the first.
+   spanning forest, not pairs. So no link inside a candidate group is lost, whatever its size or shape, at the
+   cost of shingle sets being copied once for every ``chunk`` nodes they are compared with. A group of several
+   blocks is first cut into bands of set sizes, each wide enough that two sets right at the threshold lie in
+   one band or in neighbours; blocks of bands further apart hold no link and are not formed.
 5. Links join nodes to classes.
 
 Documents without words link to nothing and are classes of their own; null texts likewise. Rows that
@@ -23,6 +23,7 @@ the class id is the smallest id. An empty table gives no rows.
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 import numpy as np
@@ -46,7 +47,7 @@ class JoinParams:
     longest: int = 8
     recall: float = 0.999
     chunk: int = 768
-    loose: float = 2.0
+    loose: float = 2.0  # without effect: loose groups are compared whole like all others
     seed: int = 17
 
     @property
@@ -57,6 +58,11 @@ class JoinParams:
                 return depth
         return 1
 
+    @property
+    def band(self) -> float:
+        """Width of a band of logarithms of set sizes; a little more than two linked sets can differ by."""
+        return max(-math.log(max(self.threshold, 1e-9)), 1e-6) * 1.000001
+
 
 class _Words(dict):
     """64-bit hashes of words, kept while they fit."""
@@ -110,21 +116,22 @@ class Forest:
 
 
 def signed(docs: DataFrame, key: str, p: JoinParams) -> DataFrame:
-    """(id, node, prefixes): node is the hash of the shingle set, null where there are no words."""
+    """(id, node, size, prefixes): node is the hash of the shingle set, null where there are no words."""
     held = {}
 
     def run(batch):
         if "f" not in held:
             held["f"] = Forest(p)
-        node, pre = [], []
+        node, size, pre = [], [], []
         for text in batch.column("text").to_pylist():
             s = shingles(text, p.words)
             node.append(set_hash(s))
+            size.append(len(s))
             pre.append(held["f"].prefixes(s) if len(s) else None)
-        return {"id": batch.column("id"), "node": node, "prefixes": pre}
+        return {"id": batch.column("id"), "node": node, "size": size, "prefixes": pre}
 
     kind = docs.schema[key].dataType.simpleString()
-    return by_batch(docs.select(F.col(key).alias("id"), utf8().alias("text")), run, f"id {kind}, node binary, prefixes array<long>")
+    return by_batch(docs.select(F.col(key).alias("id"), utf8().alias("text")), run, f"id {kind}, node binary, size int, prefixes array<long>")
 
 
 def candidate_groups(nodes: DataFrame) -> DataFrame:
@@ -170,9 +177,8 @@ def forest_of(linked: np.ndarray) -> np.ndarray:
         label = new
 
 
-def compare_block(nodes: list[bytes], chunks: list[int], copies: list[int], sets: list[np.ndarray], i: int, j: int, t: float, tree: int = -1, prefixes=None):
-    """(node, links, root) for the nodes of a block that have links: within chunk i, or between i and j. In a
-    trie's group, links of nodes that meet in an earlier tree too are left to that one."""
+def compare_block(nodes: list[bytes], chunks: list[int], copies: list[int], sets: list[np.ndarray], i: int, j: int, t: float):
+    """(node, links, root) for the nodes of a block that have links: within chunk i, or between i and j."""
     order = np.argsort(chunks, kind="stable") if i != j else np.arange(len(nodes))
     first = [k for k in order if chunks[k] == i]
     second = [k for k in order if chunks[k] == j] if i != j else first
@@ -180,10 +186,6 @@ def compare_block(nodes: list[bytes], chunks: list[int], copies: list[int], sets
     if not first or not second or len(at) < 2:
         return []
     got = links_between([sets[k] for k in first], [sets[k] for k in second], t)
-    if tree > 0:
-        one, two = np.array([prefixes[k][:tree] for k in first]), np.array([prefixes[k][:tree] for k in second])
-        for k in range(tree):
-            got &= one[:, None, k] != two[None, :, k]
     if i == j:
         np.fill_diagonal(got, False)
         full = got
@@ -197,61 +199,58 @@ def compare_block(nodes: list[bytes], chunks: list[int], copies: list[int], sets
 
 
 def members(nodes: DataFrame, groups: DataFrame, p: JoinParams) -> DataFrame:
-    """(node, rep0, copies, prefixes, spots): where each node is compared. A candidate group is one place, unless
-    chains of prefixes made it so loose that its tries' own groups hold fewer pairs than the whole: then a
-    node has a spot in each of those (at most one a tree), and its prefixes go along."""
+    """(node, rep0, copies, grp, chunk, others, alone): a node's chunk in its group and the chunks that it is compared
+    with, its own included. A group of up to p.chunk nodes is one chunk; in others a chunk is part of a band."""
     sizes = groups.groupBy("root").agg(F.count("*").alias("n"))
-    d = written(groups.join(sizes, "root").join(nodes.select("node", F.col("rep").alias("rep0"), "copies", "prefixes"), "node"), "members")
-    large = d.where(F.col("n") > p.chunk)
-    tries = large.select("root", "n", "node", F.posexplode("prefixes").alias("tree", "prefix"))
-    met = tries.groupBy("root", "n", "tree", "prefix").agg(F.count("*").alias("m")).where("m > 1")
-    pairs = met.groupBy("root", "n").agg(F.sum(F.col("m").cast("double") * F.col("m")).alias("pairs"))
-    loose = written(pairs.where(F.col("pairs") * p.loose < F.col("n").cast("double") * F.col("n")).select("root"), "loose-groups")
-
-    def spot(grp, tree, n):
-        chunks = (F.floor((n + (p.chunk - 1)) / p.chunk)).cast("int")
-        return F.struct(grp.alias("grp"), tree.alias("tree"), F.pmod(F.xxhash64("node"), chunks).cast("int").alias("chunk"), chunks.alias("chunks"))
-
-    whole = d.join(loose, "root", "left_anti").select(
-        "node", "rep0", "copies", F.lit(None).cast("array<long>").alias("prefixes"), F.array(spot(F.col("root"), F.lit(-1), F.col("n"))).alias("spots")
-    )
-    name = F.concat(F.col("root"), F.concat_ws(":", "tree", "prefix").cast("binary"))
-    spots = tries.join(loose, "root", "left_semi").join(met, ["root", "n", "tree", "prefix"]).select("node", spot(name, F.col("tree"), F.col("m")).alias("s"))
-    spots = spots.groupBy("node").agg(F.collect_list("s").alias("spots"))
-    apart = large.join(spots, "node").select("node", "rep0", "copies", "prefixes", "spots")
-    return whole.unionByName(apart)
+    d = written(groups.join(sizes, "root").join(nodes.select("node", F.col("rep").alias("rep0"), "copies", "size"), "node"), "members")
+    d = d.withColumn("alone", F.col("n") <= p.chunk).withColumn("band", F.floor(F.log("size") / p.band))
+    counts = d.where("NOT alone").groupBy("root", "band").agg(F.ceil(F.count("*") / p.chunk).alias("chunks"))
+    bands = counts.groupBy("root").agg(F.map_from_entries(F.collect_list(F.struct("band", "chunks"))).alias("bands"))
+    d = d.join(F.broadcast(bands), "root", "left")  # a row for every p.chunk nodes at most
+
+    def name(band, k):
+        return band * 10_000_000 + k
+
+    def chunks_of(band):
+        n = F.coalesce(F.try_element_at("bands", band), F.lit(0).cast("long"))
+        return F.when(n > 0, F.transform(F.sequence(F.lit(0).cast("long"), n - 1), lambda k: name(band, k))).otherwise(F.array().cast("array<long>"))
+
+    band, zero = F.col("band"), F.lit(0).cast("long")
+    own = name(band, F.pmod(F.xxhash64("node"), F.try_element_at("bands", band)))
+    return d.select(
+        "node", "rep0", "copies", F.col("root").alias("grp"), F.when(F.col("alone"), zero).otherwise(own).alias("chunk"),
+        F.when(F.col("alone"), F.array(zero)).otherwise(F.concat(*[chunks_of(band + k) for k in (-1, 0, 1)])).alias("others"), "alone",
+    )
 
 
 def compared(docs: DataFrame, key: str, nodes: DataFrame, groups: DataFrame, p: JoinParams) -> DataFrame:
     """(node, links, root, alone): links counts documents; alone marks groups of one block, whose root is final."""
     texts = docs.select(F.col(key).alias("rep"), utf8().alias("text"))
     # The texts move once, by id; null ids meet null ids (repeated ids are told apart by the set's hash).
-    both = members(nodes, groups, p).join(texts, F.col("rep0").eqNullSafe(F.col("rep")))
+    # Members grow with the table: one plan at every size, no broadcast while they happen to be few.
+    both = members(nodes, groups, p).hint("merge").join(texts, F.col("rep0").eqNullSafe(F.col("rep")))
 
     def cut(batch):
         s = [shingles(t, p.words) for t in batch.column("text").to_pylist()]
         ok = [set_hash(x) == n for x, n in zip(s, batch.column("node").to_pylist())]
         kept = batch.filter(pa.array(ok, pa.bool_()))
-        return {c: kept.column(c) for c in ("node", "copies", "prefixes", "spots")} | {"s": [x.tobytes() for x, o in zip(s, ok) if o]}
+        return {c: kept.column(c) for c in kinds} | {"s": [x.tobytes() for x, o in zip(s, ok) if o]}
 
-    spots = "array<struct<grp: binary, tree: int, chunk: int, chunks: int>>"
-    sets = by_batch(both.select("node", "copies", "prefixes", F.col("spots").cast(spots).alias("spots"), "text"), cut, f"node binary, copies long, prefixes array<long>, spots {spots}, s binary")
-    sets = sets.select("node", "copies", "prefixes", "s", F.inline("spots"))
-    other = F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("o")
-    sets = sets.select("*", other).withColumn("i", F.least("chunk", "o")).withColumn("j", F.greatest("chunk", "o")).drop("o")
+    kinds = {"node": "binary", "copies": "long", "grp": "binary", "chunk": "long", "others": "array<long>", "alone": "boolean"}
+    sets = by_batch(both.select(*kinds, "text"), cut, ", ".join(f"{c} {kind}" for c, kind in kinds.items()) + ", s binary")
+    sets = sets.withColumn("o", F.explode("others")).withColumn("i", F.least("chunk", "o")).withColumn("j", F.greatest("chunk", "o")).drop("o", "others")
     dealt = sets.repartition("grp", "i", "j").sortWithinPartitions("grp", "i", "j", "node")
     arrow = pa.schema([("node", pa.binary()), ("links", pa.int64()), ("root", pa.binary()), ("alone", pa.bool_())])
 
     def run(batches):
-        held, now = {}, None  # node -> (chunk, copies, set, prefixes) of the current block
+        held, now = {}, None  # node -> (chunk, copies, set) of the current block
         rows = []
 
         def close():
             if len(held) > 1:
                 nodes_ = list(held)
-                ch, co, se, pre = zip(*held.values())
-                alone = now[3] == 1 and now[4] < 0
-                rows.extend((*r, alone) for r in compare_block(nodes_, list(ch), list(co), list(se), now[1], now[2], p.threshold, now[4], pre))
+                ch, co, se = zip(*held.values())
+                rows.extend((*r, now[3]) for r in compare_block(nodes_, list(ch), list(co), list(se), now[1], now[2], p.threshold))
             held.clear()
 
         def flush():
@@ -261,12 +260,12 @@ def compared(docs: DataFrame, key: str, nodes: DataFrame, groups: DataFrame, p:
             return out
 
         for batch in batches:
-            cols = [batch.column(c).to_pylist() for c in ("grp", "i", "j", "chunks", "tree", "node", "chunk", "copies", "s", "prefixes")]
-            for *block, node, chunk, copies, s, prefixes in zip(*cols):
+            cols = [batch.column(c).to_pylist() for c in ("grp", "i", "j", "alone", "node", "chunk", "copies", "s")]
+            for *block, node, chunk, copies, s in zip(*cols):
                 if now != block:
                     close()
                     now = block
-                held[node] = (chunk, copies, np.frombuffer(s, np.uint64), prefixes)
+                held[node] = (chunk, copies, np.frombuffer(s, np.uint64))
             if len(rows) > 5000:
                 yield flush()
         if now:
@@ -282,7 +281,7 @@ def join_ngrams(docs: DataFrame, key: str = "doc_id", params: JoinParams | None
     small_batches(docs.sparkSession, 500)
     signs = written(signed(docs, key, p), "signatures")
     nodes = signs.where("node IS NOT NULL").groupBy("node").agg(
-        F.min("id").alias("rep"), F.count("*").alias("copies"), F.first("prefixes").alias("prefixes")
+        F.min("id").alias("rep"), F.count("*").alias("copies"), F.first("size").alias("size"), F.first("prefixes").alias("prefixes")
     )
     nodes = written(nodes, "nodes")
     groups = written(candidate_groups(nodes), "groups")
