@@ -2,10 +2,10 @@
 
 1. A document is its set of word shingles (five words; a shorter document is one shingle). Documents with
    equal sets form one node; only nodes go on, with the number of their copies.
-2. The forest has ``trees`` prefix tries of MinHash signatures. Matching starts at ``longest`` values and
-   the matched prefix is shortened until a pair right at the threshold is found in some tree with the
-   target recall. What matches a longer prefix matches the shorter one too, so the groups of the
-   sorted tries are formed once, at the depth where the shortening ends.
+2. Banding of fixed depth replaces an adaptive LSH forest: there are no sorted tries, and nothing is shortened
+   by what the data show. Each of ``trees`` MinHash signatures' prefixes is one hash, and equal ones form a
+   group. Their depth is the largest, from ``longest`` down, at which the formula finds a pair right at the
+   threshold in some tree with the target recall.
 3. Nodes of a group are linked to its smallest node - as many rows as nodes, never pairs - and components
    of that graph are candidate groups.
 4. A candidate group is compared exactly, all nodes with all, in blocks of about ``chunk`` nodes by
