@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
+import shutil
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -11,27 +14,33 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Rows of an Arrow batch: texts of a few kB make batches of a few MB.
-BATCH_ROWS = 1000
+#: Bytes of an Arrow batch; a row that is larger is a batch of its own. Rows alone bound nothing, as texts differ.
+BATCH_BYTES = 4 << 20
 #: ASCII white space, as the contracts' ``[\x20\x09-\x0D]`` has it. ``bytes.split()`` and
 #: ``bytes.strip()`` use the same six characters.
 WS = " \t\n\x0b\x0c\r"
+_written: list[str] = []
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
-    """Whole texts travel in Arrow batches; fewer rows in each keep a worker's memory bounded."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+def bounded_batches(spark: SparkSession) -> None:
+    """Bounds Arrow batches by bytes; one value for all operators, so no plan built earlier is changed."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; one of our own only where the session names none."""
+    """The folder that driver and executors share. In local mode, where they are one process, a temporary folder
+    stands in for it; on a cluster a missing setting is an error, as executors would each write to a disk of their own."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         at = tempfile.mkdtemp(prefix="llm-")
+        atexit.register(shutil.rmtree, at, ignore_errors=True)
         spark.conf.set("spark.checkpoint.dir", at)
     return at.rstrip("/")
 
@@ -40,10 +49,32 @@ def written(df: DataFrame, name: str) -> DataFrame:
     """Write to the shared folder and read again: cuts lineage in a way that outlives executors."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    _written.append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextlib.contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Removes what ``written`` made inside the block, but for tables that ``kept`` names: results that are read
+    after the block must have been written elsewhere or been kept."""
+    at = len(_written)
+    try:
+        yield
+    finally:
+        jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+        for x in _written[at:]:
+            path = jvm.org.apache.hadoop.fs.Path(x)
+            path.getFileSystem(conf).delete(path, True)
+        del _written[at:]
+
+
+def kept(df: DataFrame) -> DataFrame:
+    """Takes the table that ``written`` made last out of the reach of ``scratch``."""
+    _written.pop()
+    return df
+
+
 def by_batch(df: DataFrame, fn: Callable[[pa.RecordBatch], dict | None], schema: T.StructType | str) -> DataFrame:
     """Apply ``fn`` to each Arrow batch; it returns a dict of columns in the schema's order."""
     if isinstance(schema, str):
@@ -51,6 +82,7 @@ def by_batch(df: DataFrame, fn: Callable[[pa.RecordBatch], dict | None], schema:
     from pyspark.sql.pandas.types import to_arrow_schema
 
     arrow = to_arrow_schema(schema)
+    bounded_batches(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -69,6 +101,11 @@ def _array(x, kind: pa.DataType):
     return pa.array(x, type=kind)
 
 
+def whole_rows(docs: DataFrame) -> Column:
+    """All columns of docs as one struct, so that names of ours can't meet names of its columns."""
+    return F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+
+
 def id_text(col: str | Column = "doc_id") -> Column:
     """An id as the text that the contracts hash; null counts as empty text."""
     return F.coalesce((F.col(col) if isinstance(col, str) else col).cast("string"), F.lit(""))

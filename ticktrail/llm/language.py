@@ -18,7 +18,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import by_batch, remainder, small_batches, table
+from .common import by_batch, remainder, table
 
 LETTER = regex.compile(r"\p{L}")
 UNKNOWN = "und"
@@ -135,7 +135,6 @@ def identify(docs: DataFrame, model: LanguageModel, keep: tuple[str, ...] = ("do
 
 def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's language; ids with crc32 mod 5 = 0 are held out of training."""
-    small_batches(spark)
     docs = table(spark, sf_dir, "documents")
     model = train(docs.select("doc_id", "text", "lang"))
     return identify(docs, model).select("doc_id", (remainder(5) == 0).alias("held_out"), "lang_pred", "score")

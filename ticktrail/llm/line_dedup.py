@@ -3,24 +3,30 @@
 Normalised lines are exploded and hashed to 128 bits, documents are counted per hash, and lines over the
 threshold are dropped; what stays is joined again by position.
 
-Skew: a very common line is counted by a partial aggregate before the shuffle. The join of a document's
-hashes with the dropped hashes is an inner equi-join that Spark may split or broadcast by measured size;
-the lines themselves are never shuffled, and a document's text moves once, keyed by its id.
+A document is a distinct doc_id; rows without one hold lines but count for none and are never the keeper, and rows
+that repeat a doc_id share its fate. Equal rows lose equal lines, so a row is known by its doc_id and its
+text's hash: rows that share an id, or have none, don't crowd into one group.
 
-Null and empty texts are one empty line. A row is one document when documents are counted; rows that
-repeat a doc_id share its fate as the keeper. Rows with a null doc_id keep a shared line only if no
-holder has an id. Columns besides text and doc_id pass through unchanged.
+Skew: a very common line is counted by partial aggregates before the shuffles. Lines travel as hashes only. Each
+text moves once, to meet the hashes that it loses; those are the built side of a hash join, so texts are
+streamed and not sorted, and Spark splits a partition that is too large.
+
+Null and empty texts are one empty line. Columns besides text and doc_id pass through unchanged, whatever
+their names. An empty table gives no rows.
 """
 
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Iterator
 
+import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import by_batch, small_batches, table, utf8, written
+from .common import bounded_batches, by_batch, table, utf8, whole_rows, written
 
 STRIP = b" \t\n\x0b\x0c\r"
 MIN_CHARS = 40
@@ -35,37 +41,41 @@ def line_hash(line: bytes, min_chars: int) -> bytes | None:
     return xxhash.xxh3_128_digest(key.lower())
 
 
+def text_hash(text: str | Column = "text") -> Column:
+    return F.xxhash64(utf8(text))
+
+
 def line_hashes(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
-    """(doc_id, hash): each document's distinct hashes of long lines."""
+    """(doc_id, text_hash, hash): each row's distinct hashes of long lines."""
 
     def run(batch):
-        ids, out_i, out_h = batch.column("doc_id").to_pylist(), [], []
-        for i, text in zip(ids, batch.column("text").to_pylist()):
-            found = {line_hash(x, min_chars) for x in text.split(b"\n")} if len(text) >= min_chars else ()
-            for h in found:
-                if h is not None:
-                    out_i.append(i)
-                    out_h.append(h)
-        return {"doc_id": out_i, "hash": out_h}
+        at, out = [], []
+        for i, text in enumerate(batch.column("text").to_pylist()):
+            found = {line_hash(x, min_chars) for x in text.split(b"\n")} - {None} if len(text) >= min_chars else ()
+            at += [i] * len(found)
+            out += found
+        at = pa.array(at, pa.int64())
+        return {"doc_id": batch.column("doc_id").take(at), "text_hash": batch.column("text_hash").take(at), "hash": out}
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return by_batch(docs.select("doc_id", utf8().alias("text")), run, f"doc_id {kind}, hash binary")
+    return by_batch(docs.select("doc_id", text_hash().alias("text_hash"), utf8().alias("text")), run, f"doc_id {kind}, text_hash long, hash binary")
 
 
 def dropped_hashes(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS) -> DataFrame:
-    """(doc_id, hashes): for each document that loses lines, the hashes of their keys."""
+    """(doc_id, text_hash, hashes): for each row that loses lines, the hashes of their keys."""
     lines = written(line_hashes(docs, min_chars), "line-hashes")
-    shared = lines.groupBy("hash").agg(F.count("*").alias("n"), F.max("doc_id").alias("keeper")).where(F.col("n") >= min_docs)
-    # Written, so that its measured size decides between broadcast and shuffle.
-    shared = written(shared.select("hash", "keeper"), "shared-lines")
-    gone = lines.join(shared, "hash").where(~F.col("doc_id").eqNullSafe(F.col("keeper")))
-    return gone.groupBy("doc_id").agg(F.collect_set("hash").alias("hashes"))
+    shared = lines.groupBy("hash").agg(F.count_distinct("doc_id").alias("n"), F.max("doc_id").alias("keeper")).where(F.col("n") >= min_docs)
+    # Spark broadcasts the shared hashes if their measured size is small, and shuffles them if not.
+    gone = lines.join(shared.select("hash", "keeper"), "hash").where(~F.col("doc_id").eqNullSafe(F.col("keeper")))
+    return gone.groupBy("doc_id", "text_hash").agg(F.collect_set("hash").alias("hashes"))
 
 
 def _with_dropped(docs: DataFrame, min_chars: int, min_docs: int) -> DataFrame:
-    """docs with the column __hashes; a text is moved once."""
-    gone = dropped_hashes(docs, min_chars, min_docs).select(F.col("doc_id").alias("__id"), F.col("hashes").alias("__hashes"))
-    return docs.join(gone, docs["doc_id"].eqNullSafe(gone["__id"]), "left").drop("__id")
+    """(row, hashes) for every row of docs; hashes is null where nothing goes."""
+    gone = dropped_hashes(docs, min_chars, min_docs).withColumnsRenamed({"doc_id": "id", "text_hash": "of"}).hint("shuffle_hash")
+    rows = docs.select(whole_rows(docs).alias("row"))
+    same = F.col("row.doc_id").eqNullSafe(F.col("id")) & (text_hash("row.text") == F.col("of"))
+    return rows.join(gone, same, "left").select("row", "hashes")
 
 
 def split_kept(text: bytes, dropped, min_chars: int) -> tuple[list[bytes], int]:
@@ -78,27 +88,31 @@ def split_kept(text: bytes, dropped, min_chars: int) -> tuple[list[bytes], int]:
 
 
 def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS) -> DataFrame:
-    """docs with shared lines taken out of text; null stays null where nothing is dropped, n_chars follows the text."""
-
-    @F.pandas_udf("string")
-    def kept(text, dropped):
-        import pandas as pd
-
-        return pd.Series([b"\n".join(split_kept(t, d, min_chars)[0]).decode() for t, d in zip(text, dropped)])
-
-    found = _with_dropped(docs, min_chars, min_docs)
-    new = F.when(F.col("__hashes").isNull(), F.col("text")).otherwise(kept(utf8(), F.col("__hashes")))
-    out = found.withColumn("text", new)
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("__hashes").isNull(), F.col("n_chars")).otherwise(F.length("text")).cast(docs.schema["n_chars"].dataType))
-    return out.select(*[F.col(f"`{c}`") for c in docs.columns])
+    """docs with shared lines taken out of text; null stays null where nothing is dropped, n_chars follows the text.
+    Rows that lose nothing pass through a batch as they are."""
+    names = docs.columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            row, hashes = batch.column("row"), batch.column("hashes")
+            cols = dict(zip(names, row.flatten()))
+            hit = hashes.is_valid()
+            if hit.true_count:
+                texts = cols["text"].filter(hit).to_pylist()
+                new = [b"\n".join(split_kept((t or "").encode(), d, min_chars)[0]).decode() for t, d in zip(texts, hashes.filter(hit).to_pylist())]
+                cols["text"] = pc.replace_with_mask(cols["text"], hit, pa.array(new, cols["text"].type))
+                if "n_chars" in cols:
+                    cols["n_chars"] = pc.replace_with_mask(cols["n_chars"], hit, pa.array([len(t) for t in new], cols["n_chars"].type))
+            yield pa.RecordBatch.from_arrays([cols[c] for c in names], names=names)
+
+    bounded_batches(docs.sparkSession)
+    return _with_dropped(docs, min_chars, min_docs).mapInArrow(run, docs.schema)
 
 
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per document: its lines, how many of them go, and a digest of what stays."""
-    small_batches(spark)
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    found = _with_dropped(docs, MIN_CHARS, MIN_DOCS).select("doc_id", utf8().alias("text"), F.col("__hashes").alias("dropped"))
+    found = _with_dropped(docs, MIN_CHARS, MIN_DOCS).select("row.doc_id", utf8("row.text").alias("text"), F.col("hashes").alias("dropped"))
 
     def run(batch):
         n, gone, sha = [], [], []

@@ -28,7 +28,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import by_batch, small_batches, table, written
+from .common import by_batch, table, written
 
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -176,7 +176,6 @@ def slots_of(spark: SparkSession, plan: MixPlan) -> DataFrame:
         key = (src * 131 + epoch).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93) + np.uint64(p.seed)
         return {"shard": shard, "slot": slot, "src": src, "block": permute(k % n_blocks[src], n_blocks[src], key), "epoch": epoch}
 
-    small_batches(spark, 20_000)
     parts = max(1, min(4096, total // 50_000 + 1))
     return by_batch(spark.range(0, total, 1, parts), run, "shard int, slot long, src int, block long, epoch int")
 

@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import by_batch, small_batches, table, utf8, written
+from .common import bounded_batches, by_batch, table, utf8, written
 from .components import components
 
 P = np.uint64(0x9E3779B97F4A7C15)
@@ -278,7 +278,7 @@ def compared(docs: DataFrame, key: str, nodes: DataFrame, groups: DataFrame, p:
 def join_ngrams(docs: DataFrame, key: str = "doc_id", params: JoinParams | None = None) -> DataFrame:
     """(id, class_id, n_links): the class's smallest id and the number of other documents that are similar."""
     p = params or JoinParams()
-    small_batches(docs.sparkSession, 500)
+    bounded_batches(docs.sparkSession)
     signs = written(signed(docs, key, p), "signatures")
     nodes = signs.where("node IS NOT NULL").groupBy("node").agg(
         F.min("id").alias("rep"), F.count("*").alias("copies"), F.first("size").alias("size"), F.first("prefixes").alias("prefixes")

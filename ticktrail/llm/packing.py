@@ -29,7 +29,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import by_batch, small_batches, table, written
+from .common import by_batch, table, written
 
 END = 0
 
@@ -168,7 +168,6 @@ def ranked(cut: DataFrame, p: PackParams) -> DataFrame:
 def pack(docs: DataFrame, params: PackParams | None = None, keep_ids: bool = False) -> DataFrame:
     """(doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset[, ids]) for docs(doc_id, text)."""
     p = params or PackParams()
-    small_batches(docs.sparkSession, 200)
     cut = written(pieces(docs, p, keep_ids), "pieces")
     histogram = {r[0]: r[1] for r in cut.groupBy("length").count().collect()}  # at most capacity rows
     runs = runs_of(shortest_pack_first(histogram, p.capacity))

@@ -20,7 +20,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import by_batch, hash_sample, label_ids, remainder, small_batches, table, utf8
+from .common import by_batch, hash_sample, label_ids, remainder, table, utf8
 
 EMBED, STRIDE, WIDTH = 8, 6, 12
 CHUNK = 510  # bytes; a multiple of STRIDE
@@ -216,7 +216,6 @@ def score(docs: DataFrame, model: Cnn, keep: tuple[str, ...] = ("doc_id",)) -> D
 
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's score; ids with crc32 mod 3 = 1 are held out of training."""
-    small_batches(spark)
     docs = table(spark, sf_dir, "documents")
     model = train(docs, table(spark, sf_dir, "labels"))
     return score(docs, model).select(

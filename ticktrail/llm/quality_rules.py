@@ -16,7 +16,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WS, by_batch, small_batches, table, utf8
+from .common import WS, by_batch, table, utf8
 
 SYMBOLS = "#*$%&|<>"
 WINDOW = 5
@@ -137,7 +137,6 @@ def ablations(led: DataFrame, policy: Policy) -> DataFrame:
 
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Measurements and the verdict of the full policy for every document."""
-    small_batches(spark)
     led = apply_policy(ledger(table(spark, sf_dir, "documents").select("doc_id", "text")), FULL)
     return led.select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",

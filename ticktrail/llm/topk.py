@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import small_batches, table, written
+from .common import bounded_batches, table, written
 
 ONES = np.uint64(0xFFFFFFFFFFFFFFFF)
 
@@ -201,7 +201,7 @@ class SlicedBlock:
 def search(vectors: DataFrame, is_query: Column, params: TopKParams | None = None) -> DataFrame:
     """(query_id, rank, vec_id, score) of vectors(vec_id, embedding) for the rows where is_query holds."""
     p = params or TopKParams()
-    small_batches(vectors.sparkSession, 2000)
+    bounded_batches(vectors.sparkSession)
     built = written(blocks(vectors, is_query, p), "vector-blocks")
 
     def queries_of(batches):
@@ -215,7 +215,6 @@ def search(vectors: DataFrame, is_query: Column, params: TopKParams | None = Non
 
     qarrow = pa.schema([("qblock", pa.string()), ("qdim", pa.int32()), ("qhome", pa.int64()), ("qat", pa.binary()), ("qids", pa.binary()), ("q", pa.binary())])
     asked = built.mapInArrow(queries_of, "qblock string, qdim int, qhome long, qat binary, qids binary, q binary")
-    small_batches(vectors.sparkSession, 4)  # rows are blocks of megabytes from here on
     asked = written(asked, "query-blocks")
 
     def find(batches):
@@ -244,7 +243,6 @@ def search(vectors: DataFrame, is_query: Column, params: TopKParams | None = Non
     # Blocks of rows with blocks of queries of their length: each pair is one row of work. The few, small
     # query blocks are dealt to the row blocks by length.
     local = written(_pairs(built, asked).mapInArrow(find, "qrow string, query_id long, vec_id long, score long"), "block-tops")
-    small_batches(vectors.sparkSession)
     order = Window.partitionBy("qrow").orderBy(F.desc("score"), F.col("vec_id").asc_nulls_last())
     best = local.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= p.k)
     return best.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")

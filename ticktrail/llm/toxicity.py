@@ -19,11 +19,12 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import by_batch, hash_sample, label_ids, remainder, small_batches, table, utf8
+from .common import bounded_batches, by_batch, hash_sample, label_ids, remainder, table, utf8
 
 BITS = 18
 MASK = (1 << BITS) - 1
@@ -204,7 +205,6 @@ def score(docs: DataFrame, model: LinearModel, keep: tuple[str, ...] = ("doc_id"
 
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's score; ids with crc32 mod 5 = 0 are held out of training."""
-    small_batches(spark)
     docs = table(spark, sf_dir, "documents")
     model = train(docs, table(spark, sf_dir, "labels"))
     return score(docs, model).select(
@@ -214,17 +214,14 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: drops the documents whose score is 0.5 or more. Columns stay as they are."""
-    small_batches(spark)
-    model = train(docs, table(spark, sf_dir, "labels"))
-    sent = spark.sparkContext.broadcast(model)
+    sent = spark.sparkContext.broadcast(train(docs, table(spark, sf_dir, "labels")))
     held = {}
 
-    @F.pandas_udf("boolean")
-    def clean(text):
-        if "f" not in held:
-            held["f"] = sent.value.scorer()
-        import pandas as pd
-
-        return pd.Series([held["f"](t) < 0.5 for t in text])
+    def run(batches):
+        score = held.setdefault("f", sent.value.scorer())
+        for batch in batches:
+            texts = batch.column("text").to_pylist()
+            yield batch.filter(pa.array([score((t or "").encode()) < 0.5 for t in texts], pa.bool_()))
 
-    return docs.where(clean(utf8()))
+    bounded_batches(spark)
+    return docs.mapInArrow(run, docs.schema)
