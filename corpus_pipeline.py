@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ticktrail.llm.common import small_batches, table, written
+from ticktrail.llm.common import kept, scratch, table, written
 from ticktrail.llm.line_dedup import dedup_lines
 from ticktrail.llm.mixing import mix_documents
 from ticktrail.llm.ngram_join import keep_one
@@ -14,7 +14,6 @@ from ticktrail.llm.toxicity import reject_toxic
 
 def drop_shared_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Takes shared lines out of the texts; every document stays."""
-    small_batches(spark)
     return dedup_lines(docs)
 
 
@@ -33,5 +32,6 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir), name)
+        with scratch(spark):  # what a stage writes on its way goes when its result stands
+            docs = kept(written(stage(spark, docs, sf_dir), name))
     return STAGES[-1][1](spark, docs, sf_dir)
