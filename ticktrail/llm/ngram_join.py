@@ -2,23 +2,31 @@
 
 1. A document is its set of word shingles (five words; a shorter document is one shingle). Documents with
    equal sets form one node; only nodes go on, with the number of their copies.
-2. Banding of fixed depth replaces an adaptive LSH forest: there are no sorted tries, and nothing is shortened
-   by what the data show. Each of ``trees`` MinHash signatures' prefixes is one hash, and equal ones form a
-   group. Their depth is the largest, from ``longest`` down, at which the formula finds a pair right at the
-   threshold in some tree with the target recall.
-3. Nodes of a group are linked to its smallest node - as many rows as nodes, never pairs - and components
+2. Each of ``trees`` MinHash signatures of ``longest`` values is a path in a prefix trie, kept as bytes whose
+   order is the trie's. A trie's nodes at a depth are runs of equal prefixes of the sorted paths.
+3. Nodes match at the longest prefix first; the matched prefix is shortened, value by value, until the measured
+   recall reaches the target. Recall is measured against exact pairs: in the pass that makes the signatures every
+   document is compared exactly with a sample of at most ``sample`` documents, and a similar pair tells the longest
+   prefix that the two share in any tree. A depth's recall is the mean, over sampled documents that have
+   links, of the share of links that meet at that depth; one pair right at the threshold, at the recall that the
+   formula gives it, stands beside them, so that few links are no proof for a long prefix. As prefixes nest,
+   groups at the final depth hold those of all longer ones and are formed once.
+4. Nodes of a group are linked to its smallest node - as many rows as nodes, never pairs - and components
    of that graph are candidate groups.
-4. A candidate group is compared exactly, all nodes with all, in blocks of about ``chunk`` nodes by
+5. A candidate group is compared exactly, all nodes with all, in blocks of about ``chunk`` nodes by
    ``chunk``. A block's intersections are matrix products; it returns one row per node (its links) and a
    spanning forest, not pairs. So no link inside a candidate group is lost, whatever its size or shape, at the
    cost of shingle sets being copied once for every ``chunk`` nodes they are compared with. A group of several
    blocks is first cut into bands of set sizes, each wide enough that two sets right at the threshold lie in
    one band or in neighbours; blocks of bands further apart hold no link and are not formed.
-5. Links join nodes to classes.
+6. Links join nodes to classes.
 
 Documents without words link to nothing and are classes of their own; null texts likewise. Rows that
-repeat an id are documents of their own as long as the id is used for output only. Ties can't occur:
+repeat an id are documents of their own as long as the id is used for output only; a node's text is found by
+its id and its text's hash, so rows that share an id, or have none, meet their own node only. Ties can't occur:
 the class id is the smallest id. An empty table gives no rows.
+
+Memory: the sample's shingles are broadcast, at most ``sample`` whole texts of 8 bytes a word.
 """
 
 from __future__ import annotations
@@ -32,7 +40,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, by_batch, table, utf8, written
+from .common import bounded_batches, by_batch, table, utf8, whole_rows, written
 from .components import components
 
 P = np.uint64(0x9E3779B97F4A7C15)
@@ -46,17 +54,13 @@ class JoinParams:
     trees: int = 24
     longest: int = 8
     recall: float = 0.999
+    sample: int = 512
     chunk: int = 768
-    loose: float = 2.0  # without effect: loose groups are compared whole like all others
     seed: int = 17
 
-    @property
-    def depth(self) -> int:
-        """Shortens the matched prefix from ``longest`` until the recall at the threshold is met."""
-        for depth in range(self.longest, 1, -1):
-            if 1 - (1 - self.threshold**depth) ** self.trees >= self.recall:
-                return depth
-        return 1
+    def chance(self, similarity: float, depth: int) -> float:
+        """That two sets of this similarity share a prefix of this depth in some tree."""
+        return 1 - (1 - similarity**depth) ** self.trees
 
     @property
     def band(self) -> float:
@@ -98,45 +102,126 @@ def set_hash(s: np.ndarray) -> bytes | None:
 
 
 class Forest:
-    """Prefixes of a set's signature in each tree."""
+    """A set's paths: in each tree, ``longest`` MinHash values."""
 
     def __init__(self, p: JoinParams):
         rng = np.random.default_rng(p.seed)
-        self.p, self.size = p, p.trees * p.depth
+        self.p, self.size = p, p.trees * p.longest
         self.a = rng.integers(0, 1 << 32, self.size, dtype=np.uint32)
         self.b = rng.integers(0, 1 << 31, self.size, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
 
-    def prefixes(self, s: np.ndarray) -> list[int]:
+    def paths(self, s: np.ndarray) -> np.ndarray:
+        """trees x longest values."""
         x = (s >> np.uint64(32)).astype(np.uint32)
         sig = np.full(self.size, 0xFFFFFFFF, np.uint32)
         for at in range(0, len(x), 512):
             np.minimum(sig, ((x[at : at + 512, None] ^ self.a) * self.b).min(axis=0), out=sig)
-        rows = sig.reshape(self.p.trees, self.p.depth)
-        return [xxhash.xxh3_64_intdigest(r.tobytes(), seed=t) - (1 << 63) for t, r in enumerate(rows)]
+        return sig.reshape(self.p.trees, self.p.longest)
+
 
+def shared_depth(a: np.ndarray, b: np.ndarray) -> int:
+    """The longest prefix that two signatures share in any tree."""
+    return int(np.cumprod(a == b, axis=1).sum(axis=1).max(initial=0))
 
-def signed(docs: DataFrame, key: str, p: JoinParams) -> DataFrame:
-    """(id, node, size, prefixes): node is the hash of the shingle set, null where there are no words."""
+
+class Sample:
+    """Exact comparison of any set with a few: an index from shingles to the sample's sets."""
+
+    def __init__(self, texts: list[bytes], p: JoinParams):
+        forest, self.t = Forest(p), p.threshold
+        sets = list({set_hash(s): s for s in (shingles(t, p.words) for t in texts) if len(s)}.items())
+        self.nodes, sets = [n for n, _ in sets], [s for _, s in sets]
+        self.sizes = np.array([len(s) for s in sets], np.int64)
+        self.paths = [forest.paths(s) for s in sets]
+        flat = np.concatenate([np.empty(0, np.uint64), *sets])
+        own = np.repeat(np.arange(len(sets)), self.sizes)
+        order = np.argsort(flat, kind="stable")
+        self.keys, first = np.unique(flat[order], return_index=True)
+        self.own, self.bounds = own[order], np.append(first, len(flat))
+
+    def similar(self, node: bytes, s: np.ndarray, paths: np.ndarray) -> list[int]:
+        """For each sampled set, but the node's own, of at least the threshold's similarity: its number * 16 + the
+        depth at which the two meet."""
+        if not len(self.keys):
+            return []
+        at = np.searchsorted(self.keys, s)
+        at[at == len(self.keys)] = 0
+        at = at[self.keys[at] == s]
+        if not len(at):
+            return []
+        lo, n = self.bounds[at], self.bounds[at + 1] - self.bounds[at]
+        places = np.repeat(lo - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        inter = np.bincount(self.own[places], minlength=len(self.sizes))
+        close = np.flatnonzero(inter * (1 + self.t) >= self.t * (self.sizes + len(s)) - 1e-9)
+        return [int(k) * 16 + min(15, shared_depth(self.paths[k], paths)) for k in close if self.nodes[k] != node]
+
+
+def sample_of(docs: DataFrame, p: JoinParams) -> Sample:
+    """At most p.sample different texts, chosen by a hash of the text: the same at every run."""
+    n, span = docs.count(), 1 << 40
+    rows = docs.select(utf8().alias("text")).withColumn("h", F.xxhash64("text", F.lit(p.seed))).where(F.length("text") > 0)
+    if n > p.sample:
+        rows = rows.where(F.pmod("h", F.lit(span)) < -(-span * 2 * p.sample // n))
+    chosen = rows.dropDuplicates(["text"]).orderBy("h", "text").limit(p.sample)
+    return Sample([bytes(r[0]) for r in chosen.select("text").collect()], p)
+
+
+def signed(docs: DataFrame, key: str, p: JoinParams, sample: Sample) -> DataFrame:
+    """(id, text_hash, node, size, paths, met): node is the hash of the shingle set, null where there are no words;
+    paths are a tree's number and values as bytes; met is what Sample.similar says."""
+    sent = docs.sparkSession.sparkContext.broadcast(sample)
     held = {}
 
     def run(batch):
         if "f" not in held:
             held["f"] = Forest(p)
-        node, size, pre = [], [], []
+        node, size, paths, met = [], [], [], []
         for text in batch.column("text").to_pylist():
             s = shingles(text, p.words)
             node.append(set_hash(s))
             size.append(len(s))
-            pre.append(held["f"].prefixes(s) if len(s) else None)
-        return {"id": batch.column("id"), "node": node, "size": size, "prefixes": pre}
-
+            if not len(s):
+                paths.append(None)
+                met.append(None)
+                continue
+            sig = held["f"].paths(s)
+            met.append(sent.value.similar(node[-1], s, sig) or None)
+            paths.append([bytes((t,)) + row.tobytes() for t, row in enumerate(sig.byteswap())])
+        return {"id": batch.column("id"), "text_hash": batch.column("text_hash"), "node": node, "size": size, "paths": paths, "met": met}
+
+    if p.trees > 256 or p.longest > 15:
+        raise ValueError("at most 256 trees of 15 values")
     kind = docs.schema[key].dataType.simpleString()
-    return by_batch(docs.select(F.col(key).alias("id"), utf8().alias("text")), run, f"id {kind}, node binary, size int, prefixes array<long>")
-
-
-def candidate_groups(nodes: DataFrame) -> DataFrame:
-    """(node, root) of nodes(node, prefixes) that share a prefix with another node, through any chain."""
-    trie = nodes.select("node", F.explode("prefixes").alias("prefix"))
+    rows = docs.select(F.col(key).alias("id"), F.xxhash64(utf8()).alias("text_hash"), utf8().alias("text"))
+    return by_batch(rows, run, f"id {kind}, text_hash long, node binary, size int, paths array<binary>, met array<int>")
+
+
+def measured_recall(signs: DataFrame, p: JoinParams) -> dict[int, float]:
+    """Recall by depth, from the sample's exact links. At most p.sample times 16 rows are collected."""
+    met = signs.where("met IS NOT NULL").select("node", F.explode("met").alias("m")).distinct()
+    links: dict[int, dict[int, int]] = {}
+    for m, n in met.groupBy("m").count().collect():
+        links.setdefault(m // 16, {})[m % 16] = n
+    out = {}
+    for depth in range(1, p.longest + 1):
+        shares = [sum(n for d, n in x.items() if d >= depth) / sum(x.values()) for x in links.values()]
+        out[depth] = (sum(shares) + p.chance(p.threshold, depth)) / (len(shares) + 1)
+    return out
+
+
+def final_depth(recall: dict[int, float], p: JoinParams) -> int:
+    """Shortens the matched prefix from the longest until the target is reached."""
+    depth = p.longest
+    while depth > 1 and recall[depth] < p.recall:
+        depth -= 1
+    return depth
+
+
+def candidate_groups(nodes: DataFrame, depth: int) -> DataFrame:
+    """(node, root) of nodes(node, paths) that share a prefix of this depth with another node, through any chain.
+    The sorted paths are walked once: equal prefixes are neighbours there."""
+    trie = nodes.select("node", F.explode("paths").alias("path"))
+    trie = trie.select("node", F.substring("path", 1, 1 + 4 * depth).alias("prefix"))
     groups = trie.groupBy("prefix").agg(F.min("node").alias("v"), F.count("*").alias("n")).where("n > 1").drop("n")
     return components(trie.join(groups, "prefix").select(F.col("node").alias("u"), "v"))
 
@@ -199,14 +284,15 @@ def compare_block(nodes: list[bytes], chunks: list[int], copies: list[int], sets
 
 
 def members(nodes: DataFrame, groups: DataFrame, p: JoinParams) -> DataFrame:
-    """(node, rep0, copies, grp, chunk, others, alone): a node's chunk in its group and the chunks that it is compared
+    """(node, rep0, hash0, copies, grp, chunk, others, alone): a node's chunk in its group and the chunks that it is compared
     with, its own included. A group of up to p.chunk nodes is one chunk; in others a chunk is part of a band."""
     sizes = groups.groupBy("root").agg(F.count("*").alias("n"))
-    d = written(groups.join(sizes, "root").join(nodes.select("node", F.col("rep").alias("rep0"), "copies", "size"), "node"), "members")
+    known = nodes.select("node", F.col("rep").alias("rep0"), F.col("rep_hash").alias("hash0"), "copies", "size")
+    d = written(groups.join(sizes, "root").join(known, "node"), "members")
     d = d.withColumn("alone", F.col("n") <= p.chunk).withColumn("band", F.floor(F.log("size") / p.band))
     counts = d.where("NOT alone").groupBy("root", "band").agg(F.ceil(F.count("*") / p.chunk).alias("chunks"))
     bands = counts.groupBy("root").agg(F.map_from_entries(F.collect_list(F.struct("band", "chunks"))).alias("bands"))
-    d = d.join(F.broadcast(bands), "root", "left")  # a row for every p.chunk nodes at most
+    d = d.join(bands, "root", "left")  # a row for every p.chunk nodes at most; Spark broadcasts it by measured size
 
     def name(band, k):
         return band * 10_000_000 + k
@@ -218,17 +304,17 @@ def members(nodes: DataFrame, groups: DataFrame, p: JoinParams) -> DataFrame:
     band, zero = F.col("band"), F.lit(0).cast("long")
     own = name(band, F.pmod(F.xxhash64("node"), F.try_element_at("bands", band)))
     return d.select(
-        "node", "rep0", "copies", F.col("root").alias("grp"), F.when(F.col("alone"), zero).otherwise(own).alias("chunk"),
+        "node", "rep0", "hash0", "copies", F.col("root").alias("grp"), F.when(F.col("alone"), zero).otherwise(own).alias("chunk"),
         F.when(F.col("alone"), F.array(zero)).otherwise(F.concat(*[chunks_of(band + k) for k in (-1, 0, 1)])).alias("others"), "alone",
     )
 
 
 def compared(docs: DataFrame, key: str, nodes: DataFrame, groups: DataFrame, p: JoinParams) -> DataFrame:
     """(node, links, root, alone): links counts documents; alone marks groups of one block, whose root is final."""
-    texts = docs.select(F.col(key).alias("rep"), utf8().alias("text"))
-    # The texts move once, by id; null ids meet null ids (repeated ids are told apart by the set's hash).
-    # Members grow with the table: one plan at every size, no broadcast while they happen to be few.
-    both = members(nodes, groups, p).hint("merge").join(texts, F.col("rep0").eqNullSafe(F.col("rep")))
+    texts = docs.select(F.col(key).alias("rep"), F.xxhash64(utf8()).alias("text_hash"), utf8().alias("text"))
+    # The texts move once and are streamed past the members, which are short rows.
+    wanted = members(nodes, groups, p).hint("shuffle_hash")
+    both = texts.join(wanted, F.col("rep").eqNullSafe(F.col("rep0")) & (F.col("text_hash") == F.col("hash0")))
 
     def cut(batch):
         s = [shingles(t, p.words) for t in batch.column("text").to_pylist()]
@@ -279,12 +365,15 @@ def join_ngrams(docs: DataFrame, key: str = "doc_id", params: JoinParams | None
     """(id, class_id, n_links): the class's smallest id and the number of other documents that are similar."""
     p = params or JoinParams()
     bounded_batches(docs.sparkSession)
-    signs = written(signed(docs, key, p), "signatures")
+    signs = written(signed(docs, key, p, sample_of(docs, p)), "signatures")
+    depth = final_depth(measured_recall(signs, p), p)
+    # A node's text is that of its smallest id; among rows that share this id, of the smallest hash.
     nodes = signs.where("node IS NOT NULL").groupBy("node").agg(
-        F.min("id").alias("rep"), F.count("*").alias("copies"), F.first("size").alias("size"), F.first("prefixes").alias("prefixes")
-    )
-    nodes = written(nodes, "nodes")
-    groups = written(candidate_groups(nodes), "groups")
+        F.min(F.struct(F.col("id").isNull().alias("null"), "id", "text_hash")).alias("least"),
+        F.count("*").alias("copies"), F.first("size").alias("size"), F.first("paths").alias("paths"),
+    )
+    nodes = written(nodes.select("node", F.col("least.id").alias("rep"), F.col("least.text_hash").alias("rep_hash"), "copies", "size", "paths"), "nodes")
+    groups = written(candidate_groups(nodes, depth), "groups")
     found = written(compared(docs, key, nodes, groups, p), "links")
     links = found.groupBy("node").agg(F.sum("links").alias("links"))
     edges = found.where("NOT alone").select(F.col("node").alias("u"), F.col("root").alias("v"))
@@ -308,9 +397,12 @@ def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def keep_one(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: one document of each class stays, the first by id. Columns stay as they are."""
+    """Pipeline stage: one document of each class stays, the first by id. Columns stay as they are, whatever their
+    names: they travel as one struct."""
     order = F.lpad(F.monotonically_increasing_id().cast("string"), 20, "0")
-    keyed = written(docs.withColumn("__row", F.struct(F.col("doc_id").alias("d"), order.alias("r"))), "to-join")
-    found = join_ngrams(keyed, "__row")
-    kept = found.where(F.col("id") == F.col("class_id")).select(F.col("id").alias("__row"))
-    return keyed.join(kept, "__row", "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])
+    at = F.struct(F.col("doc_id").alias("d"), order.alias("r"))
+    keyed = written(docs.select(at.alias("at"), F.col("text"), whole_rows(docs).alias("row")), "to-join")
+    found = join_ngrams(keyed.select("at", "text"), "at")
+    firsts = found.where(F.col("id") == F.col("class_id")).select(F.col("id").alias("at"))
+    rows = keyed.select("at", "row").join(firsts.hint("shuffle_hash"), "at", "left_semi")
+    return rows.select(*[F.col(f"row.`{c}`").alias(c) for c in docs.columns])
