@@ -9,13 +9,15 @@ the k-th coarse score. What was dropped moves a score by an amount with a known
 whose coarse score could still reach the k-th is a boundary row; those are scored exactly by integer
 inner products, and ties go to the smaller id. Results are exact whatever ``drop`` is.
 
-Queries are a stated set and meet all rows block by block: a block of queries with a block of rows gives
-at most k rows a query, which are then merged per query.
+Queries are a stated set and meet all rows block by block. Row blocks are dealt to at most ``lanes`` lanes and query
+blocks to groups; a task keeps the k best rows of each query of its group while the blocks of its lane
+pass, so at most lanes x k rows a query are merged, however many blocks there are.
 
 Vectors that are null, or hold a null or a non-finite component, take no part. A vector meets only
 vectors of its own length. Repeated rows are rows of their own: a query is kept only from its own row.
 A null id takes part as a candidate, after other ids in ties, and is never a query. Components beyond
-2^23 after scaling, which could overflow 64-bit scores, are refused with an error.
+2^23 after scaling go into wide blocks, which are scored exactly without slices; a score beyond a long is
+the nearest long, and ranks and ties go by that. A scaled component beyond 2^1000 counts as 2^1000.
 """
 
 from __future__ import annotations
@@ -40,36 +42,39 @@ class TopKParams:
     block_values: int = 1 << 20
     query_block: int = 128
     largest: int = 1 << 23
+    lanes: int = 512
+    group_blocks: int = 256
 
 
 def quantise(v, scale: float) -> np.ndarray | None:
-    """Components as integers, or None if the vector takes no part."""
+    """Components as whole numbers in floats, or None if the vector takes no part."""
     if v is None:
         return None
     a = np.array([np.nan if x is None else x for x in v] if isinstance(v, list) else v, np.float64)
-    return np.floor(a * scale).astype(np.int64) if np.isfinite(a).all() else None
+    if not np.isfinite(a).all():
+        return None
+    with np.errstate(over="ignore"):
+        return np.clip(np.floor(a * scale), -(2.0**1000), 2.0**1000)
 
 
 def blocks(vectors: DataFrame, is_query: Column, p: TopKParams) -> DataFrame:
-    """(block, dim, n, ids, nulls, queries, values): rows of one partition and length, packed."""
+    """(block, dim, wide, n, ids, nulls, queries, values): rows of one partition and length, packed."""
 
-    def pack(block, dim, ids, qs, values):
-        x = np.concatenate(values) if values else np.empty((0, dim), np.int64)
-        if x.size and np.abs(x).max() > p.largest:
-            raise ValueError("a component is too large for 64-bit scores")
+    def pack(block, dim, wide, ids, qs, values):
+        x = np.concatenate(values)
         null = np.array([i is None for i in ids], bool)
-        return block, dim, len(ids), np.array([0 if i is None else i for i in ids], np.int64).tobytes(), null.tobytes(), np.array(qs, bool).tobytes(), x.astype(np.int32).tobytes()
+        return block, dim, wide, len(ids), np.array([0 if i is None else i for i in ids], np.int64).tobytes(), null.tobytes(), np.array(qs, bool).tobytes(), x.astype(np.float64 if wide else np.int32).tobytes()
 
     def run(batches):
         from pyspark import TaskContext
 
         part, made = TaskContext.get().partitionId() << 32, 0
-        held: dict[int, tuple[list, list, list]] = {}
-        names = ("block", "dim", "n", "ids", "nulls", "queries", "values")
+        held: dict[tuple[int, bool], tuple[list, list, list]] = {}
+        names = ("block", "dim", "wide", "n", "ids", "nulls", "queries", "values")
 
-        def out(dim):
+        def out(kind):
             nonlocal made
-            row = pack(part + made, dim, *held.pop(dim))
+            row = pack(part + made, *kind, *held.pop(kind))
             made += 1
             return pa.RecordBatch.from_pydict({k: [v] for k, v in zip(names, row)}, schema=arrow)
 
@@ -78,17 +83,18 @@ def blocks(vectors: DataFrame, is_query: Column, p: TopKParams) -> DataFrame:
                 x = quantise(v, p.scale)
                 if x is None:
                     continue
-                ids, qs, values = held.setdefault(len(x), ([], [], []))
+                kind = len(x), bool(np.abs(x).max(initial=0) > p.largest)
+                ids, qs, values = held.setdefault(kind, ([], [], []))
                 ids.append(i)
                 qs.append(bool(q) and i is not None)
                 values.append(x[None])
                 if len(ids) >= max(64, p.block_values // max(1, len(x))):
-                    yield out(len(x))
-        for dim in list(held):
-            yield out(dim)
+                    yield out(kind)
+        for kind in list(held):
+            yield out(kind)
 
-    arrow = pa.schema([("block", pa.int64()), ("dim", pa.int32()), ("n", pa.int32()), ("ids", pa.binary()), ("nulls", pa.binary()), ("queries", pa.binary()), ("values", pa.binary())])
-    kind = "block long, dim int, n int, ids binary, nulls binary, queries binary, values binary"
+    arrow = pa.schema([("block", pa.int64()), ("dim", pa.int32()), ("wide", pa.bool_()), ("n", pa.int32()), ("ids", pa.binary()), ("nulls", pa.binary()), ("queries", pa.binary()), ("values", pa.binary())])
+    kind = "block long, dim int, wide boolean, n int, ids binary, nulls binary, queries binary, values binary"
     return vectors.select(F.col("vec_id").alias("id"), is_query.alias("q"), F.col("embedding").alias("v")).mapInArrow(run, kind)
 
 
@@ -198,6 +204,50 @@ class SlicedBlock:
         return more | even
 
 
+def exact_scores(x: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """Integer inner products of the rows of x with q, whole numbers in floats; beyond a long they are the nearest long."""
+    if x.size and np.abs(x).max() * np.abs(q).max(initial=0) * len(q) < 2.0**62:
+        return x.astype(np.int64) @ q.astype(np.int64)
+    whole = [int(v) for v in q]
+    return np.array([min(max(sum(int(a) * b for a, b in zip(row, whole)), -(1 << 63)), (1 << 63) - 1) for row in x], np.int64)
+
+
+class WideBlock:
+    """A block of rows with components beyond ``largest``: scored exactly, all of them."""
+
+    def __init__(self, x: np.ndarray):
+        self.x, self.n = x, len(x)
+
+    def top(self, q: np.ndarray, k: int, own: int | None) -> tuple[np.ndarray, np.ndarray]:
+        rows = np.arange(self.n)
+        rows = rows if own is None else rows[rows != own]
+        return rows, exact_scores(self.x[rows], q)
+
+
+class Best:
+    """The k best partners of one query so far."""
+
+    def __init__(self, home: int, at: int, query_id: int, q: np.ndarray, wide: bool):
+        self.home, self.at, self.query_id, self.q, self.wide = home, at, query_id, q, wide
+        self.score, self.ids, self.null = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, bool)
+
+    def meet(self, number: int, block, ids: np.ndarray, null: np.ndarray, k: int) -> None:
+        own = self.at if self.home == number else None
+        if self.wide and isinstance(block, SlicedBlock):
+            block = WideBlock(block.x.astype(np.float64))
+        rows, score = block.top(self.q.astype(np.float64) if isinstance(block, WideBlock) else self.q, k, own)
+        score, ids, null = np.concatenate([self.score, score]), np.concatenate([self.ids, ids[rows]]), np.concatenate([self.null, null[rows]])
+        # ~score falls as score rises and, unlike -score, never overflows.
+        best = np.lexsort((ids, null, ~score))[:k]
+        self.score, self.ids, self.null = score[best], ids[best], null[best]
+
+
+def values_of(row: dict) -> np.ndarray:
+    """A block's numbers: whole numbers as longs, or in floats if the block is wide."""
+    x = np.frombuffer(row["values"], np.float64 if row["wide"] else np.int32).reshape(row["n"], row["dim"])
+    return x if row["wide"] else x.astype(np.int64)
+
+
 def search(vectors: DataFrame, is_query: Column, params: TopKParams | None = None) -> DataFrame:
     """(query_id, rank, vec_id, score) of vectors(vec_id, embedding) for the rows where is_query holds."""
     p = params or TopKParams()
@@ -207,57 +257,63 @@ def search(vectors: DataFrame, is_query: Column, params: TopKParams | None = Non
     def queries_of(batches):
         for batch in batches:
             for row in batch.to_pylist():
-                ids, x = np.frombuffer(row["ids"], np.int64), np.frombuffer(row["values"], np.int32).reshape(row["n"], row["dim"])
+                ids, x = np.frombuffer(row["ids"], np.int64), np.frombuffer(row["values"], np.float64 if row["wide"] else np.int32).reshape(row["n"], row["dim"])
                 at = np.flatnonzero(np.frombuffer(row["queries"], bool))
-                for c, i in enumerate(range(0, len(at), p.query_block)):
+                for i in range(0, len(at), p.query_block):
                     a = at[i : i + p.query_block]
-                    yield pa.RecordBatch.from_pydict({"qblock": [f"{row['block']}-{c}"], "qdim": [row["dim"]], "qhome": [row["block"]], "qat": [a.astype(np.int32).tobytes()], "qids": [ids[a].tobytes()], "q": [x[a].tobytes()]}, schema=qarrow)
-
-    qarrow = pa.schema([("qblock", pa.string()), ("qdim", pa.int32()), ("qhome", pa.int64()), ("qat", pa.binary()), ("qids", pa.binary()), ("q", pa.binary())])
-    asked = built.mapInArrow(queries_of, "qblock string, qdim int, qhome long, qat binary, qids binary, q binary")
-    asked = written(asked, "query-blocks")
+                    made = {"block": row["block"], "dim": row["dim"], "wide": row["wide"], "n": len(a), "ids": ids[a].tobytes(), "nulls": a.astype(np.int32).tobytes(), "values": x[a].tobytes()}
+                    yield pa.RecordBatch.from_pydict({k: [v] for k, v in made.items()}, schema=qarrow)
+
+    names = ("block", "dim", "wide", "n", "ids", "nulls", "values")  # of queries, nulls holds their places in the block
+    qarrow = pa.schema([("block", pa.int64()), ("dim", pa.int32()), ("wide", pa.bool_()), ("n", pa.int32()), ("ids", pa.binary()), ("nulls", pa.binary()), ("values", pa.binary())])
+    asked = written(built.mapInArrow(queries_of, "block long, dim int, wide boolean, n int, ids binary, nulls binary, values binary"), "query-blocks")
+    # A task holds the queries of a group and streams the row blocks of a lane past them: it returns k rows a query,
+    # however many blocks it sees. Lanes and groups are numbered, so that a task is one pair of them.
+    lanes = max(1, min(built.count(), p.lanes))
+    groups = max(1, -(-asked.count() // p.group_blocks))
+    lane, group = F.pmod(F.xxhash64("block"), F.lit(lanes)), F.pmod(F.xxhash64("block", "nulls"), F.lit(groups))
+    spread = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
+    rows = built.select(lane.alias("lane"), F.lit(1).alias("kind"), *names).withColumn("group", spread(groups))
+    queries = asked.select(group.alias("group"), F.lit(0).alias("kind"), *names).withColumn("lane", spread(lanes))
+    work = rows.unionByName(queries).repartition(lanes * groups, "lane", "group").sortWithinPartitions("lane", "group", "kind", "block")
 
     def find(batches):
-        held = (None, None)
+        now, held = None, {}
+
+        def out():
+            every = [b for qs in held.values() for b in qs]
+            held.clear()
+            cols = {"qrow": [], "query_id": [], "vec_id": [], "score": []}
+            for b in every:
+                cols["qrow"] += [f"{b.home}-{b.at}"] * len(b.score)
+                cols["query_id"] += [b.query_id] * len(b.score)
+                cols["vec_id"] += [None if n else i for i, n in zip(b.ids.tolist(), b.null.tolist())]
+                cols["score"] += b.score.tolist()
+            return pa.RecordBatch.from_pydict(cols, schema=farrow)
+
         for batch in batches:
             for i in range(batch.num_rows):
-                row = {k: batch.column(k)[i].as_py() for k in ("block", "dim", "n", "ids", "nulls", "qhome", "qat", "qids", "q", "values")}
-                x = np.frombuffer(row["values"], np.int32).reshape(row["n"], row["dim"]).astype(np.int64)
-                ids, null = np.frombuffer(row["ids"], np.int64), np.frombuffer(row["nulls"], bool)
-                block = held[1] if held[0] == row["block"] else SlicedBlock(x, p.drop)
-                held = (row["block"], block)
-                asked_at = np.frombuffer(row["qat"], np.int32)
-                qs = np.frombuffer(row["q"], np.int32).reshape(len(asked_at), row["dim"]).astype(np.int64)
-                out = {"qrow": [], "query_id": [], "vec_id": [], "score": []}
-                for q, at, qid in zip(qs, asked_at, np.frombuffer(row["qids"], np.int64)):
-                    own = int(at) if row["qhome"] == row["block"] else None
-                    rows, score = block.top(q, p.k, own)
-                    best = np.lexsort((ids[rows], null[rows], -score))[: p.k]
-                    out["qrow"] += [f"{row['qhome']}-{at}"] * len(best)
-                    out["query_id"] += [int(qid)] * len(best)
-                    out["vec_id"] += [None if null[r] else int(ids[r]) for r in rows[best]]
-                    out["score"] += score[best].tolist()
-                yield pa.RecordBatch.from_pydict(out, schema=farrow)
+                row = {k: batch.column(k)[i].as_py() for k in ("lane", "group", "kind", *names)}
+                if now != (row["lane"], row["group"]):
+                    yield out()
+                    now = row["lane"], row["group"]
+                x, ids = values_of(row), np.frombuffer(row["ids"], np.int64)
+                if row["kind"] == 0:
+                    places = np.frombuffer(row["nulls"], np.int32).tolist()
+                    held.setdefault(row["dim"], []).extend(Best(row["block"], at, qid, q, row["wide"]) for at, qid, q in zip(places, ids.tolist(), x))
+                elif held.get(row["dim"]):
+                    block = WideBlock(x) if row["wide"] else SlicedBlock(x, p.drop)
+                    for b in held[row["dim"]]:
+                        b.meet(row["block"], block, ids, np.frombuffer(row["nulls"], bool), p.k)
+        yield out()
 
     farrow = pa.schema([("qrow", pa.string()), ("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.int64())])
-    # Blocks of rows with blocks of queries of their length: each pair is one row of work. The few, small
-    # query blocks are dealt to the row blocks by length.
-    local = written(_pairs(built, asked).mapInArrow(find, "qrow string, query_id long, vec_id long, score long"), "block-tops")
+    local = written(work.mapInArrow(find, "qrow string, query_id long, vec_id long, score long"), "lane-tops")
     order = Window.partitionBy("qrow").orderBy(F.desc("score"), F.col("vec_id").asc_nulls_last())
     best = local.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= p.k)
     return best.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
 
-def _pairs(built: DataFrame, asked: DataFrame) -> DataFrame:
-    """Every block of rows with every block of queries of its length. Row blocks are first spread evenly
-    over tasks by their number; the join is on that number too, to which the query blocks are copied."""
-    n = max(1, built.count())
-    lanes = min(n, 4096)
-    spread = built.drop("queries").withColumn("lane", F.pmod(F.xxhash64("block"), F.lit(lanes)))
-    copied = asked.withColumn("lane", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(lanes - 1).cast("long"))))
-    return spread.join(copied, (spread["lane"] == copied["lane"]) & (spread["dim"] == copied["qdim"])).drop("lane")
-
-
 def op9_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ten best partners of every vector whose id is divisible by 100, among all other rows."""
     return search(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), F.col("vec_id") % 100 == 0)
