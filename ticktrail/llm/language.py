@@ -2,8 +2,9 @@
 
 Training takes a documented bound of about ``per_language`` documents of each language, chosen by a hash
 of the id; the counts are summed by Spark and come to the driver as at most languages x 2^bits numbers.
-The log-probability matrix is broadcast and whole texts are scored batch by batch in numpy: a text's
-score is the sum of matrix rows that its n-grams select.
+The log-probability matrix is broadcast. A batch's texts are one sparse matrix, a row for each text with an entry for each
+n-gram, and its product with the log-probabilities is their scores; it is made in slices of bounded size,
+over which a long text's score adds up.
 
 Null texts and texts without a letter are ``und`` with score 0. Repeated rows are scored each. Labels
 that are null teach nothing. With no label at all every document is ``und``.
@@ -26,35 +27,58 @@ UNKNOWN = "und"
 
 @dataclass(frozen=True)
 class LanguageParams:
-    """per_language bounds the expected rows of a language that training reads; max_languages the matrix."""
+    """per_language bounds the expected rows of a language that training reads; max_languages, as many as ISO 639
+    has, the matrix; piece the characters and cells the numbers that a slice of a batch holds."""
 
     bits: int = 14
     orders: tuple[int, ...] = (1, 2, 3)
     per_language: int = 3000
-    max_languages: int = 1000
+    max_languages: int = 8000
     alpha: float = 0.5
     piece: int = 1 << 16
+    cells: int = 1 << 21
     seed: int = 7
 
 
-def ngrams(text: str, p: LanguageParams):
-    """Hashed n-grams of the lower-cased text, piece by piece; pieces overlap so that no n-gram is lost."""
-    top = max(p.orders)
-    shift = np.uint32(32 - p.bits)
-    for at in range(0, max(1, len(text)), p.piece):
-        # Lower case can lengthen a text; each piece is lower-cased with its neighbours' edge.
-        part = text[at : at + p.piece + top - 1].lower()
-        c = np.frombuffer(part.encode("utf-32-le", "replace"), np.uint32)
-        last = at + p.piece >= len(text)
-        h = np.zeros(len(c), np.uint32)
+def slices(texts: list[str], piece: int, overlap: int):
+    """Lists of (text's number, part, starts): whole texts, lower-cased first, then cut after every ``piece`` characters.
+    n-grams may start at the first ``starts`` characters of a part; a part reaches ``overlap`` further."""
+    held, size = [], 0
+    for i, text in enumerate(texts):
+        low = text.lower()
+        for at in range(0, len(low), piece):
+            part = low[at : at + piece + overlap]
+            held.append((i, part, min(piece, len(low) - at)))
+            size += len(part)
+            if size >= piece:
+                yield held
+                held, size = [], 0
+    if held:
+        yield held
+
+
+def ngrams(texts: list[str], p: LanguageParams, piece: int | None = None):
+    """(owner, feature) arrays: the hashed n-grams of the texts, in the texts' order, slice by slice."""
+    top, shift = max(p.orders), np.uint32(32 - p.bits)
+    for held in slices(texts, piece or p.piece, top - 1):
+        number, parts, starts = zip(*held)
+        lens = np.array([len(x) for x in parts])
+        c = np.frombuffer("".join(parts).encode("utf-32-le", "replace"), np.uint32)
+        part = np.repeat(np.arange(len(parts)), lens)
+        place = np.arange(len(c)) - (np.cumsum(lens) - lens)[part]
+        free, may = lens[part] - place, place < np.array(starts)[part]
+        h, owners, features = np.zeros(len(c), np.uint32), [], []
         for k in range(top):
-            n = len(c) - k
-            if n <= 0:
-                break
+            n = max(0, len(c) - k)
             h = (h[:n] ^ c[k:]) * np.uint32(0x9E3779B1) + np.uint32(k + 1)
             if k + 1 in p.orders:
-                use = h if last else h[: min(len(h), p.piece)]
-                yield ((use ^ (use >> np.uint32(15))) * np.uint32(0x85EBCA77)) >> shift
+                ok = np.flatnonzero(may[:n] & (free[:n] > k))
+                use = h[ok]
+                owners.append(part[ok])
+                features.append(((use ^ (use >> np.uint32(15))) * np.uint32(0x85EBCA77)) >> shift)
+        own, feature = np.concatenate(owners), np.concatenate(features)
+        order = np.argsort(own, kind="stable")
+        yield np.array(number)[own[order]], feature[order]
 
 
 @dataclass
@@ -64,21 +88,22 @@ class LanguageModel:
     prior: np.ndarray
     params: LanguageParams
 
-    def predict(self, text: str | None) -> tuple[str, float]:
-        if not text or not self.languages or not LETTER.search(text):
-            return UNKNOWN, 0.0
-        z, n = self.prior.copy(), 0
-        size = 1 << self.params.bits
-        for g in ngrams(text, self.params):
-            if len(g) > size:
-                z += np.bincount(g, minlength=size).astype(np.float64) @ self.logp
-            else:
-                z += self.logp.take(g, axis=0).sum(axis=0, dtype=np.float64)
-            n += len(g)
-        best = int(np.argmax(z))
+    def predict(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
+        """Language and score of each text."""
+        known = [bool(t and self.languages and LETTER.search(t)) for t in texts]
+        if not any(known):
+            return [UNKNOWN] * len(texts), [0.0] * len(texts)
+        z, n = np.tile(self.prior, (len(texts), 1)), np.zeros(len(texts))
+        piece = max(1024, min(self.params.piece, self.params.cells // (len(self.languages) * len(self.params.orders))))
+        for own, feature in ngrams([t if k else "" for t, k in zip(texts, known)], self.params, piece):
+            first = np.flatnonzero(np.r_[True, own[1:] != own[:-1]])
+            z[own[first]] += np.add.reduceat(self.logp[feature], first, axis=0, dtype=np.float64)
+            n += np.bincount(own, minlength=len(texts))
+        best = z.argmax(axis=1)
         # n-grams of a text depend on each other; the posterior takes the mean evidence of up to 50.
-        q = np.exp((z - z[best]) * (min(n, 50) / max(n, 1)))
-        return self.languages[best], float(1.0 / q.sum())
+        q = np.exp((z - z.max(axis=1, keepdims=True)) * (np.minimum(n, 50) / np.maximum(n, 1))[:, None])
+        score = 1.0 / q.sum(axis=1)
+        return [self.languages[b] if k else UNKNOWN for b, k in zip(best, known)], [float(s) if k else 0.0 for s, k in zip(score, known)]
 
 
 def train(docs: DataFrame, params: LanguageParams | None = None, folds: int = 5, held_out: int = 0) -> LanguageModel:
@@ -99,18 +124,14 @@ def train(docs: DataFrame, params: LanguageParams | None = None, folds: int = 5,
 
     def run(batch):
         y = np.asarray(batch.column("y").to_pylist(), np.int64)
-        total: dict[int, np.ndarray] = {}
-        for i, text in zip(y, batch.column("text").to_pylist()):
-            t = total.setdefault(int(i), np.zeros(1 << p.bits, np.int64))
-            for g in ngrams(text, p):
-                t += np.bincount(g, minlength=1 << p.bits)
-        ys, bs, ns = [np.empty(0, np.int64)], [np.empty(0, np.int64)], [np.empty(0, np.int64)]
-        for i, t in total.items():
-            b = np.flatnonzero(t)
-            ys.append(np.full(len(b), i))
-            bs.append(b)
-            ns.append(t[b])
-        return {"y": np.concatenate(ys), "b": np.concatenate(bs), "n": np.concatenate(ns)}
+        cells, counts = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+        for own, feature in ngrams(batch.column("text").to_pylist(), p):
+            cell, n = np.unique((y[own] << p.bits) + feature, return_counts=True)
+            cells.append(cell)
+            counts.append(n)
+        cell, at = np.unique(np.concatenate(cells), return_inverse=True)
+        n = np.bincount(at, np.concatenate(counts), len(cell)).astype(np.int64)
+        return {"y": cell >> p.bits, "b": cell & ((1 << p.bits) - 1), "n": n}
 
     got = by_batch(rows, run, "y int, b int, n long").groupBy("y", "b").agg(F.sum("n").alias("n")).toArrow()
     m = np.zeros((1 << p.bits, len(languages)))
@@ -126,8 +147,8 @@ def identify(docs: DataFrame, model: LanguageModel, keep: tuple[str, ...] = ("do
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batch):
-        got = [sent.value.predict(t) for t in batch.column("_text").to_pylist()]
-        return {k: batch.column(k) for k in keep} | {"lang_pred": [g[0] for g in got], "score": [g[1] for g in got]}
+        lang, score = sent.value.predict(batch.column("_text").to_pylist())
+        return {k: batch.column(k) for k in keep} | {"lang_pred": lang, "score": score}
 
     kinds = ", ".join(f"`{k}` {docs.schema[k].dataType.simpleString()}" for k in keep)
     return by_batch(docs.select(*keep, F.col("text").alias("_text")), run, f"{kinds}, lang_pred string, score double")
