@@ -5,8 +5,8 @@ domain and its subdomains below a path; the longest fitting rule wins), else fro
 canonical form is listed is blocked.
 
 The filter has one 64-bit block for every four listed URLs and eight bits for a URL in its block, built
-by a bitwise-or aggregate. Its blocks are broadcast only if their counted number is within
-``broadcast_blocks`` (16 bytes each); beyond that the same join shuffles. URLs that miss the filter are not
+by a bitwise-or aggregate. It has at most ``broadcast_blocks`` blocks (16 bytes each), so its broadcast is bounded: a longer
+list makes it fuller, which costs false positives and no result. URLs that miss the filter are not
 listed and skip the join; possible hits are joined with the list itself, which removes false positives.
 
 Null URLs and URLs without "://" have empty host and path, fit no rule and are allowed. A repeated row is
@@ -66,7 +66,7 @@ def path_of(url: Column) -> Column:
 
 def canonical(host: Column, path: Column) -> Column:
     """Host without a leading www. or m., path without .html and closing slashes, no query or fragment."""
-    return F.concat(F.regexp_replace(host, r"^(www|m)\.", ""), F.regexp_replace(path, r"(\.html?)?/*$", ""))
+    return F.concat(F.regexp_replace(host, r"^(www|m)\.", ""), F.regexp_replace(path, r"(\.html?)?/*\z", ""))
 
 
 def rule_of(host: Column, path: Column, rules: Sequence[Rule]) -> Column:
@@ -107,9 +107,9 @@ def bloom(listed: DataFrame, blocks: int) -> DataFrame:
 def listed_keys(urls: DataFrame, listed: DataFrame, broadcast_blocks: int = BROADCAST_BLOCKS) -> DataFrame:
     """urls (with a column key) plus is_listed. listed: a column key; its nulls and repeats count for nothing."""
     keys = written(listed.select("key").where(F.col("key").isNotNull()).distinct(), "listed-urls")
-    blocks = max(1, -(-keys.count() // URLS_PER_BLOCK))
-    bits = written(bloom(keys, blocks), "bloom")
-    bits = F.broadcast(bits) if blocks <= broadcast_blocks else bits
+    # Longer lists share the bound's blocks: more false positives for the exact join, never a larger broadcast.
+    blocks = max(1, min(broadcast_blocks, -(-keys.count() // URLS_PER_BLOCK)))
+    bits = F.broadcast(written(bloom(keys, blocks), "bloom"))
     probed = urls.withColumn("__block", _block(F.col("key"), blocks)).join(bits.withColumnRenamed("block", "__block"), "__block", "left")
     mask = _mask(F.col("key"))
     probed = probed.withColumn("__maybe", F.coalesce(F.col("bits").bitwiseAND(mask) == mask, F.lit(False))).drop("__block", "bits")
