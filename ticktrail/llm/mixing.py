@@ -17,7 +17,8 @@ The prefix sums of step 1 are in two levels, (source, bucket) and within a bucke
 documents, so a source that holds a third of all rows is no single task.
 
 Null and empty texts have size 0 and are never taken. A null source is a source, the last one. Repeated
-rows are documents of their own. An empty table gives an empty mix.
+rows are documents of their own. An empty table gives an empty mix. The stage keeps all columns, whatever their names: they
+travel as one struct.
 """
 
 from __future__ import annotations
@@ -28,7 +29,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import by_batch, table, written
+from .common import by_batch, table, whole_rows, written
 
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -145,10 +146,10 @@ def positions(sized: DataFrame, plan: MixPlan) -> DataFrame:
     numbers = spark.createDataFrame([(i, x) for i, x in enumerate(plan.names)], "src int, source string")
     known = sized.join(F.broadcast(numbers), sized["source"].eqNullSafe(numbers["source"])).drop(numbers["source"])
     buckets = max(1, -(-sized.count() // p.bucket_rows))
-    known = known.withColumn("__b", F.pmod(F.xxhash64("doc_id", F.lit(p.seed)), F.lit(buckets)))
+    known = known.withColumn("__b", F.pmod(F.xxhash64("doc_id", "text_hash", F.lit(p.seed)), F.lit(buckets)))
     before = Window.partitionBy("src").orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
     bases = known.groupBy("src", "__b").agg(F.sum("size").alias("n")).withColumn("base", F.coalesce(F.sum("n").over(before), F.lit(0))).drop("n")
-    within = Window.partitionBy("src", "__b").orderBy(F.xxhash64("doc_id", F.lit(p.seed + 1)), "doc_id", "size", *[c for c in ("__row",) if c in sized.columns])
+    within = Window.partitionBy("src", "__b").orderBy(F.xxhash64("doc_id", "text_hash", F.lit(p.seed + 1)), "doc_id", "text_hash", "size", *[c for c in ("at",) if c in sized.columns])
     known = known.withColumn("__in", F.coalesce(F.sum("size").over(within.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     return known.join(bases, ["src", "__b"]).withColumn("start", F.col("base") + F.col("__in")).drop("__b", "base", "__in")
 
@@ -195,7 +196,7 @@ class Mix:
 
 
 def mix(sized: DataFrame, params: MixParams | None = None) -> Mix:
-    """sized: doc_id, source, size and further columns, in a written table."""
+    """sized: doc_id, text_hash, source, size and, where rows are to be told apart, their number ``at``; a written table."""
     p = params or MixParams()
     plan = plan_mix(sized, p)
     placed = positions(sized, plan)
@@ -205,7 +206,7 @@ def mix(sized: DataFrame, params: MixParams | None = None) -> Mix:
 def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per document: its size, its source's size and target, and how many of its words the mix takes."""
     docs = table(spark, sf_dir, "documents")
-    sized = written(docs.select("doc_id", "source", size_of(F.col("text")).alias("size")), "sizes")
+    sized = written(docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "source", size_of(F.col("text")).alias("size")), "sizes")
     m = mix(sized)
     took = m.taken.groupBy("src", "start", "doc_id", "size").agg(F.sum("n").alias("taken"))
     # Placed documents with words are unique by (src, start); those without are never taken.
@@ -220,18 +221,21 @@ def mix_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     """Pipeline stage: the documents as the mix takes them. A document appears once for each epoch that
     takes some of its words, with those words (joined by a space where only parts are taken, verbatim
     where all are). Columns stay as they are; n_chars follows the text. Documents without words go."""
-    keyed = written(docs.withColumn("__row", F.monotonically_increasing_id()), "to-mix")
-    sized = written(keyed.select("doc_id", "source", size_of(F.col("text")).alias("size"), "__row"), "sizes")
+    keyed = written(docs.select(F.monotonically_increasing_id().alias("at"), whole_rows(docs).alias("row")), "to-mix")
+    text = F.col("row.text")
+    sized = written(keyed.select("row.doc_id", F.xxhash64(text).alias("text_hash"), "row.source", size_of(text).alias("size"), "at"), "sizes")
     m = mix(sized)
-    parts = m.taken.groupBy("__row", "epoch").agg(
-        F.sum("n").alias("__n"), F.first("size").alias("__size"), F.array_sort(F.collect_list(F.struct("from", "n"))).alias("__parts")
+    parts = m.taken.groupBy("at", "epoch").agg(
+        F.sum("n").alias("n"), F.first("size").alias("size"), F.array_sort(F.collect_list(F.struct("from", "n"))).alias("parts")
     )
-    both = keyed.join(parts, "__row")
-    words = F.regexp_extract_all("text", F.lit(f"({WORD})"), F.lit(1))
+    # A document comes once an epoch at most: short rows, past which the texts are streamed.
+    both = keyed.join(parts.hint("shuffle_hash"), "at")
+    words = F.regexp_extract_all(text, F.lit(f"({WORD})"), F.lit(1))
     # The outer transform binds the words once, however many parts a long text has.
-    part = lambda w: F.transform("__parts", lambda x: F.slice(w, (x["from"] + 1).cast("int"), x["n"].cast("int")))
+    part = lambda w: F.transform("parts", lambda x: F.slice(w, (x["from"] + 1).cast("int"), x["n"].cast("int")))
     some = F.transform(F.array(words), lambda w: F.array_join(F.flatten(part(w)), " "))[0]
-    out = both.withColumn("text", F.when(F.col("__n") == F.col("__size"), F.col("text")).otherwise(some))
+    both = both.select("row", F.when(F.col("n") == F.col("size"), text).otherwise(some).alias("new"))
+    made = {"text": F.col("new")}
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return out.select(*[F.col(f"`{c}`") for c in docs.columns])
+        made["n_chars"] = F.length("new").cast(docs.schema["n_chars"].dataType)
+    return both.select(*[made.get(c, F.col(f"row.`{c}`")).alias(c) for c in docs.columns])
