@@ -130,10 +130,23 @@ def label_ids(labels: DataFrame, label: str, folds: int, held_out: int) -> DataF
 
 
 def hash_sample(df: DataFrame, rows: int, seed: int) -> DataFrame:
-    """At most ``rows`` rows, chosen by a hash of the id: the same at every run. A threshold on the hash lets
-    through about a tenth more than asked, so that no task sends its own ``rows`` rows to be ranked."""
-    n, span = df.count(), 1 << 40
+    """(doc_id): at most ``rows`` different ids, chosen by a hash of the id: the same at every run. A threshold on the
+    hash lets through about a third more than asked, so that no task sends its own ``rows`` ids to be ranked; it
+    goes by the estimated number of different ids, so repeated ids crowd out no others."""
+    n, span = df.select(F.approx_count_distinct("doc_id")).first()[0], 1 << 40
     if n > rows:
-        share = min(span, -(-span * (rows + rows // 10 + 100) // n))
+        share = min(span, -(-span * (rows + rows // 3 + 100) // n))
         df = df.where(F.pmod(F.xxhash64(F.col("doc_id"), F.lit(seed)), F.lit(span)) < share)
-    return df.orderBy(F.xxhash64(F.col("doc_id"), F.lit(seed)), "doc_id").limit(rows)
+    return in_order(df.select("doc_id").distinct(), rows, seed)
+
+
+def in_order(ids: DataFrame, rows: int, seed: int) -> DataFrame:
+    """The first ``rows`` ids by hash."""
+    return ids.orderBy(F.xxhash64(F.col("doc_id"), F.lit(seed)), "doc_id").limit(rows)
+
+
+def one_row_an_id(docs: DataFrame, chosen: DataFrame) -> DataFrame:
+    """(doc_id, text) of the chosen ids, one row for each: of rows that repeat an id, the one with the smallest text.
+    chosen must be bounded: it is broadcast, and what comes back is as many rows."""
+    rows = docs.select("doc_id", utf8().alias("text")).join(F.broadcast(chosen.select("doc_id")), "doc_id")
+    return rows.groupBy("doc_id").agg(F.min("text").alias("text"))

@@ -9,7 +9,7 @@ is copied for the overlap.
 Training is on the driver, on at most ``max_rows`` labelled documents, each with its whole text: filters learn
 from every chunk, and the output layer is fitted to the features that scoring computes. The driver's memory
 goes by those rows' texts. Scoring reads every byte of every text, batch by batch, and shuffles nothing. Null and empty texts are one chunk of padding and get the score that the
-network gives it. Repeated rows are scored each. Without labels every score is 0.5.
+network gives it. Repeated rows are scored each; of rows that repeat an id training takes one. Without labels every score is 0.5.
 """
 
 from __future__ import annotations
@@ -20,7 +20,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import by_batch, hash_sample, label_ids, remainder, table, utf8
+from .common import by_batch, hash_sample, label_ids, one_row_an_id, remainder, table, utf8
 
 EMBED, STRIDE, WIDTH = 8, 6, 12
 CHUNK = 510  # bytes; a multiple of STRIDE
@@ -195,9 +195,8 @@ def fit(texts: list[bytes], y: np.ndarray, p: CnnParams) -> Cnn:
 def train(docs: DataFrame, labels: DataFrame, params: CnnParams | None = None, folds: int = 3, held_out: int = 1) -> Cnn:
     p = params or CnnParams()
     known = label_ids(labels, "quality", folds, held_out)
-    chosen = hash_sample(known.select("doc_id", "y"), p.max_rows, p.seed)  # at most max_rows ids: bounded broadcast
-    rows = docs.select("doc_id", utf8().alias("text")).join(F.broadcast(chosen), "doc_id")
-    got = rows.select("doc_id", "y", "text").toArrow()
+    chosen = hash_sample(known, p.max_rows, p.seed).join(known, "doc_id")  # at most max_rows ids: bounded broadcast
+    got = one_row_an_id(docs, chosen).join(F.broadcast(chosen), "doc_id").select("doc_id", "y", "text").toArrow()
     order = np.argsort(got.column("doc_id").to_numpy(), kind="stable")
     x, y = got.column("text").to_pylist(), got.column("y").to_numpy()
     return fit([x[i] for i in order], y[order].astype(np.float32), p)

@@ -11,7 +11,7 @@ flexible model from fitting the unlabelled toxic documents as clean. Scoring map
 at a time, with a broadcast of 2^18 floats; nothing is shuffled.
 
 Null and empty texts have no words and score as the model's bias says; text of any length is scored
-whole. Repeated rows are scored each. Without a toxic label to learn from every score is 0.
+whole. Repeated rows are scored each; of rows that repeat an id training takes one. Without a toxic label to learn from every score is 0.
 """
 
 from __future__ import annotations
@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, by_batch, hash_sample, label_ids, remainder, table, utf8
+from .common import bounded_batches, by_batch, hash_sample, in_order, label_ids, one_row_an_id, remainder, table, utf8
 
 BITS = 18
 MASK = (1 << BITS) - 1
@@ -159,14 +159,14 @@ def train(docs: DataFrame, labels: DataFrame, params: ToxicityParams | None = No
     known = label_ids(labels, "toxic", folds, held_out)
     prior, n_known = known.agg(F.avg(F.col("y").cast("double")), F.count("*")).first()
     prior = float(prior or 0.0)
-    pos = hash_sample(known.where("y = 1").select("doc_id"), p.max_positive, p.seed).select("doc_id", F.lit(1).alias("y"))
+    pos = hash_sample(known.where("y = 1"), p.max_positive, p.seed).select("doc_id", F.lit(1).alias("y"))
     ids = docs.where(F.col("doc_id").isNotNull() & (remainder(folds) != held_out)).select("doc_id")
-    # Twice the bound over the expected overlap: the few sampled ids that are positives leave after sampling.
-    unl = hash_sample(ids, p.max_unlabelled + p.max_positive, p.seed + 1).distinct()
-    unl = unl.join(known.where("y = 1"), "doc_id", "left_anti").limit(p.max_unlabelled).select("doc_id", F.lit(0).alias("y"))
+    # Sampled with room for max_positive more: positives among them leave after sampling.
+    unl = hash_sample(ids, p.max_unlabelled + p.max_positive, p.seed + 1).join(known.where("y = 1"), "doc_id", "left_anti")
+    unl = in_order(unl, p.max_unlabelled, p.seed + 1).select("doc_id", F.lit(0).alias("y"))
+    # At most max_positive + max_unlabelled ids: a proven bound for a broadcast.
     chosen = pos.unionByName(unl).groupBy("doc_id").agg(F.max("y").alias("y"))
-    # The sample has at most max_positive + max_unlabelled ids: a proven bound for a broadcast.
-    rows = docs.select("doc_id", utf8().alias("text")).join(F.broadcast(chosen), "doc_id")
+    rows = one_row_an_id(docs, chosen).join(F.broadcast(chosen), "doc_id")
 
     def run(batch):
         return {"doc_id": batch.column("doc_id"), "y": batch.column("y"), "f": [features(t) for t in batch.column("text").to_pylist()]}
