@@ -65,8 +65,9 @@ def dropped_hashes(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int =
     """(doc_id, text_hash, hashes): for each row that loses lines, the hashes of their keys."""
     lines = written(line_hashes(docs, min_chars), "line-hashes")
     shared = lines.groupBy("hash").agg(F.count_distinct("doc_id").alias("n"), F.max("doc_id").alias("keeper")).where(F.col("n") >= min_docs)
-    # Spark broadcasts the shared hashes if their measured size is small, and shuffles them if not.
-    gone = lines.join(shared.select("hash", "keeper"), "hash").where(~F.col("doc_id").eqNullSafe(F.col("keeper")))
+    # Written: its measured size decides between broadcast and shuffle, and Spark can split a common line's rows.
+    shared = written(shared.select("hash", "keeper"), "shared-lines")
+    gone = lines.join(shared, "hash").where(~F.col("doc_id").eqNullSafe(F.col("keeper")))
     return gone.groupBy("doc_id", "text_hash").agg(F.collect_set("hash").alias("hashes"))
 
 

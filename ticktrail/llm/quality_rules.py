@@ -16,7 +16,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WS, by_batch, table, utf8
+from .common import WS, by_batch, table, utf8, written
 
 SYMBOLS = "#*$%&|<>"
 WINDOW = 5
@@ -135,9 +135,19 @@ def ablations(led: DataFrame, policy: Policy) -> DataFrame:
     return one.select(F.lit(policy.version).alias("policy_version"), F.col("n").alias("n_documents"), F.explode(rows).alias("r")).select("policy_version", "n_documents", "r.*")
 
 
+def stored_ledger(docs: DataFrame) -> DataFrame:
+    """The ledger as a table of its own: whatever policy comes next, the texts aren't read again."""
+    return written(ledger(docs), "ledger")
+
+
+def rule_ablations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each rule of the full policy rejects, and rejects alone, over all documents."""
+    return ablations(stored_ledger(table(spark, sf_dir, "documents").select("doc_id", "text")), FULL)
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Measurements and the verdict of the full policy for every document."""
-    led = apply_policy(ledger(table(spark, sf_dir, "documents").select("doc_id", "text")), FULL)
+    led = apply_policy(stored_ledger(table(spark, sf_dir, "documents").select("doc_id", "text")), FULL)
     return led.select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
         fails(BASE).alias("base_failed"), "kept", F.col("failed").alias("failed_bits"),
@@ -178,3 +188,11 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
        (failed_bits & 3) <> 0 AS base_failed, failed_bits = 0 AS kept, failed_bits
 FROM b
 """
+
+#: rule, bit and whether a document fails it, over what OP8_SQL makes of the documents.
+ABLATIONS_SQL = "WITH one AS (" + OP8_SQL + """),
+rules(rule, bit) AS (VALUES ('min_words', 1), ('repeated_words', 2), ('short_words', 4), ('long_words', 8), ('symbols', 16), ('repeated_lines', 32))
+SELECT 2 AS policy_version, (SELECT count(*) FROM one)::BIGINT AS n_documents, rule,
+       count(*) FILTER (WHERE failed_bits & bit <> 0)::BIGINT AS n_failed, count(*) FILTER (WHERE failed_bits = bit)::BIGINT AS n_only
+FROM rules, one GROUP BY rule, bit
+"""
