@@ -19,7 +19,9 @@ BATCH_BYTES = 4 << 20
 #: ASCII white space, as the contracts' ``[\x20\x09-\x0D]`` has it. ``bytes.split()`` and
 #: ``bytes.strip()`` use the same six characters.
 WS = " \t\n\x0b\x0c\r"
+#: Tables written in the innermost scratch block, and those it hands on.
 _written: list[str] = []
+_passed: list[str] = []
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -58,20 +60,23 @@ def written(df: DataFrame, name: str) -> DataFrame:
 def scratch(spark: SparkSession) -> Iterator[None]:
     """Removes what ``written`` made inside the block, but for tables that ``kept`` names: results that are read
     after the block must have been written elsewhere or been kept."""
-    at = len(_written)
+    global _written
+    outer, _written = _written, []
+    passed = len(_passed)
     try:
         yield
     finally:
         jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
-        for x in _written[at:]:
+        for x in _written:
             path = jvm.org.apache.hadoop.fs.Path(x)
             path.getFileSystem(conf).delete(path, True)
-        del _written[at:]
+        _written = outer + _passed[passed:]
+        del _passed[passed:]
 
 
 def kept(df: DataFrame) -> DataFrame:
-    """Takes the table that ``written`` made last out of the reach of ``scratch``."""
-    _written.pop()
+    """Hands the table that ``written`` made last on to the block around this ``scratch``, if there is one."""
+    _passed.append(_written.pop())
     return df
 
 

@@ -40,7 +40,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, by_batch, table, utf8, whole_rows, written
+from .common import bounded_batches, by_batch, kept, scratch, table, utf8, whole_rows, written
 from .components import components
 
 P = np.uint64(0x9E3779B97F4A7C15)
@@ -362,9 +362,15 @@ def compared(docs: DataFrame, key: str, nodes: DataFrame, groups: DataFrame, p:
 
 
 def join_ngrams(docs: DataFrame, key: str = "doc_id", params: JoinParams | None = None) -> DataFrame:
-    """(id, class_id, n_links): the class's smallest id and the number of other documents that are similar."""
-    p = params or JoinParams()
-    bounded_batches(docs.sparkSession)
+    """(id, class_id, n_links): the class's smallest id and the number of other documents that are similar. The result is
+    a written table; what was written on the way to it is gone."""
+    with scratch(docs.sparkSession):
+        return kept(written(_join(docs, key, params or JoinParams()), "classes"))
+
+
+def _join(docs: DataFrame, key: str, p: JoinParams) -> DataFrame:
+    spark = docs.sparkSession
+    bounded_batches(spark)
     signs = written(signed(docs, key, p, sample_of(docs, p)), "signatures")
     depth = final_depth(measured_recall(signs, p), p)
     # A node's text is that of its smallest id; among rows that share this id, of the smallest hash.
@@ -373,8 +379,10 @@ def join_ngrams(docs: DataFrame, key: str = "doc_id", params: JoinParams | None
         F.count("*").alias("copies"), F.first("size").alias("size"), F.first("paths").alias("paths"),
     )
     nodes = written(nodes.select("node", F.col("least.id").alias("rep"), F.col("least.text_hash").alias("rep_hash"), "copies", "size", "paths"), "nodes")
-    groups = written(candidate_groups(nodes, depth), "groups")
-    found = written(compared(docs, key, nodes, groups, p), "links")
+    with scratch(spark):
+        groups = kept(written(candidate_groups(nodes, depth), "groups"))
+    with scratch(spark):
+        found = kept(written(compared(docs, key, nodes, groups, p), "links"))
     links = found.groupBy("node").agg(F.sum("links").alias("links"))
     edges = found.where("NOT alone").select(F.col("node").alias("u"), F.col("root").alias("v"))
     roots = found.where("alone").select("node", "root").unionByName(components(edges))
@@ -401,8 +409,8 @@ def keep_one(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     names: they travel as one struct."""
     order = F.lpad(F.monotonically_increasing_id().cast("string"), 20, "0")
     at = F.struct(F.col("doc_id").alias("d"), order.alias("r"))
-    keyed = written(docs.select(at.alias("at"), F.col("text"), whole_rows(docs).alias("row")), "to-join")
-    found = join_ngrams(keyed.select("at", "text"), "at")
+    keyed = written(docs.select(at.alias("at"), whole_rows(docs).alias("row")), "to-join")
+    found = join_ngrams(keyed.select("at", "row.text"), "at")
     firsts = found.where(F.col("id") == F.col("class_id")).select(F.col("id").alias("at"))
     rows = keyed.select("at", "row").join(firsts.hint("shuffle_hash"), "at", "left_semi")
     return rows.select(*[F.col(f"row.`{c}`").alias(c) for c in docs.columns])
