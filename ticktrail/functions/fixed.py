@@ -14,21 +14,41 @@ def div(a: Column, b) -> Column:
 
 
 def to_p6(raw: Column, scale: int) -> Column:
-    """raw * 10^(6 - scale); null on overflow."""
-    return F.try_multiply(raw, F.lit(10 ** (6 - scale)).cast("long"))
+    """raw * 10^(6 - scale); null on overflow, and for a scale that six digits can't hold."""
+    return F.try_multiply(raw, F.lit(10 ** (6 - scale)).cast("long")) if 0 <= scale <= 6 else F.lit(None).cast("long")
+
+
+def _limit(up: Column) -> Column:
+    return F.when(up, F.lit(I64_MAX)).otherwise(F.lit(-I64_MAX - 1))
 
 
 def saturating_multiply(a: Column, b: Column) -> Column:
-    """For non-negative numbers."""
-    return F.coalesce(F.try_multiply(a, b), F.lit(I64_MAX))
+    """The nearest long; null stays null."""
+    return F.when(a.isNotNull() & b.isNotNull(), F.coalesce(F.try_multiply(a, b), _limit((a < 0) == (b < 0))))
 
 
 def saturating_add(a: Column, b: Column) -> Column:
-    return F.coalesce(F.try_add(a, b), F.lit(I64_MAX))
+    """The nearest long; null stays null."""
+    return F.when(a.isNotNull() & b.isNotNull(), F.coalesce(F.try_add(a, b), _limit(a > 0)))
+
+
+def clamp(a: Column, low: Column, high: Column) -> Column:
+    """a held to low and high; null stays null, where least and greatest would skip it."""
+    return F.when(a.isNotNull(), F.least(F.greatest(a, low), high))
+
+
+def narrow_u32(a: Column) -> Column:
+    """The nearest unsigned 32-bit number, as a long."""
+    return clamp(a, F.lit(0), F.lit((1 << 32) - 1)).cast("long")
+
+
+def exact_positive_i32(a: Column) -> Column:
+    """a as an int if it is one and above zero, else null."""
+    return F.when((a > 0) & (a <= I32_MAX), a).cast("int")
 
 
 def narrow_i32(a: Column) -> Column:
-    return F.least(F.greatest(a, F.lit(I32_MIN)), F.lit(I32_MAX)).cast("int")
+    return clamp(a, F.lit(I32_MIN), F.lit(I32_MAX)).cast("int")
 
 
 def rescale_milli(milli: Column, scale: int) -> Column:
@@ -37,9 +57,11 @@ def rescale_milli(milli: Column, scale: int) -> Column:
 
 
 def mul_div(a: Column, b: Column, c: Column) -> Column:
-    """floor(a * b / c) without overflow for a, b up to 18 digits."""
-    wide = a.cast("decimal(18,0)") * b.cast("decimal(18,0)")
-    return F.call_function("div", wide, c.cast("decimal(18,0)")).cast("long")
+    """a * b / c, truncated, over whole longs: the product has 38 digits at most. Null where c is 0 or the result is no long."""
+    wide = a.cast("decimal(19,0)") * b.cast("decimal(19,0)")
+    got = F.call_function("div", wide, F.nullif(c, F.lit(0).cast("long")).cast("decimal(19,0)"))
+    fits = F.abs(wide) < F.abs(c.cast("decimal(19,0)")) * F.lit(str(1 << 63)).cast("decimal(19,0)")
+    return F.when(fits, got)
 
 
 def fixed_text(raw: Column, scale: int) -> Column:

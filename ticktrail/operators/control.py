@@ -98,6 +98,17 @@ def readiness(tests: dict[str, Column]) -> Column:
     return out.otherwise("READY") if out is not None else F.lit("READY")
 
 
+def key_masks(keys: DataFrame, group: Sequence[str], key: str, masks: dict[str, Column]) -> DataFrame:
+    """Per group a mask for each condition: bit i stands for the i-th of the group's sorted keys, of which there are 63 at most;
+    more are an error, not a wrong bit."""
+    names = [f"__{n}" for n in masks]
+    one = keys.select(*group, key, *[c.cast("boolean").alias(n) for n, c in zip(names, masks.values())]).groupBy(*group, key).agg(*[F.bool_or(n).alias(n) for n in names])
+    i = F.row_number().over(Window.partitionBy(*group).orderBy(key)) - 1
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.when(F.col("__i") < 63, F.col("__i")).otherwise(F.raise_error(F.lit("more than 63 keys in a group"))))
+    d = one.withColumn("__i", i).withColumn("__bit", bit)
+    return d.groupBy(*group).agg(*[F.bit_or(F.when(F.col(n), F.col("__bit")).otherwise(F.lit(0).cast("long"))).alias(m) for n, m in zip(names, masks)])
+
+
 def resubscribe_verdict(logged_in: Column, trading: Column, hash_ok: Column) -> Column:
     return F.when(~logged_in, "NOT_LOGGED_IN").when(trading, "INSIDE_TRADING").when(~hash_ok, "AUDIT_HASH_MISMATCH").otherwise("ALLOWED")
 
@@ -117,7 +128,8 @@ def sequence_guard(df: DataFrame, scope: Sequence[str], order: Sequence[str], se
         .when(s == top + 1, "CONTIGUOUS").when(s > top + 1, "FORWARD_GAP").otherwise("BACKWARD")
     )
     d = d.withColumn("verdict", verdict).withColumn("missing", F.when(F.col("verdict") == "FORWARD_GAP", s - top - 1).otherwise(0).cast("long"))
-    d = d.drop("__p", "__top", "__first", "__n")
-    bad = d.where(F.col("verdict").isin("CONFLICT_DUPLICATE", "BACKWARD")).groupBy(*[F.col(k).alias(f"__{k}") for k in scope]).agg(F.min(F.struct(*order)).alias("__from"))
-    on = [d[k].eqNullSafe(bad[f"__{k}"]) for k in scope]
-    return d.join(bad, on, "left").withColumn("poisoned", F.coalesce(F.struct(*order) >= F.col("__from"), F.lit(False))).drop("__from", *[f"__{k}" for k in scope])
+    d = cut(d.drop("__p", "__top", "__first", "__n"), "guard")
+    # Read from a table: the poison's running value reads its input twice, and verdicts are dear.
+    bad = F.when(F.col("verdict").isin("CONFLICT_DUPLICATE", "BACKWARD"), 1).otherwise(0)
+    d = prefix(d, scope, at, {"__bad": ("max", bad)}, width=width, ties=ties)
+    return d.withColumn("poisoned", F.col("__bad") == 1).drop("__bad")

@@ -19,17 +19,38 @@ def lineage(df: DataFrame, group: Sequence[str], cursor: str, quality: str) -> D
 
 
 def reconcile(capture: DataFrame, backup: DataFrame, key: Sequence[str], fields: Sequence[str], group: str) -> DataFrame:
-    """Per group: rows, matches, missing, fields compared, differing rows and a verdict."""
-    b = backup.select(*key, *[F.col(f).alias(f"__b_{f}") for f in fields], F.lit(True).alias("__hit"))
-    d = capture.join(b, list(key), "left").withColumn("hit", F.coalesce("__hit", F.lit(False)))
-    differs = F.lit(False)
-    for f in fields:
-        differs = differs | ~F.col(f).eqNullSafe(F.col(f"__b_{f}"))
-    g = d.groupBy(group).agg(
-        F.count("*").alias("capture_rows"), F.count_if("hit").alias("backup_matches"), F.count_if(~F.col("hit")).alias("missing_rows"),
-        (F.count_if("hit") * len(fields)).alias("fields_compared"), F.count_if(F.col("hit") & differs).alias("differing_rows"),
+    """Per group: keys of the capture, matches, keys that the backup lacks and that only it has, keys that come more than once
+    on either side, fields compared, differing keys and a verdict. Both sides are first brought to one row a key, so
+    repeated keys multiply nothing; a key whose copies disagree on a side differs. Both hold the group's column."""
+
+    def one(df, p):
+        row = F.struct(*fields)
+        return df.groupBy(*key).agg(F.min(row).alias(f"__{p}"), (F.min(row) != F.max(row)).alias(f"__{p}x"), F.count("*").alias(f"__{p}n"), F.min(group).alias(f"__{p}g"))
+
+    d = one(capture, "c").join(one(backup, "b"), list(key), "full_outer")
+    here, there = F.col("__cn").isNotNull(), F.col("__bn").isNotNull()
+    differs = ~F.col("__c").eqNullSafe(F.col("__b")) | F.col("__cx") | F.col("__bx")
+    g = d.groupBy(F.coalesce("__cg", "__bg").alias(group)).agg(
+        F.count_if(here).alias("capture_rows"), F.count_if(here & there).alias("backup_matches"), F.count_if(here & ~there).alias("missing_rows"),
+        F.count_if(there & ~here).alias("backup_only_rows"), F.count_if((F.col("__cn") > 1) | (F.col("__bn") > 1)).alias("repeated_keys"),
+        (F.count_if(here & there) * len(fields)).alias("fields_compared"), F.count_if(here & there & differs).alias("differing_rows"),
     )
-    return g.withColumn("result", F.when((F.col("missing_rows") == 0) & (F.col("differing_rows") == 0), "PASS").otherwise("FAIL"))
+    clean = (F.col("missing_rows") == 0) & (F.col("backup_only_rows") == 0) & (F.col("differing_rows") == 0)
+    return g.withColumn("result", F.when(clean, "PASS").otherwise("FAIL"))
+
+
+def offered(rows: DataFrame, key: Sequence[str], payload: str) -> DataFrame:
+    """Per key: offers, and what publishing them does: CONFLICT where payloads disagree, else DUPLICATE or PUBLISHED."""
+    g = rows.groupBy(*key).agg(F.count("*").alias("offers"), F.min(payload).alias(payload), (F.min(payload) != F.max(payload)).alias("__x"))
+    outcome = F.when(F.col("__x"), "CONFLICT").when(F.col("offers") > 1, "DUPLICATE").otherwise("PUBLISHED")
+    return g.withColumn("outcome", outcome).drop("__x")
+
+
+def merge_tiers(rows: DataFrame, key: Sequence[str], tier: str) -> DataFrame:
+    """One whole row a key, that of the smallest tier (equal tiers: the smallest row), and copies, how many there were."""
+    rest = [c for c in rows.columns if c not in key and c != tier]
+    g = rows.groupBy(*key).agg(F.min(F.struct(tier, *rest)).alias("__r"), F.count("*").alias("copies"))
+    return g.select(*key, *[F.col(f"__r.{c}").alias(c) for c in (tier, *rest)], "copies")
 
 
 def publish(batch: DataFrame, path: str, key: Sequence[str], payload: str) -> int:

@@ -81,3 +81,9 @@ def asof(left: DataFrame, right: DataFrame, keys: Sequence[str], at: str, tie: s
     rt = right.select(*cols, F.lit(None).cast(left.select(F.struct(*l_only).alias("v")).schema["v"].dataType).alias("__l"), v.alias("__r"), F.lit(0).alias("__side"))
     out = prefix(lt.unionByName(rt), keys, at, {"__got": ("last", F.col("__r"))}, width=width, ties=["__side", tie]).where("__side = 1")
     return out.select(*cols, *[F.col(f"__l.{c}").alias(c) for c in l_only], *[F.col(f"__got.{c}").alias(c) for c in value])
+
+
+def mux(df: DataFrame, epoch: Sequence[str], clock: str, ties: Sequence[str], width: int = 60_000_000_000) -> DataFrame:
+    """df plus place, from 1: the one order of an epoch's rows over all streams, by receive time, then stream, sequence and
+    sub-index (``ties``). Epochs' clocks are never compared. Counts by ``width`` of the clock are carried, so no epoch is one task."""
+    return prefix(df, epoch, clock, {"place": ("sum", F.lit(1).cast("long"))}, width=width, ties=ties)

@@ -59,6 +59,18 @@ def segments(df: DataFrame, keys: Sequence[str], segment: str, order: str = "seq
     )
 
 
+def located(rows: DataFrame, ranges: DataFrame, keys: Sequence[str], at: str, begin: str, end: str, take: Sequence[str], width: int = 1 << 20) -> DataFrame:
+    """rows joined with the range [begin, end) of their keys that holds ``at``, and its columns ``take``; rows outside all
+    ranges go. Ranges of one key don't overlap. Both sides are cut into cells of ``width`` and joined by equality, so a
+    row meets the few ranges of its cell, never all of its key."""
+    cell = lambda c: F.floor(c / width).cast("long")
+    r = ranges.where(F.col(end) > F.col(begin)).select(*keys, *[F.col(c).alias(f"__{c}") for c in dict.fromkeys((begin, end, *take))])
+    r = r.withColumn("__cell", F.explode(F.sequence(cell(F.col(f"__{begin}")), cell(F.col(f"__{end}") - 1))))
+    d = rows.withColumn("__cell", cell(F.col(at))).join(r, [*keys, "__cell"])
+    d = d.where((F.col(at) >= F.col(f"__{begin}")) & (F.col(at) < F.col(f"__{end}")))
+    return d.select(*[F.col(c) for c in rows.columns], *[F.col(f"__{c}").alias(c) for c in take])
+
+
 def contiguity_violations(segs: DataFrame, keys: Sequence[str], segment: str) -> DataFrame:
     """Segments (few, by their nature) that don't follow the one before, and why: the first reason that applies."""
     w = Window.partitionBy(*keys).orderBy(segment)

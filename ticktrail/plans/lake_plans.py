@@ -8,7 +8,7 @@ from ..operators import lake as L
 from ..operators.replay import positions
 from .base import query, raw, table
 from .quality_plans import QUAL
-from .replay_plans import POS_SQL
+from .replay_plans import POS_SQL, SEG_SQL, _segments
 
 
 @query("lineage_summary", f"SELECT stream, seq // 2000 AS file_no, min(seq) AS min_cursor, max(seq) AS max_cursor, count(*) AS rows, bit_or({QUAL}) AS quality_union FROM raw GROUP BY ALL")
@@ -30,10 +30,21 @@ def _(spark, sf):
     return w.join(F.broadcast(d), "stream").groupBy("wm").agg(F.bool_and(F.col("consumed") <= F.col("durable")).alias("may_checkpoint"), F.count("*").alias("inputs"))
 
 
-@query("retention_plan", "SELECT seq // 1000 AS segment, bool_and(qty < 100) AND count(*) > 0 AND min(price) >= 0 AND bool_or(kind = 'view') AND max(seq) < 9000 AND count(*) FILTER (WHERE kind = 'signup') > 0 AS may_delete FROM raw GROUP BY 1")
+@query("retention_plan", SEG_SQL + """, k AS (SELECT max(last_ns) AS now, max(segment) AS top FROM seg), mf AS (SELECT stream, segment, bool_and(segment % 5 <> 0 OR part = 0) AS published FROM seg, range(2) r(part) WHERE segment % 7 <> 3 GROUP BY ALL),
+cp AS (SELECT stream, min(limit_pos) AS least FROM seg, k WHERE segment IN (top, top - 1) GROUP BY stream)
+SELECT seg.stream, seg.segment, last_ns <= now - 3600000000000 AS expired, coalesce(published, false) AS published, coalesce(least >= limit_pos, false) AS consumed, seg.segment % 4 <> 2 AS unreferenced, seg.segment % 3 <> 1 AS replicated, seg.segment % 2 = 0 OR seg.stream > 1 AS approved,
+  last_ns <= now - 3600000000000 AND coalesce(published, false) AND coalesce(least >= limit_pos, false) AND seg.segment % 4 <> 2 AND seg.segment % 3 <> 1 AND (seg.segment % 2 = 0 OR seg.stream > 1) AS may_delete
+FROM seg JOIN k ON true LEFT JOIN mf ON seg.stream = mf.stream AND seg.segment = mf.segment LEFT JOIN cp ON seg.stream = cp.stream""")
 def _(spark, sf):
-    c = F.bool_and(F.col("qty") < 100) & (F.count("*") > 0) & (F.min("price") >= 0) & F.bool_or(F.col("kind") == "view") & (F.max("seq") < 9000) & (F.count_if(F.col("kind") == "signup") > 0)
-    return raw(spark, sf).groupBy(F.expr("seq div 1000").alias("segment")).agg(c.alias("may_delete"))
+    from ..operators.gates import retention_plan
+
+    s = _segments(spark, sf).select("stream", "segment", "last_ns", "limit_pos")
+    now, top = s.agg(F.max("last_ns"), F.max("segment")).first()  # one row
+    parts = s.where("segment % 7 <> 3").withColumn("part", F.explode(F.array(F.lit(0), F.lit(1))))
+    manifests = parts.select("stream", "segment", F.expr("segment % 5 <> 0 OR part = 0").alias("verified"))
+    checkpoints = s.where(F.col("segment").isin(top, top - 1)).select("stream", F.col("segment").alias("consumer"), F.col("limit_pos").alias("durable_pos"))
+    readers, replicas = s.where("segment % 4 = 2"), s.withColumn("place", F.explode(F.expr("CASE WHEN segment % 3 = 1 THEN array('a', 'a') ELSE array('a', 'b') END")))
+    return retention_plan(s, manifests, checkpoints, readers, replicas, now, 3_600_000_000_000, 2, s.where("segment % 2 = 0 OR stream > 1"))
 
 
 @query("feed_statistics", "SELECT count(*) FILTER (WHERE kind <> 'error') AS delivered, count(*) FILTER (WHERE kind = 'error') AS errors, count(*) FILTER (WHERE qty = 0) AS filtered, count(*) FILTER (WHERE qty > 95) AS dropped, max(price) AS high_water, count(DISTINCT instrument_id) AS active FROM raw")

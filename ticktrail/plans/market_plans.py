@@ -121,11 +121,10 @@ def _(spark, sf):
     return d.where("kind = 'purchase'").join(s, "instrument_id", "left").select("seq", "latest_price", F.lit(BIT["NONDETERMINISTIC_LIVE_LATEST"]).alias("flags"))
 
 
-@query("mux_order", "SELECT seq, seq // 2500 AS epoch, row_number() OVER (PARTITION BY seq // 2500, recv_ns // 60000000000 ORDER BY recv_ns, stream, seq) AS place FROM raw")
+@query("mux_order", "SELECT seq, seq // 2500 AS epoch, row_number() OVER (PARTITION BY seq // 2500 ORDER BY recv_ns, stream, seq) AS place FROM raw")
 def _(spark, sf):
-    # Places are numbered within a minute of an epoch, so no epoch is one task.
-    w = Window.partitionBy("epoch", F.expr("recv_ns div 60000000000")).orderBy("recv_ns", "stream", "seq")
-    return raw(spark, sf).withColumn("epoch", F.expr("seq div 2500")).select("seq", "epoch", F.row_number().over(w).cast("long").alias("place"))
+    d = raw(spark, sf).select("seq", F.expr("seq div 2500").alias("epoch"), "recv_ns", "stream")
+    return M.mux(d, ["epoch"], "recv_ns", ["stream", "seq"]).select("seq", "epoch", "place")
 
 
 @query("book_lookup", "SELECT instrument_id, max(seq) AS seq FROM raw WHERE kind = 'view' AND instrument_id IN (1, 5, 7, 11) GROUP BY 1")

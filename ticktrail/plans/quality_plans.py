@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions.bits import BIT, QUALITY_BITS, masks_pass
 from ..functions.bits import names as bit_names
 from ..operators.control import sequence_guard
+from ..operators.lake import merge_tiers, offered, reconcile
 from ..operators.ordered import prefix
 from .base import query, raw, table
 
@@ -70,34 +71,43 @@ def _(spark, sf):
     return raw(spark, sf).groupBy(r.alias("reason")).agg(F.count("*").alias("rows"))
 
 
-@query("dedupe_canonical", "SELECT l_orderkey, l_linenumber, min(l_partkey) AS l_partkey, count(*) AS copies FROM lineitem GROUP BY 1, 2", with_raw=False)
-def _(spark, sf):
-    return table(spark, sf, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.min("l_partkey").alias("l_partkey"), F.count("*").alias("copies"))
+DEDUPE = "l_orderkey, l_linenumber, l_shipdate, l_partkey, l_suppkey, l_quantity, l_extendedprice"
 
 
-@query("hot_cold_merge", "h AS (SELECT seq, price, 0 AS tier FROM raw WHERE seq >= 3000 UNION ALL SELECT seq, price + 1, 1 FROM raw WHERE seq < 4000) SELECT seq, arg_min(price, tier) AS price, CAST(min(tier) AS INTEGER) AS tier, count(*) AS copies FROM h GROUP BY seq")
+@query("dedupe_canonical", f"WITH o AS (SELECT {DEDUPE}, row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY l_shipdate, l_partkey, l_suppkey, l_quantity, l_extendedprice) AS i, count(*) OVER (PARTITION BY l_orderkey, l_linenumber) AS copies FROM lineitem) SELECT {DEDUPE}, copies FROM o WHERE i = 1", with_raw=False)
 def _(spark, sf):
-    d = raw(spark, sf)
-    both = d.where("seq >= 3000").select("seq", "price", F.lit(0).alias("tier")).unionByName(d.where("seq < 4000").select("seq", (F.col("price") + 1).alias("price"), F.lit(1).alias("tier")))
-    return both.groupBy("seq").agg(F.min_by("price", "tier").alias("price"), F.min("tier").alias("tier"), F.count("*").alias("copies"))
+    return merge_tiers(table(spark, sf, "lineitem").select(*DEDUPE.split(", ")), ["l_orderkey", "l_linenumber"], "l_shipdate")
 
 
-@query("reconcile", """WITH b AS (SELECT o_orderkey, CASE WHEN o_orderkey % 11 = 0 THEN o_orderstatus || '?' ELSE o_orderstatus END AS st, o_orderpriority AS pr, o_custkey % 8 AS channel FROM orders WHERE o_orderkey % 13 <> 0),
-j AS (SELECT o.o_custkey % 8 AS channel, b.o_orderkey IS NOT NULL AS hit, b.st IS DISTINCT FROM o.o_orderstatus AS d1, b.pr IS DISTINCT FROM o.o_orderpriority AS d2 FROM orders o LEFT JOIN b USING (o_orderkey))
-SELECT channel, count(*) AS capture_rows, count(*) FILTER (WHERE hit) AS backup_matches, count(*) FILTER (WHERE NOT hit) AS missing_rows, 2 * count(*) FILTER (WHERE hit) AS fields_compared,
-  count(*) FILTER (WHERE hit AND (d1 OR d2)) AS differing_rows, CASE WHEN count(*) FILTER (WHERE NOT hit) = 0 AND count(*) FILTER (WHERE hit AND (d1 OR d2)) = 0 THEN 'PASS' ELSE 'FAIL' END AS result FROM j GROUP BY channel""", with_raw=False)
+@query("hot_cold_merge", "h AS (SELECT seq, price, 0 AS tier FROM raw WHERE seq >= (SELECT max(seq) * 3 // 10 FROM raw) UNION ALL SELECT seq, price + 1, 1 FROM raw WHERE seq < (SELECT max(seq) * 4 // 10 FROM raw)) SELECT seq, arg_min(price, tier) AS price, CAST(min(tier) AS INTEGER) AS tier, count(*) AS copies FROM h GROUP BY seq")
 def _(spark, sf):
-    from ..operators.lake import reconcile
-
+    d = raw(spark, sf)
+    top = d.agg(F.max("seq").alias("top"))  # one row
+    d = d.join(F.broadcast(top))
+    hot, cold = d.where("seq >= top * 3 div 10").select("seq", "price", F.lit(0).alias("tier")), d.where("seq < top * 4 div 10").select("seq", (F.col("price") + 1).alias("price"), F.lit(1).alias("tier"))
+    return merge_tiers(hot.unionByName(cold), ["seq"], "tier")
+
+
+@query("reconcile", """WITH o AS (SELECT o_orderkey, o_custkey % 8 AS channel, o_orderstatus AS st, o_orderpriority AS pr FROM orders),
+b AS (SELECT CASE WHEN o_orderkey % 17 = 0 THEN -o_orderkey ELSE o_orderkey END AS o_orderkey, channel, CASE WHEN o_orderkey % 11 = 0 THEN st || '?' ELSE st END AS st, pr FROM o WHERE o_orderkey % 13 <> 0
+  UNION ALL SELECT o_orderkey, channel, st, pr FROM o WHERE o_orderkey % 19 = 0 AND o_orderkey % 13 <> 0 AND o_orderkey % 17 <> 0),
+c1 AS (SELECT o_orderkey, min(channel) AS channel, count(*) AS n, min(st) AS st, max(st) AS st2, min(pr) AS pr, max(pr) AS pr2 FROM o GROUP BY 1),
+b1 AS (SELECT o_orderkey, min(channel) AS channel, count(*) AS n, min(st) AS st, max(st) AS st2, min(pr) AS pr, max(pr) AS pr2 FROM b GROUP BY 1),
+j AS (SELECT coalesce(c1.channel, b1.channel) AS channel, c1.n AS cn, b1.n AS bn, c1.st <> b1.st OR c1.pr <> b1.pr OR c1.st <> c1.st2 OR c1.pr <> c1.pr2 OR b1.st <> b1.st2 OR b1.pr <> b1.pr2 AS differs FROM c1 FULL JOIN b1 ON c1.o_orderkey = b1.o_orderkey),
+g AS (SELECT channel, count(cn) AS capture_rows, count(*) FILTER (WHERE cn IS NOT NULL AND bn IS NOT NULL) AS backup_matches, count(*) FILTER (WHERE bn IS NULL) AS missing_rows, count(*) FILTER (WHERE cn IS NULL) AS backup_only_rows,
+  count(*) FILTER (WHERE cn > 1 OR bn > 1) AS repeated_keys, count(*) FILTER (WHERE cn IS NOT NULL AND bn IS NOT NULL AND differs) AS differing_rows FROM j GROUP BY channel)
+SELECT *, 2 * backup_matches AS fields_compared, CASE WHEN missing_rows = 0 AND backup_only_rows = 0 AND differing_rows = 0 THEN 'PASS' ELSE 'FAIL' END AS result FROM g""", with_raw=False)
+def _(spark, sf):
+    k = F.col("o_orderkey")
     o = table(spark, sf, "orders").select("o_orderkey", (F.col("o_custkey") % 8).alias("channel"), F.col("o_orderstatus").alias("st"), F.col("o_orderpriority").alias("pr"))
-    b = o.where("o_orderkey % 13 <> 0").withColumn("st", F.when(F.col("o_orderkey") % 11 == 0, F.concat("st", F.lit("?"))).otherwise(F.col("st"))).drop("channel")
-    return reconcile(o, b, ["o_orderkey"], ["st", "pr"], "channel")
+    b = o.where(k % 13 != 0).withColumn("st", F.when(k % 11 == 0, F.concat("st", F.lit("?"))).otherwise(F.col("st"))).withColumn("o_orderkey", F.when(k % 17 == 0, -k).otherwise(k))
+    twice = o.where((k % 19 == 0) & (k % 13 != 0) & (k % 17 != 0))
+    return reconcile(o, b.unionByName(twice), ["o_orderkey"], ["st", "pr"], "channel")
 
 
-@query("idempotent_publish", "k AS (SELECT instrument_id, qty, count(*) AS n, count(DISTINCT price) AS versions FROM raw GROUP BY ALL) SELECT instrument_id, qty, n AS offers, CASE WHEN versions > 1 THEN 'CONFLICT' WHEN n > 1 THEN 'DUPLICATE' ELSE 'PUBLISHED' END AS outcome FROM k")
+@query("idempotent_publish", "k AS (SELECT instrument_id, qty, count(*) AS n, min(price) AS price, count(DISTINCT price) AS versions FROM raw GROUP BY ALL) SELECT instrument_id, qty, price, n AS offers, CASE WHEN versions > 1 THEN 'CONFLICT' WHEN n > 1 THEN 'DUPLICATE' ELSE 'PUBLISHED' END AS outcome FROM k")
 def _(spark, sf):
-    g = raw(spark, sf).groupBy("instrument_id", "qty").agg(F.count("*").alias("offers"), F.countDistinct("price").alias("v"))
-    return g.select("instrument_id", "qty", "offers", F.when(F.col("v") > 1, "CONFLICT").when(F.col("offers") > 1, "DUPLICATE").otherwise("PUBLISHED").alias("outcome"))
+    return offered(raw(spark, sf).select("instrument_id", "qty", "price"), ["instrument_id", "qty"], "price")
 
 
 @query("distinct_parents", "SELECT stream, qty AS occurrence, count(*) AS locators FROM raw GROUP BY ALL HAVING count(*) > 1")

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions.decode import read_uint
 from ..operators.factors import FactorSpec, imbalance, run_factor
-from ..operators.replay import positions
+from ..operators.replay import located, positions
 from ..sources import catalogs
 from .base import query, raw, table
 from .factor_plans import _book
@@ -34,11 +34,11 @@ def _(spark, sf):
     return catalogs.subscription_faults(catalogs.subscription_spec(spark), spark.createDataFrame(seen, "source_stream_id int, message_key string"))
 
 
-@query("segment_lookup", SEG_SQL + ", q AS (SELECT stream, seq, (seq * 7919) % 300000 AS pos FROM raw WHERE seq % 10 = 0) SELECT q.stream, q.seq, q.pos, seg.segment FROM q JOIN seg ON q.stream = seg.stream AND q.pos >= seg.base_pos AND q.pos < seg.limit_pos")
+@query("segment_lookup", SEG_SQL + ", t AS (SELECT stream, max(end_pos) AS n FROM placed GROUP BY stream), q AS (SELECT raw.stream, seq, (seq * 7919 * 131) % n AS pos FROM raw JOIN t USING (stream)) SELECT q.stream, q.seq, q.pos, seg.segment FROM q JOIN seg ON q.stream = seg.stream AND q.pos >= seg.base_pos AND q.pos < seg.limit_pos")
 def _(spark, sf):
-    q = raw(spark, sf).where("seq % 10 = 0").select("stream", "seq", F.expr("(seq * 7919) % 300000").alias("pos"))
-    s = _segments(spark, sf).select(F.col("stream").alias("st"), "segment", "base_pos", "limit_pos")
-    return q.join(s, (F.col("stream") == F.col("st")) & (F.col("pos") >= F.col("base_pos")) & (F.col("pos") < F.col("limit_pos"))).select("stream", "seq", "pos", "segment")
+    ends = positions(raw(spark, sf)).groupBy("stream").agg(F.max("end_pos").alias("n"))
+    q = raw(spark, sf).join(ends, "stream").select("stream", "seq", F.expr("(seq * 7919 * 131) % n").alias("pos"))
+    return located(q, _segments(spark, sf), ["stream"], "pos", "base_pos", "limit_pos", ["segment"]).select("stream", "seq", "pos", "segment")
 
 
 @query("content_hash", "SELECT l_orderkey, sha256('lines:' || string_agg(l_partkey || '/' || l_suppkey || '/' || l_linenumber, ';' ORDER BY l_partkey, l_suppkey, l_linenumber)) AS content_hash FROM lineitem GROUP BY l_orderkey", with_raw=False)
@@ -57,6 +57,8 @@ def _(spark, sf):
     return run_factor(d, spec, ["instrument_id"], "recv_ns", "seq").select("seq", "value", "valid")
 
 
-@query("durable_scan", POS_SQL + " SELECT stream, count(*) AS records, max(end_pos) AS valid_end FROM placed WHERE end_pos <= 100000 GROUP BY stream")
+@query("durable_scan", POS_SQL + ", f AS (SELECT stream, max(end_pos) * 9 // 10 AS durable FROM placed GROUP BY stream) SELECT stream, count(*) AS records, max(end_pos) AS valid_end FROM placed JOIN f USING (stream) WHERE end_pos <= durable GROUP BY stream")
 def _(spark, sf):
-    return positions(raw(spark, sf)).where("end_pos <= 100000").groupBy("stream").agg(F.count("*").alias("records"), F.max("end_pos").alias("valid_end"))
+    d = positions(raw(spark, sf))
+    f = d.groupBy("stream").agg(F.expr("max(end_pos) * 9 div 10").alias("durable"))
+    return d.join(f, "stream").where("end_pos <= durable").groupBy("stream").agg(F.count("*").alias("records"), F.max("end_pos").alias("valid_end"))

@@ -12,8 +12,11 @@ from ..functions.hashing import stable_draw
 KINDS = ("snapshot", "order", "trade")
 
 
+#: Fixed values in universe: services, first ids, price bases, multipliers, moduli, ticks and lots.
 def universe(spark: SparkSession, shanghai: int, shenzhen: int, derivatives: int) -> DataFrame:
-    """Closed-form instruments; only column arithmetic."""
+    """Closed-form instruments; only column arithmetic. Ids have a fixed width, so the numbers of instruments are bounded."""
+    if not (0 <= shanghai <= 100_000 and 0 <= shenzhen <= 999_999 and 0 <= derivatives <= 10_000):
+        raise ValueError("too many instruments for the width of their ids")
     i = F.col("id")
     cash = lambda by: F.lit(10000) + (i * by % 19000) * 10
     sh = spark.range(shanghai).select(F.lit(101).alias("service_id"), (i + 600000).cast("string").alias("security_id"), cash(7919).alias("reference_price_milli"), F.lit(10).alias("tick_size_milli"), F.lit(100).alias("lot_size"), F.lit(False).alias("option"))
