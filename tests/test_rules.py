@@ -120,3 +120,47 @@ def test_ranges_reconciliation_and_order(spark):
     many = spark.range(70).select(F.lit(1).alias("g"), F.col("id").alias("k"))
     with pytest.raises(Exception, match="63 keys"):
         control.key_masks(many, ["g"], "k", {"m": F.lit(True)}).collect()
+
+
+def test_messages_keep_faults_apart(spark):
+    from ticktrail.operators import messages as M
+
+    rows = [("CONNECTING", 1, "a", None), ("CONNECTING", 2, "a", None), ("DISCONNECTED", 1, "a", None), ("CONNECT_ERROR", 1, "", ""), (None, 1, "a", "b"), ("CONNECTING", None, "a", "b"), ("CONNECTING", 1, None, "b")]
+    d = spark.createDataFrame(rows, "k string, v int, a string, e string")
+    got = [(r[0][0], r[0][1]) for r in d.select(M.connection_event(F.col("k"), F.col("v"), F.col("a"), F.col("e"), 1)).collect()]
+    assert got == [("CONNECTING", None), (None, "UNSUPPORTED_VERSION"), (None, "UNREADABLE_TEXT"), ("CONNECT_ERROR", None), (None, "UNSUPPORTED_MESSAGE"), (None, "UNSUPPORTED_VERSION"), (None, "UNREADABLE_TEXT")]
+
+    kind = "c int, s array<struct<service_id:int,service_version:int,messages:array<struct<message_id:int,status:int>>>>"
+    rows = [(0, []), (1, [(2, 1, [(1, 0)]), (1, 1, [(5, 0), (3, 1)])]), (0, [(1, 1, None)]), (0, None), (None, []), (0, [(1, 1, [(1, 0), (1, 1)])]), (0, [(i, 1, []) for i in range(4097)])]
+    got = [tuple(r[0])[:3] for r in spark.createDataFrame(rows, kind).select(M.logon_response(F.col("c"), F.col("s"))).collect()]
+    assert got == [("LOGON_SUCCESS", None, 0), ("LOGON_FAILURE", None, 3), (None, "UNREADABLE_LIST", None), (None, "UNREADABLE_LIST", None), (None, "UNREADABLE_CODE", None), (None, "DUPLICATE_KEY", None), (None, "TOO_MANY_ENTRIES", None)]
+
+    rows = [(40, 0, 0), (39, 0, 0), (56, 40, 2), (55, 40, 2), (100, 39, 1), (None, 40, 0), (100, BIG, 2), (100, 40, -1), (100, None, 0), (100, 40, None)]
+    got = [r[0] for r in spark.createDataFrame(rows, "size long, o long, n long").select(M.body_valid(F.col("size"), 40, [(F.col("o"), F.col("n"), 8)])).collect()]
+    assert got == [True, False, True, False, False, False, False, False, True, False]
+
+
+def test_accumulated_lots_against_a_walk(spark):
+    draw = random.Random(5)
+    rows = [(draw.choice([1, 2, 3, None]), i, draw.choice([None, 0, -5, *range(1, 300)]), draw.choice([None, 0, -3, *range(1, 90)])) for i in range(400)]
+    rows += [(9, 1000 + i, BIG // 2, 50) for i in range(3)]
+    want = {}
+    for key in {r[0] for r in rows}:
+        v = t = 0
+        for _, i, p, q in sorted((r for r in rows if r[0] == key), key=lambda r: r[1]):
+            take = max(0, min(q, 900 - v, (200_000 - t) // p) // 10 * 10) if (p or 0) > 0 and (q or 0) > 0 else 0
+            v, t = v + take, t + take * (p or 0)
+            want[i] = (take, v, t)
+    d = spark.createDataFrame(rows, "k int, seq long, price long, qty long")
+    got = {r.seq: (r.accepted, r.volume, r.turnover) for r in market.accumulated(d, ["k"], "seq", "price", "qty", 10, 900, 200_000).collect()}
+    assert got == want
+    loose = market.accumulated(d.where("k < 9"), ["k"], "seq", "price", "qty", 10, BIG, BIG).agg(F.max("volume"), F.sum("accepted")).first()
+    assert loose[1] == sum(q // 10 * 10 for k, _, p, q in rows if k and k < 9 and (p or 0) > 0 and (q or 0) > 0)
+
+
+def test_pacing_starts_anew_after_a_pause(spark):
+    from ticktrail.operators.messages import paced
+
+    rows = [(1, i, 10 * i, m) for i, m in enumerate([True, True, None, False, True, True, True, False])]
+    got = paced(spark.createDataFrame(rows, "s int, seq long, at long, m boolean"), ["s"], "seq", "at", F.col("m"), 100).orderBy("seq")
+    assert [(r.seq, r.deadline) for r in got.collect()] == [(0, 100), (1, 200), (4, 140), (5, 240), (6, 340)]

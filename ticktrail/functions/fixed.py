@@ -85,3 +85,11 @@ def price_limits(reference: Column, tick: Column, derivative: Column) -> tuple[C
     pct = F.when(derivative, 20).otherwise(10)
     low, high = div(reference * (F.lit(100) - pct) + 99, 100), div(reference * (pct + 100), 100)
     return div(low + tick - 1, tick) * tick, div(high, tick) * tick
+
+
+def depth_clamped(price: Column, lower: Column, upper: Column, tick: Column, depth: Column) -> Column:
+    """price held so far inside its limits that ``depth`` levels and two more (two at least) fit on both sides; where the
+    limits are too narrow for that, the upper limit wins over the lower margin. Null stays null."""
+    room = tick * F.greatest(F.lit(2), depth + 2)
+    floor = F.least(upper, lower + room)
+    return clamp(price, floor, F.greatest(floor, upper - room))

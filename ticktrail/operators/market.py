@@ -87,3 +87,36 @@ def mux(df: DataFrame, epoch: Sequence[str], clock: str, ties: Sequence[str], wi
     """df plus place, from 1: the one order of an epoch's rows over all streams, by receive time, then stream, sequence and
     sub-index (``ties``). Epochs' clocks are never compared. Counts by ``width`` of the clock are carried, so no epoch is one task."""
     return prefix(df, epoch, clock, {"place": ("sum", F.lit(1).cast("long"))}, width=width, ties=ties)
+
+
+def accumulated(df: DataFrame, keys: Sequence[str], order: str, price: str, qty: str, lot: int, most_volume: int, most_turnover: int) -> DataFrame:
+    """df plus accepted, volume and turnover: each row's whole lots, as many as leave both totals within their limits.
+
+    Keys that never reach a limit, as their totals tell, are running sums; only the others are walked row by row, so those
+    keys must be bounded (an instrument's day). Nothing is accepted of a row whose price or quantity is null or not above zero.
+    """
+    p, q, keys = F.col(price), F.col(qty), list(keys)
+    d = df.withColumn("accepted", F.when((p > 0) & (q > 0), q - q % lot).otherwise(0).cast("long"))
+    wide = F.col("accepted").cast("decimal(19,0)")
+    full = d.groupBy(*keys).agg(F.sum(wide).alias("__v"), F.sum(wide * F.coalesce(p, F.lit(0)).cast("decimal(19,0)")).alias("__t"))
+    full = full.where((F.col("__v") > most_volume) | (F.col("__t") > most_turnover) | F.col("__t").isNull()).select(*[F.col(k).alias(f"__k_{k}") for k in keys])
+    on = [d[k].eqNullSafe(full[f"__k_{k}"]) for k in keys]
+    free = prefix(d.join(full, on, "left_anti"), keys, order, {"volume": ("sum", F.col("accepted")), "turnover": ("sum", F.col("accepted") * F.coalesce(p, F.lit(0)))})
+
+    def walk(rows):
+        rows = rows.sort_values(order)
+        volume = turnover = 0
+        out = []
+        for want, at in zip(rows["accepted"], rows[price]):
+            take = 0
+            if want:
+                take = min(int(want), most_volume - volume, (most_turnover - turnover) // int(at))
+                take -= take % lot
+            volume, turnover = volume + take, turnover + take * (int(at) if take else 0)
+            out.append((take, volume, turnover))
+        rows["accepted"], rows["volume"], rows["turnover"] = zip(*out)
+        return rows
+
+    held = d.join(full, on, "left_semi")
+    held = held.groupBy(*keys).applyInPandas(walk, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in d.schema) + ", volume long, turnover long")
+    return free.select(*held.columns).unionByName(held)

@@ -52,12 +52,12 @@ def _(spark, sf):
     return prefix(raw(spark, sf), ["stream"], "seq", {"p": ("last", e)}).select("seq", "stream", F.coalesce("p", F.lit("UNKNOWN")).alias("phase"))
 
 
-@query("registry_join", f"SELECT seq, coalesce(c_custkey, -instrument_id - 1) AS registered_id, c_custkey IS NULL AS temporary, coalesce(c_custkey, -instrument_id - 1) % 16 AS shard_raw, CAST(CASE WHEN c_custkey IS NULL THEN {BIT['INSTRUMENT_UNKNOWN']} ELSE 0 END AS BIGINT) AS flags FROM raw LEFT JOIN customer ON instrument_id = c_custkey AND c_custkey % 10 <> 3")
+@query("registry_join", f"SELECT seq, coalesce(c_custkey, -instrument_id - 1) AS registered_id, c_custkey IS NULL AS temporary, (coalesce(c_custkey, -instrument_id - 1) % 16 + 16) % 16 AS shard, CAST(CASE WHEN c_custkey IS NULL THEN {BIT['INSTRUMENT_UNKNOWN']} ELSE 0 END AS BIGINT) AS flags FROM raw LEFT JOIN customer ON instrument_id = c_custkey AND c_custkey % 10 <> 3")
 def _(spark, sf):
     reg = table(spark, sf, "customer").where("c_custkey % 10 <> 3").select("c_custkey")
     d = raw(spark, sf).join(reg, F.col("instrument_id") == F.col("c_custkey"), "left")
     i = F.coalesce("c_custkey", -F.col("instrument_id") - 1)
-    return d.select("seq", i.alias("registered_id"), F.col("c_custkey").isNull().alias("temporary"), (i % 16).alias("shard_raw"), F.when(F.col("c_custkey").isNull(), F.lit(BIT["INSTRUMENT_UNKNOWN"])).otherwise(F.lit(0)).cast("long").alias("flags"))
+    return d.select("seq", i.alias("registered_id"), F.col("c_custkey").isNull().alias("temporary"), F.pmod(i, F.lit(16)).alias("shard"), F.when(F.col("c_custkey").isNull(), F.lit(BIT["INSTRUMENT_UNKNOWN"])).otherwise(F.lit(0)).cast("long").alias("flags"))
 
 
 @query("ohlc_daily", "SELECT instrument_id, CAST(CAST(ts AS DATE) AS VARCHAR) AS trade_date, arg_min(price, seq) AS open, max(price) AS high, min(price) AS low, arg_max(price, seq) AS close, CAST(sum(qty) AS BIGINT) AS volume, CAST(sum(price * qty) AS BIGINT) AS turnover, count(*) AS trades FROM raw WHERE kind = 'purchase' GROUP BY ALL")
