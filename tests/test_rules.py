@@ -164,3 +164,33 @@ def test_pacing_starts_anew_after_a_pause(spark):
     rows = [(1, i, 10 * i, m) for i, m in enumerate([True, True, None, False, True, True, True, False])]
     got = paced(spark.createDataFrame(rows, "s int, seq long, at long, m boolean"), ["s"], "seq", "at", F.col("m"), 100).orderBy("seq")
     assert [(r.seq, r.deadline) for r in got.collect()] == [(0, 100), (1, 200), (4, 140), (5, 240), (6, 340)]
+
+
+def test_book_sides_against_a_walk(spark):
+    draw = random.Random(8)
+    rows = [(draw.choice(["a", "b", None]), draw.choice([True, False, None]), draw.choice([None, *range(100, 125)]), draw.choice([5, 6, 7]), i) for i in range(900)]
+    rows += [("hot", True, 7, i % 3, 1000 + i) for i in range(70)]
+    got = {(r.k, r.is_bid): r for r in market.book_sides(spark.createDataFrame(rows, "k string, bid boolean, price long, qty long, seq long"), ["k"], F.col("bid"), "price", "qty", "seq").collect()}
+    want = {(k, b) for k, b, p, _, _ in rows if b is not None and p is not None}
+    assert set(got) == want
+    for (k, b), r in got.items():
+        mine = sorted((i, p, q) for kk, bb, p, q, i in rows if (kk, bb) == (k, b) and p is not None)
+        prices = sorted({p for _, p, _ in mine}, reverse=b)
+        assert r.actual_depth == len(prices)
+        assert [tuple(x) for x in r.levels] == [(p, sum(q for _, x, q in mine if x == p), sum(x == p for _, x, _ in mine)) for p in prices[:10]]
+        best = [q for _, p, q in mine if p == prices[0]]
+        assert r.queue == best[:50] and r.queue_orders == len(best)
+    empty = spark.createDataFrame([], "k string, bid boolean, price long, qty long, seq long")
+    assert market.book_sides(empty, ["k"], F.col("bid"), "price", "qty", "seq").count() == 0
+
+
+def test_log2_buckets_and_epochs(spark):
+    from ticktrail.functions.bits import log2_bucket
+    from ticktrail.functions.hashing import clock_epoch
+
+    values = [0, 1, 2, 3, 4, 1023, 1024, (1 << 31) - 1, 1 << 31, BIG, None]
+    got = [r[0] for r in spark.createDataFrame([(v,) for v in values], "v long").select(log2_bucket(F.col("v"))).collect()]
+    assert got == [None if v is None else min(max(v, 1).bit_length() - 1, 31) for v in values]
+    d = spark.createDataFrame([("a", "bc", "d"), ("ab", "c", "d"), ("", "b", "c"), ("a", None, "c")], "a string, b string, c string")
+    got = [tuple(r) for r in d.select(*clock_epoch(F.col("a"), F.col("b"), F.col("c"))).collect()]
+    assert got[0] != got[1] and got[2:] == [(None, None)] * 2 and all(x[:16] == y for x, y in got[:2])

@@ -43,3 +43,8 @@ def names(col: Column) -> Column:
 def masks_pass(validity: Column, required: int, quality: Column, forbidden: int) -> Column:
     """All required validity bits set and no forbidden quality bit."""
     return (validity.bitwiseAND(F.lit(required)) == required) & (quality.bitwiseAND(F.lit(forbidden)) == 0)
+
+
+def log2_bucket(value: Column, buckets: int = 32) -> Column:
+    """The place of value's highest bit, held to the last bucket; values up to 1 are bucket 0, null stays null."""
+    return F.when(value <= 1, 0).when(value > 1, F.least(F.length(F.bin(value)) - 1, F.lit(buckets - 1)))

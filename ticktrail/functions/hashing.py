@@ -62,3 +62,12 @@ def crc32c(col: Column) -> Column:
         return s.map(lambda b: None if b is None else crc32c_bytes(bytes(b)))
 
     return run(col)
+
+
+def clock_epoch(host: Column, boot: Column, clock: Column) -> tuple[Column, Column]:
+    """Digest of a clock's identity, by which epochs are compared, and its label: the first eight bytes in hex. Each field
+    is framed by its length in bytes, so that no two identities run together; a null or empty field has no epoch."""
+    parts = [F.concat(F.unhex(F.lpad(F.hex(F.octet_length(f)), 8, "0")), F.encode(f, "UTF-8")) for f in (host, boot, clock)]
+    whole = (F.length(host) > 0) & (F.length(boot) > 0) & (F.length(clock) > 0)
+    digest = F.when(whole, F.sha2(F.concat(F.encode(F.lit("clock-epoch"), "UTF-8"), F.unhex(F.lit("00")), *parts), 256))
+    return digest, F.substring(digest, 1, 16)

@@ -77,3 +77,8 @@ def ewma(df: DataFrame, keys: Sequence[str], order: str, value: str, alpha: floa
 
     d = df.select(*keys, order, value)
     return d.groupBy(*keys).applyInPandas(walk, ", ".join(f"{c} {t}" for c, t in d.dtypes) + ", ewma double")
+
+
+def ratio(part: Column, whole: Column) -> Column:
+    """part / whole as a double; null, not zero, where whole is zero."""
+    return part.cast("double") / F.nullif(whole, F.lit(0).cast("long")).cast("double")

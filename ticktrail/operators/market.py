@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.bits import flag
@@ -120,3 +120,28 @@ def accumulated(df: DataFrame, keys: Sequence[str], order: str, price: str, qty:
     held = d.join(full, on, "left_semi")
     held = held.groupBy(*keys).applyInPandas(walk, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in d.schema) + ", volume long, turnover long")
     return free.select(*held.columns).unionByName(held)
+
+
+def book_sides(orders: DataFrame, keys: Sequence[str], bid: Column, price: str, qty: str, order: str, depth: int = 10, queue: int = 50) -> DataFrame:
+    """One row per keys and side (bid true or false): actual_depth, the best ``depth`` levels (price, qty, orders), best
+    first, and the quantities of the best level's first ``queue`` orders with the number of all its orders.
+
+    Levels are pre-aggregated and ranked before they are gathered, so a group holds at most depth levels and queue orders
+    whatever the size of the book. Orders without a price or side are in no level; equal places in a queue go by quantity."""
+    keys, side = list(keys), "is_bid"
+    d = orders.withColumn(side, bid).where(F.col(side).isNotNull() & F.col(price).isNotNull())
+    better = F.when(F.col(side), -F.col(price)).otherwise(F.col(price))
+    levels = d.groupBy(*keys, side, price).agg(F.sum(qty).alias("q"), F.count("*").alias("n"))
+    actual = levels.groupBy(*keys, side).agg(F.count("*").alias("actual_depth"))
+    at = levels.withColumn("at", F.row_number().over(Window.partitionBy(*keys, side).orderBy(better))).where(F.col("at") <= depth)
+    level = F.struct("at", F.col(price).alias("price"), F.col("q").alias("qty"), F.col("n").alias("orders"))
+    top = at.groupBy(*keys, side).agg(F.sort_array(F.collect_list(level)).alias("levels"))
+    top = top.withColumn("levels", F.transform("levels", lambda x: F.struct(x["price"].alias("price"), x["qty"].alias("qty"), x["orders"].alias("orders"))))
+    queued = d.withColumn("__rank", F.row_number().over(Window.partitionBy(*keys, side).orderBy(better, order, qty))).where(F.col("__rank") <= queue)
+    queued = queued.groupBy(*keys, side).agg(F.min(better).alias("__best"), F.sort_array(F.collect_list(F.struct("__rank", better.alias("b"), F.col(qty).alias("q")))).alias("__o"))
+    first = F.transform(F.filter("__o", lambda x: x["b"] == F.col("__best")), lambda x: x["q"])
+    out = actual
+    for part in (top, queued.select(*keys, side, first.alias("queue"))):
+        part = part.withColumnsRenamed({k: f"__k_{k}" for k in [*keys, side]})
+        out = out.join(part, [out[k].eqNullSafe(part[f"__k_{k}"]) for k in [*keys, side]]).drop(*[f"__k_{k}" for k in [*keys, side]])
+    return out.withColumn("queue_orders", F.col("levels")[0]["orders"])

@@ -30,17 +30,17 @@ def _(spark, sf):
 W = f"WINDOW w AS (PARTITION BY instrument_id ORDER BY recv_ns RANGE BETWEEN {24 * HOUR} PRECEDING AND CURRENT ROW)"
 
 
-@query("trade_imbalance", f"SELECT seq, CAST(sum(CASE WHEN price % 2 = 0 THEN qty ELSE -qty END) OVER w AS BIGINT) AS signed_qty, CAST(sum(qty) OVER w AS BIGINT) AS total_qty FROM raw WHERE kind = 'purchase' {W}")
+@query("trade_imbalance", f"SELECT seq, CAST(sum(CASE WHEN price % 2 = 0 THEN qty ELSE -qty END) OVER w AS BIGINT) AS signed_qty, CAST(sum(qty) OVER w AS BIGINT) AS total_qty, CAST(signed_qty AS DOUBLE) / nullif(total_qty, 0) AS imbalance FROM raw WHERE kind = 'purchase' {W}")
 def _(spark, sf):
     signed = F.when(F.col("price") % 2 == 0, F.col("qty")).otherwise(-F.col("qty"))
     d = X.sliding(raw(spark, sf).where("kind = 'purchase'"), ["instrument_id"], "recv_ns", 24 * HOUR, {"signed_qty": F.sum(signed), "total_qty": F.sum("qty")})
-    return d.select("seq", "signed_qty", "total_qty")
+    return d.select("seq", "signed_qty", "total_qty", X.ratio(F.col("signed_qty"), F.col("total_qty")).alias("imbalance"))
 
 
-@query("cancel_rate", f"SELECT seq, count(*) FILTER (WHERE kind = 'error') OVER w AS cancels, count(*) FILTER (WHERE kind = 'click') OVER w AS adds FROM raw {W}")
+@query("cancel_rate", f"SELECT seq, count(*) FILTER (WHERE kind = 'error') OVER w AS cancels, count(*) FILTER (WHERE kind = 'click') OVER w AS adds, CAST(cancels AS DOUBLE) / nullif(adds, 0) AS rate FROM raw {W}")
 def _(spark, sf):
     n = lambda k: F.count_if(F.col("kind") == k)
-    return X.sliding(raw(spark, sf), ["instrument_id"], "recv_ns", 24 * HOUR, {"cancels": n("error"), "adds": n("click")}).select("seq", "cancels", "adds")
+    return X.sliding(raw(spark, sf), ["instrument_id"], "recv_ns", 24 * HOUR, {"cancels": n("error"), "adds": n("click")}).select("seq", "cancels", "adds", X.ratio(F.col("cancels"), F.col("adds")).alias("rate"))
 
 
 @query("trade_intensity", f"SELECT seq, count(*) OVER w AS trades, CAST(count(*) OVER w AS DOUBLE) / 24.0 AS per_hour FROM raw WHERE kind = 'purchase' {W}")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions.bits import log2_bucket
 from ..operators import lake as L
 from ..operators.replay import positions
 from .base import query, raw, table
@@ -64,10 +65,9 @@ def _(spark, sf):
     return positions(raw(spark, sf)).groupBy("stream").agg(F.count("*").alias("callback_records"), F.count_if(s != 99).alias("append_records"), F.count_if(s < 90).alias("durable_records"), F.sum("size").alias("callback_bytes"), F.sum(F.when(s < 90, F.col("size"))).alias("durable_bytes"))
 
 
-@query("latency_histogram", "SELECT CASE WHEN price < 100 THEN 0 WHEN price < 1000 THEN 1 WHEN price < 2000 THEN 2 WHEN price < 5000 THEN 3 ELSE 4 END AS bucket, count(*) AS n FROM raw GROUP BY 1")
+@query("latency_histogram", "SELECT CAST(CASE WHEN price * price * qty <= 1 THEN 0 ELSE least(length(bin(price * price * qty)) - 1, 31) END AS INTEGER) AS bucket, count(*) AS n FROM raw GROUP BY 1")
 def _(spark, sf):
-    p = F.col("price")
-    return raw(spark, sf).groupBy(F.when(p < 100, 0).when(p < 1000, 1).when(p < 2000, 2).when(p < 5000, 3).otherwise(4).alias("bucket")).agg(F.count("*").alias("n"))
+    return raw(spark, sf).groupBy(log2_bucket(F.expr("price * price * qty")).alias("bucket")).agg(F.count("*").alias("n"))
 
 
 @query("synthetic_universe", """WITH u AS (

@@ -95,6 +95,19 @@ def _(spark, sf):
     return _book(spark, sf).select(F.col("k").alias("book_id"), F.size("levels").alias("actual_depth"), F.size(top).alias("depth"), (F.size("levels") > 3).alias("truncated"), F.col("levels")[0]["p"].alias("best_price"), F.element_at(top, -1)["p"].alias("last_price"))
 
 
+@query("snapshot_sides", """o AS (SELECT stream, kind, price % 2 = 0 AS is_bid, price // 500 AS price, seq, qty FROM raw), l AS (SELECT stream, kind, is_bid, price, sum(qty) AS q, count(*) AS n FROM o GROUP BY ALL),
+a AS (SELECT *, row_number() OVER (PARTITION BY stream, kind, is_bid ORDER BY CASE WHEN is_bid THEN -price ELSE price END) AS at, count(*) OVER (PARTITION BY stream, kind, is_bid) AS actual_depth FROM l),
+f AS (SELECT o.stream, o.kind, o.is_bid, o.qty, o.seq, row_number() OVER (PARTITION BY o.stream, o.kind, o.is_bid ORDER BY o.seq) AS r FROM o JOIN a ON a.at = 1 AND o.stream = a.stream AND o.kind = a.kind AND o.is_bid = a.is_bid AND o.price = a.price),
+z AS (SELECT stream, kind, is_bid, string_agg(qty, ',' ORDER BY seq) AS queue FROM f WHERE r <= 50 GROUP BY ALL)
+SELECT a.stream, a.kind, a.is_bid, a.actual_depth, string_agg(a.price || ':' || CAST(a.q AS BIGINT) || ':' || a.n, ',' ORDER BY a.at) AS levels, any_value(z.queue) AS queue, CAST(max(CASE WHEN a.at = 1 THEN a.n END) AS BIGINT) AS queue_orders
+FROM a JOIN z ON a.stream = z.stream AND a.kind = z.kind AND a.is_bid = z.is_bid WHERE a.at <= 10 GROUP BY ALL""")
+def _(spark, sf):
+    d = raw(spark, sf).select("stream", "kind", (F.col("price") % 2 == 0).alias("bid"), F.expr("price div 500").alias("price"), "seq", "qty")
+    b = M.book_sides(d, ["stream", "kind"], F.col("bid"), "price", "qty", "seq")
+    text = F.array_join(F.transform("levels", lambda x: F.concat_ws(":", x["price"], x["qty"], x["orders"])), ",")
+    return b.select("stream", "kind", "is_bid", "actual_depth", text.alias("levels"), F.array_join(F.transform("queue", lambda q: q.cast("string")), ",").alias("queue"), "queue_orders")
+
+
 @query("weighted_price", "WITH " + BOOK_SQL + " SELECT k AS book_id, CAST(list_sum(list_transform(levels, lambda x: x.p * x.q)) AS BIGINT) // CAST(nullif(list_sum(list_transform(levels, lambda x: x.q)), 0) AS BIGINT) AS weighted_price, CAST(list_sum(list_transform(levels, lambda x: x.q)) AS BIGINT) AS total_qty FROM bk", with_raw=False)
 def _(spark, sf):
     total = F.aggregate("levels", F.lit(0).cast("long"), lambda a, x: a + x["q"])

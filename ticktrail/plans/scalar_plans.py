@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import clock as K
 from ..functions import fixed as X
+from ..functions.hashing import clock_epoch
 from .base import query, raw, table
 
 
@@ -57,10 +58,16 @@ def _(spark, sf):
     return d.select(F.col("d").cast("string").alias("trade_date"), K.weekday(F.col("d")).alias("weekday"), K.next_trading_day(F.col("d")).cast("string").alias("next_trading_day"))
 
 
-@query("clock_epoch_id", "SELECT DISTINCT stream, kind, sha256('clock-epoch' || length(kind) || ':' || kind || length(CAST(stream AS VARCHAR)) || ':' || stream) AS epoch_digest FROM raw")
+def _framed(f):
+    return f"unhex(lpad(to_hex(octet_length(encode({f}))), 8, '0')) || encode({f})"
+
+
+@query("clock_epoch_id", f"""c AS (SELECT DISTINCT kind, 'bööt' || stream AS boot, CASE WHEN qty % 9 = 0 THEN '' ELSE 'tsc' || (qty % 3) END AS clock FROM raw),
+d AS (SELECT *, CASE WHEN clock <> '' THEN sha256(encode('clock-epoch') || unhex('00') || {_framed("kind")} || {_framed("boot")} || {_framed("clock")}) END AS digest FROM c) SELECT kind, boot, clock, digest, digest[1:16] AS label FROM d""")
 def _(spark, sf):
-    s = F.col("stream").cast("string")
-    return raw(spark, sf).select("stream", "kind", F.sha2(F.concat(F.lit("clock-epoch"), F.length("kind"), F.lit(":"), "kind", F.length(s), F.lit(":"), s), 256).alias("epoch_digest")).distinct()
+    c = raw(spark, sf).select("kind", F.concat(F.lit("bööt"), "stream").alias("boot"), F.expr("CASE WHEN qty % 9 = 0 THEN '' ELSE concat('tsc', qty % 3) END").alias("clock")).distinct()
+    digest, label = clock_epoch(F.col("kind"), F.col("boot"), F.col("clock"))
+    return c.select("kind", "boot", "clock", digest.alias("digest"), label.alias("label"))
 
 
 @query("hex_keys", "SELECT seq, lpad(lower(to_hex(seq)), 16, '0') || '-' || lpad(lower(to_hex(stream)), 4, '0') AS file_key FROM raw")
