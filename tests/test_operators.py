@@ -57,6 +57,41 @@ def test_index_and_rotation_recurrences(spark):
     assert all(r.b <= 2000 for r in rot) and sorted(r.segment_no for r in rot) == list(range(len(rot)))
 
 
+def test_recurrences_carry_their_state_over_batches(spark):
+    """Batches of seven rows, null group keys and values, a record larger than a segment."""
+    rows = [(g, i, (i * 37) % 50 + 1 if i != 40 else 500, None if i % 9 == 4 else float(i * 13 % 17)) for g in (None, 1, 2) for i in range(100)]
+    old = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        d = spark.createDataFrame(rows, "g int, i int, size long, v double").repartition(5)
+        rot = {(r.g, r.i): r.segment_no for r in replay.rotated(d, ["g"], "i", 120).collect()}
+        ew = {(r.g, r.i): r.ewma for r in factors.ewma(d, ["g"], "i", "v", 0.3).collect()}
+        at = d.withColumn("start_pos", F.col("i").cast("long") * 10)
+        idx = {(r.g, r.i) for r in replay.sampled_index(at, ["g"], "i", 12, 95).collect()}
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", old)
+    assert len(rot) == len(ew) == len(rows)
+    for g in (None, 1, 2):
+        seg = used = 0
+        y, since, last = None, 0, None
+        for _, i, size, v in (r for r in rows if r[0] == g):
+            if used and used + size > 120:
+                seg, used = seg + 1, 0
+            used += size
+            assert rot[g, i] == seg
+            y = y if v is None else v if y is None else 0.7 * y + 0.3 * v
+            assert abs(ew[g, i] - y) < 1e-9
+            hit = last is None or i - since >= 12 or i * 10 - last >= 95
+            assert ((g, i) in idx) == hit
+            since, last = (i, i * 10) if hit else (since, last)
+
+
+def test_crc32c_of_many_lengths():
+    values = [bytes((i * j) % 256 for j in range(i % 40)) for i in range(200)] + [b"x" * 5000, b"", b"123456789"]
+    got = hashing.crc32c_many(values).tolist()
+    assert got == [hashing.crc32c_bytes(v) for v in values] and got[-1] == 0xE3069283 and hashing.crc32c_many([]).tolist() == []
+
+
 def test_ranges_globs_and_rules(spark):
     with pytest.raises(ValueError):
         replay.half_open("x", 2, 1)

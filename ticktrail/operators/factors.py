@@ -7,9 +7,13 @@ import json
 from collections.abc import Callable, Sequence
 from dataclasses import asdict, dataclass, field
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ordered import scanned
+
 
 def imbalance(bid: Column, ask: Column) -> Column:
     return F.try_divide((bid - ask).cast("double"), (bid + ask).cast("double"))
@@ -68,15 +72,19 @@ def run_factor(df: DataFrame, spec: FactorSpec, keys: Sequence[str], at: str, in
 
 
 def ewma(df: DataFrame, keys: Sequence[str], order: str, value: str, alpha: float) -> DataFrame:
-    """Exponentially weighted mean: a recurrence, walked per key (an instrument's day)."""
+    """Exponentially weighted mean of a key's values so far, the first one taken whole; a null value leaves it as it is."""
+    d = df.select(*keys, order, value)
 
-    def walk(pdf):
-        pdf = pdf.sort_values(order)
-        pdf["ewma"] = pdf[value].astype(float).ewm(alpha=alpha, adjust=False).mean()
-        return pdf
+    def step(rows, state):
+        x = rows[value].to_numpy(np.float64, na_value=np.nan)
+        known, out = np.flatnonzero(~np.isnan(x)), np.full(len(x), np.nan)
+        if len(known):
+            begun = np.r_[[] if state is None else [state], x[known]]
+            out[known] = pd.Series(begun).ewm(alpha=alpha, adjust=False).mean().to_numpy()[-len(known):]
+        held = pd.Series(np.r_[np.nan if state is None else state, out]).ffill().to_numpy()[1:]
+        return rows.assign(ewma=held), None if np.isnan(held[-1]) else float(held[-1])
 
-    d = df.select(*keys, order, value)
-    return d.groupBy(*keys).applyInPandas(walk, ", ".join(f"{c} {t}" for c, t in d.dtypes) + ", ewma double")
+    return scanned(d, keys, order, step, ", ".join(f"{c} {t}" for c, t in d.dtypes) + ", ewma double")
 
 
 def ratio(part: Column, whole: Column) -> Column:

@@ -8,8 +8,10 @@ their own. Every operator that follows log order is built on this.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -51,6 +53,29 @@ def prefix(df: DataFrame, keys: Sequence[str], order: str, values: dict[str, tup
     return out.drop("__b", "__kb", *[f"__k_{k}" for k in keys], *[f"__{p}_{n}" for n in values for p in "vcw"])
 
 
+def scanned(df: DataFrame, keys: Sequence[str], order: str, step: Callable, schema: str) -> DataFrame:
+    """A recurrence along ``order`` that no partial aggregate expresses. ``step(rows, state)`` gets a run of rows of one
+    group as a pandas frame and what it returned beside the rows before (None at a group's start), and
+    returns the rows of ``schema`` and its state. Spark sorts on disk and hands a group over in Arrow batches,
+    so memory goes by a batch however many rows a group has; a group is one task."""
+    keys = list(keys)
+
+    def run(frames):
+        group, state = None, None
+        for pdf in frames:
+            ids = pdf.groupby(keys, dropna=False, sort=False).ngroup().to_numpy()
+            starts = np.flatnonzero(np.r_[True, ids[1:] != ids[:-1]]) if len(pdf) else []
+            for a, b in zip(starts, [*starts[1:], len(pdf)]):
+                rows = pdf.iloc[a:b]
+                now = tuple(None if pd.isna(v) else v for v in (rows[k].iloc[0] for k in keys))
+                if now != group:
+                    group, state = now, None
+                out, state = step(rows, state)
+                yield out
+
+    return df.repartition(*keys).sortWithinPartitions(*keys, order).mapInPandas(run, schema)
+
+
 def previous(df: DataFrame, keys: Sequence[str], order: str, cols: Sequence[str], width: int = BUCKET) -> DataFrame:
     """df plus prev, a struct of ``cols`` of the row before."""
     return prefix(df, keys, order, {"prev": ("last", F.struct(*cols))}, inclusive=False, width=width)

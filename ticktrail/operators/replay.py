@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Sequence
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.fixed import record_size
-from .ordered import prefix, previous
+from .ordered import prefix, previous, scanned
 
 
 def half_open(col: str, begin=None, end=None) -> Column:
@@ -81,37 +82,41 @@ def contiguity_violations(segs: DataFrame, keys: Sequence[str], segment: str) ->
 
 def sampled_index(df: DataFrame, keys: Sequence[str], order: str, records: int, size: int) -> DataFrame:
     """The first record of a group, then each that is ``records`` records or ``size`` bytes after the last
-    sampled: a recurrence, so a group (a segment, bounded by rotation) is walked in one piece."""
+    sampled."""
+    d = df.select(*keys, order, "start_pos")
 
-    def walk(pdf):
-        pdf = pdf.sort_values(order)
-        keep, since, at = [], 0, None
-        for pos in pdf["start_pos"]:
-            hit = at is None or since >= records or pos - at >= size
-            keep.append(hit)
-            since, at = (1, pos) if hit else (since + 1, at)
-        return pdf[keep]
+    def step(rows, state):
+        pos = rows["start_pos"].to_numpy()
+        since, at = state or (records, int(pos[0]))  # records since the last sample, and where that was
+        i, keep = 0, []
+        while (i := max(0, min(i + records - since, int(np.searchsorted(pos, at + size))))) < len(pos):
+            keep.append(i)
+            since, at = 0, int(pos[i])
+        passed = len(pos) - keep[-1] if keep else since + len(pos)
+        return rows.iloc[keep], (passed, at)
 
-    d = df.select(*keys, order, "start_pos")
-    return d.groupBy(*keys).applyInPandas(walk, d.schema)
+    return scanned(d, keys, order, step, d.schema.simpleString()[7:-1])
 
 
 def rotated(df: DataFrame, keys: Sequence[str], order: str, target: int) -> DataFrame:
-    """segment_no: a new segment begins when a record would exceed ``target`` bytes in the current one. The
-    recurrence is walked per group; make groups of namespace and hour where a stream-day is large."""
-
-    def walk(pdf):
-        pdf = pdf.sort_values(order)
-        out, seg, used = [], 0, 0
-        for n in pdf["size"]:
-            if used and used + n > target:
-                seg, used = seg + 1, 0
-            used += n
-            out.append(seg)
-        return pdf.assign(segment_no=out)
-
+    """segment_no: a new segment begins when a record would exceed ``target`` bytes in the current one; a record larger
+    than that is a segment of its own."""
     d = df.select(*keys, order, "size")
-    return d.groupBy(*keys).applyInPandas(walk, ", ".join(f"{c} {t}" for c, t in d.dtypes) + ", segment_no long")
+
+    def step(rows, state):
+        segment, used = state or (0, 0)
+        ends, at, base = rows["size"].cumsum().to_numpy(), 0, -used  # base: where the current segment begins
+        out = np.empty(len(ends), np.int64)
+        while True:
+            stop = int(np.searchsorted(ends, base + target, side="right"))
+            if stop == at and not used:
+                stop += 1
+            out[at:stop] = segment
+            if stop >= len(ends):
+                return rows.assign(segment_no=out), (segment, int(ends[-1]) - base)
+            segment, at, base, used = segment + 1, stop, int(ends[stop - 1]) if stop else 0, 0
+
+    return scanned(d, keys, order, step, ", ".join(f"{c} {t}" for c, t in d.dtypes) + ", segment_no long")
 
 
 def due_offsets(df: DataFrame, keys: Sequence[str], order: str, clock: str, num: int = 1, den: int = 1) -> DataFrame:

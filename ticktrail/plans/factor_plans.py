@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import factors as X
-from .base import query, raw
+from .base import RAW_SQL, query, raw
 
 HOUR = 3_600_000_000_000
 BOOK = "b AS (SELECT seq, instrument_id, recv_ns, price AS bid, price + 1 + qty % 5 AS ask, qty AS bid_qty, price % 100 AS ask_qty FROM raw WHERE kind = 'view')"
@@ -79,9 +79,11 @@ def _(spark, sf):
     return raw(spark, sf).where("kind = 'view'").groupBy(F.expr(f"recv_ns div {HOUR}").alias("slot"), "instrument_id").agg(F.max_by("price", "seq").alias("price"))
 
 
-@query("ewma_price")
+@query("ewma_price", f"""WITH RECURSIVE {RAW_SQL}, o AS (SELECT instrument_id, seq, price, row_number() OVER (PARTITION BY instrument_id ORDER BY seq) AS i FROM raw),
+e AS (SELECT *, CAST(price AS DOUBLE) AS y FROM o WHERE i = 1 UNION ALL SELECT o.*, coalesce(0.2::DOUBLE * o.price + 0.8::DOUBLE * e.y, e.y, o.price) FROM e JOIN o ON o.instrument_id = e.instrument_id AND o.i = e.i + 1)
+SELECT instrument_id, seq, price, round(y, 6) AS ewma FROM e""", with_raw=False)
 def _(spark, sf):
-    return X.ewma(raw(spark, sf), ["instrument_id"], "seq", "price", 0.2)
+    return X.ewma(raw(spark, sf), ["instrument_id"], "seq", "price", 0.2).withColumn("ewma", F.round("ewma", 6))
 
 
 @query("factor_batch_invariance", "SELECT instrument_id, CAST(sum(qty) AS BIGINT) AS qty, count(*) AS n FROM raw GROUP BY instrument_id")

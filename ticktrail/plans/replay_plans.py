@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions.fixed import record_pad, record_size
 from ..operators import replay as R
-from .base import query, raw, table
+from .base import RAW_SQL, query, raw, table
 
 POS_SQL = """pos AS (
   SELECT *, 135 + body + (8 - (119 + body) % 8) % 8 AS size,
@@ -85,13 +85,20 @@ def _(spark, sf):
     return R.contiguity_violations(_segments(spark, sf).where("(segment + stream) % 5 <> 3"), ["stream"], "segment").select("stream", "segment", "violation")
 
 
-@query("sparse_index")
+@query("sparse_index", f"""WITH RECURSIVE {RAW_SQL}, {POS_SQL}, o AS (SELECT stream, seq // 1000 AS segment, seq, start_pos, row_number() OVER (PARTITION BY stream, seq // 1000 ORDER BY seq) AS i FROM placed),
+x AS (SELECT * FROM o WHERE i = 1 UNION ALL SELECT o.* FROM o JOIN (SELECT x.stream, x.segment, min(o.i) AS i FROM x JOIN o ON o.stream = x.stream AND o.segment = x.segment AND o.i > x.i AND (o.i >= x.i + 64 OR o.start_pos >= x.start_pos + 8192) GROUP BY x.stream, x.segment) n
+  ON o.stream = n.stream AND o.segment = n.segment AND o.i = n.i)
+SELECT stream, segment, seq, start_pos FROM x""", with_raw=False)
 def _(spark, sf):
     d = R.positions(raw(spark, sf)).withColumn("segment", F.expr("seq div 1000"))
     return R.sampled_index(d, ["stream", "segment"], "seq", 64, 8192)
 
 
-@query("rotation_simulation")
+@query("rotation_simulation", f"""WITH RECURSIVE {RAW_SQL}, {POS_SQL},
+x AS (SELECT stream, CAST(0 AS BIGINT) AS segment_no, CAST(0 AS BIGINT) AS base FROM placed GROUP BY stream
+  UNION ALL SELECT x.stream, x.segment_no + 1, min(p.start_pos) FROM x JOIN placed p ON p.stream = x.stream AND p.start_pos > x.base AND p.end_pos > x.base + 65536 GROUP BY x.stream, x.segment_no),
+b AS (SELECT *, lead(base) OVER (PARTITION BY stream ORDER BY segment_no) AS until FROM x)
+SELECT p.stream, b.segment_no, count(*) AS records, CAST(sum(p.size) AS BIGINT) AS bytes FROM placed p JOIN b ON p.stream = b.stream AND p.start_pos >= b.base AND (b.until IS NULL OR p.start_pos < b.until) GROUP BY ALL""", with_raw=False)
 def _(spark, sf):
     d = R.positions(raw(spark, sf))
     return R.rotated(d, ["stream"], "seq", 65536).groupBy("stream", "segment_no").agg(F.count("*").alias("records"), F.sum("size").alias("bytes"))

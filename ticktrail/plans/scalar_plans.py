@@ -80,7 +80,8 @@ def _(spark, sf):
     return raw(spark, sf).select("seq", F.to_json(F.struct(F.col("seq").cast("string").alias("seq"), "stream", "kind")).alias("doc"))
 
 
-@query("record_checksums")
+@query("record_checksums", """WITH t AS (SELECT list(c ORDER BY i) AS crc FROM (SELECT i, list_reduce([i] || [0::BIGINT, 0, 0, 0, 0, 0, 0, 0], lambda a, b: CASE WHEN a & 1 = 1 THEN xor(a >> 1, 2197175160) ELSE a >> 1 END) AS c FROM range(256) r(i)))
+SELECT event_id, xor(list_reduce([4294967295::BIGINT] || list_transform(string_split(props, ''), lambda c: ascii(c)::BIGINT), lambda a, b: xor(a >> 8, t.crc[(xor(a, b) & 255) + 1])), 4294967295) AS crc32c, sha256(props) AS sha256 FROM events, t""", with_raw=False)
 def _(spark, sf):
     from ..functions.hashing import crc32c
 
