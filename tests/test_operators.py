@@ -221,6 +221,47 @@ def test_segment_tail_stream(spark, tmp_path):
     assert sorted(r.ingress_sequence for r in spark.read.parquet(str(tmp_path / "out")).collect()) == [*[x.sequence for x in rec], 200]
 
 
+def follow(spark, src, out, **options):
+    q = spark.readStream.format("ticksegments").option("path", str(src)).options(**options).load().writeStream.format("parquet").option("checkpointLocation", str(out / "cp")).trigger(availableNow=True).start(str(out / "rows"))
+    q.awaitTermination()
+    return sorted((r.ingress_sequence if r.status == "OK" else -r.segment_sequence) for r in spark.read.parquet(str(out / "rows")).collect())
+
+
+def test_a_record_still_being_written_waits(spark, tmp_path):
+    src = tmp_path / "src"
+    src.mkdir()
+    segment(src, 12)
+    (src / "0002.seg").unlink()
+    p = src / "0001.seg"
+    whole = p.read_bytes()
+    more = rawlog.encode(rawlog.Record(112, 5, 5, 4, 0, 0, 0, b"late"))
+    rawlog.register(spark)
+    p.write_bytes(whole + more[:-7])
+    assert follow(spark, src, tmp_path, transitions="true") == [-1, *range(100, 112)]
+    p.write_bytes(whole + more)
+    assert follow(spark, src, tmp_path, transitions="true") == [-1, *range(100, 113)]
+
+
+@pytest.mark.parametrize("bad", ["gap", "other log", "half left"])
+def test_a_tail_refuses_what_does_not_follow(spark, tmp_path, bad):
+    src = tmp_path / "src"
+    src.mkdir()
+    segment(src, 12)
+    (src / "0002.seg").unlink()
+    p = src / "0001.seg"
+    rawlog.register(spark)
+    follow(spark, src, tmp_path)
+    r = lambda n: rawlog.Record(n, 5, 5, 4, 0, 0, 0, b"z")
+    if bad == "gap":  # the first record of the batch is where the gap lies
+        p.write_bytes(p.read_bytes() + rawlog.encode(r(113)))
+    else:
+        if bad == "half left":
+            p.write_bytes(p.read_bytes() + rawlog.encode(r(112))[:-3])
+        rawlog.write_segment(str(src / "0002.seg"), 1001 if bad == "half left" else 7, 20240229, 2, 0, [r(113)])
+    with pytest.raises(Exception, match={"gap": "SEQUENCE_MISMATCH", "other log": "is followed", "half left": "PARTIAL_RECORD"}[bad]):
+        follow(spark, src, tmp_path)
+
+
 def test_stream_equals_batch(spark, tmp_path):
     d = control_plans._control(spark, SF).select("stream", "seq", "ctype", "address", "ts", "instrument_id", "qty")
     want = {(r.stream, r.seq): (r.connection_epoch, r.logged_in, r.quality) for r in control.session(d).collect()}

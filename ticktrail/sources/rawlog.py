@@ -8,18 +8,21 @@ record; what is before it is valid, the bad record is classified, and nothing is
 from __future__ import annotations
 
 import json
+import mmap
 import os
 import struct
 from collections.abc import Iterator, Sequence
+from contextlib import contextmanager
 from dataclasses import dataclass
 
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, EqualTo, Filter, GreaterThanOrEqual, InputPartition, LessThan
 
-from ..functions.hashing import crc32c_bytes
+from ..functions.hashing import crc32c_bytes, crc32c_many
 
 MAGIC = b"TTSEG001"
 SEGMENT = struct.Struct("<8sIIIQQ")  # magic, stream, date, segment number, base position, first sequence
 SEGMENT_BYTES = 64
+BATCH = 4096  # records whose checksums are computed together
 RECORD = struct.Struct("<IIQQQIIIQ")  # size, body length, sequence, realtime, monotonic, service, message, local time, vendor sequence
 TRAILER = struct.Struct("<II")  # CRC-32C, size again
 SCHEMA = (
@@ -48,26 +51,66 @@ def encode(r: Record) -> bytes:
     return data + TRAILER.pack(crc32c_bytes(data), size)
 
 
-def decode(data: bytes, at: int, expected: int | None = None) -> tuple[Record | None, int, str]:
-    """The record at a position, its size and a status: OK or why it isn't one."""
+def blank(data) -> bool:
+    return not any(bytes(data[i : i + (1 << 20)]).strip(b"\0") for i in range(0, len(data), 1 << 20))
+
+
+def framed(data, at: int) -> tuple[int, str]:
+    """Size of the record at a position and OK if its lengths agree, else 0 and why there is none."""
     rest = len(data) - at
     if rest < RECORD.size:
-        return None, 0, "PREALLOCATION" if not any(data[at:]) else "PARTIAL_RECORD"
-    size, n, seq, rt, mono, service, message, local, vendor = RECORD.unpack_from(data, at)
-    if not size and not any(data[at : at + RECORD.size]):
-        return None, 0, "PREALLOCATION" if not any(data[at:]) else "INVALID_RECORD"
+        return 0, "PREALLOCATION" if blank(data[at:]) else "PARTIAL_RECORD"
+    size, n = RECORD.unpack_from(data, at)[:2]
+    if not size and blank(data[at : at + RECORD.size]):
+        return 0, "PREALLOCATION" if blank(data[at:]) else "INVALID_RECORD"
     if size != (RECORD.size + n + 7) // 8 * 8 + TRAILER.size:
-        return None, 0, "INVALID_RECORD"
+        return 0, "INVALID_RECORD"
     if size > rest:
-        return None, 0, "PARTIAL_RECORD"
-    end = at + size - TRAILER.size
-    crc, again = TRAILER.unpack_from(data, end)
-    if again != size or crc != crc32c_bytes(data[at:end]):
-        return None, 0, "INVALID_RECORD"
-    if expected is not None and seq != expected:
-        return None, 0, "SEQUENCE_MISMATCH"
+        return 0, "PARTIAL_RECORD"
+    return (size, "OK") if TRAILER.unpack_from(data, at + size - TRAILER.size)[1] == size else (0, "INVALID_RECORD")
+
+
+def unpacked(data, at: int) -> Record:
+    _, n, *fields = RECORD.unpack_from(data, at)
+    seq, rt, mono, service, message, local, vendor = fields
     start = at + RECORD.size
-    return Record(seq, rt, mono, service, message, local, vendor, bytes(data[start : start + n])), size, "OK"
+    return Record(seq, rt, mono, service, message, local, vendor, bytes(data[start : start + n]))
+
+
+def proven(data, begin: int, expected: int | None) -> Iterator[tuple[int, int, Record | None, str]]:
+    """(position, size, record, OK) of each record from ``begin`` on, checked in batches; a last row without a record tells why
+    the rest isn't one. Sequences go up by one from ``expected``."""
+    at, seq = begin, expected
+    while at < len(data):
+        places, pos, end = [], at, "OK"
+        while pos < len(data) and len(places) < BATCH:
+            size, end = framed(data, pos)
+            if end != "OK":
+                break
+            places.append((pos, size))
+            pos += size
+        sums = crc32c_many([data[p : p + n - TRAILER.size] for p, n in places])
+        for (p, n), crc in zip(places, sums.tolist()):
+            if TRAILER.unpack_from(data, p + n - TRAILER.size)[0] != crc:
+                yield p, 0, None, "INVALID_RECORD"
+                return
+            r = unpacked(data, p)
+            if seq is not None and r.sequence != seq:
+                yield p, 0, None, "SEQUENCE_MISMATCH"
+                return
+            yield p, n, r, "OK"
+            seq = r.sequence + 1
+        if end != "OK":
+            yield pos, 0, None, end
+            return
+        at = pos
+
+
+def decode(data: bytes, at: int, expected: int | None = None) -> tuple[Record | None, int, str]:
+    """The record at a position, its size and a status: OK or why it isn't one."""
+    size, status = framed(data, at)
+    _, size, r, status = next(proven(data[: at + size], at, expected)) if status == "OK" else (at, 0, None, status)
+    return r, size, status
 
 
 def write_segment(path: str, stream: int, date: int, number: int, base: int, records: Sequence[Record]) -> int:
@@ -79,22 +122,37 @@ def write_segment(path: str, stream: int, date: int, number: int, base: int, rec
     return base + len(body)
 
 
-def scan(data: bytes, limit: int | None = None, offset: int = SEGMENT_BYTES, expected: int | None = None) -> Iterator[tuple]:
+def header(data) -> tuple | None:
+    """(stream, date, segment number, base position, first sequence), or None if that isn't a segment."""
+    magic, *rest = SEGMENT.unpack_from(bytes(data[: SEGMENT.size]).ljust(SEGMENT.size, b"\0"), 0)
+    return tuple(rest) if magic == MAGIC else None
+
+
+def scan(data, limit: int | None = None, offset: int = SEGMENT_BYTES, expected: int | None = None) -> Iterator[tuple]:
     """Rows of SCHEMA up to ``limit`` bytes of the file; a last row without payload tells how it ended if not well."""
-    magic, stream, date, number, base, first = SEGMENT.unpack_from(data.ljust(SEGMENT.size, b"\0"), 0)
-    if magic != MAGIC:
-        yield (None, None, None, None, None, None, None, None, None, None, None, None, None, "BAD_SEGMENT_HEADER")
+    head = header(data)
+    if head is None:
+        yield (None,) * 13 + ("BAD_SEGMENT_HEADER",)
         return
+    stream, date, number, base, first = head
     data = data if limit is None else data[:limit]
-    at, seq = offset, first if expected is None else expected
-    while at < len(data):
-        r, size, status = decode(data, at, seq)
+    for at, size, r, status in proven(data, offset, first if expected is None else expected):
         start = base + at - SEGMENT_BYTES
         if r is None:
             yield (stream, date, number, None, start, base + len(data) - SEGMENT_BYTES, None, None, None, None, None, None, None, status)
+        else:
+            yield (stream, date, number, r.sequence, start, start + size, r.realtime_ns, r.monotonic_ns, r.service, r.message, r.local_time, r.vendor_seq, r.body, "OK")
+
+
+@contextmanager
+def mapped(path: str) -> Iterator[memoryview]:
+    """A file's bytes, paged in as they are read."""
+    with open(path, "rb") as f:
+        if not os.fstat(f.fileno()).st_size:
+            yield memoryview(b"")
             return
-        yield (stream, date, number, r.sequence, start, start + size, r.realtime_ns, r.monotonic_ns, r.service, r.message, r.local_time, r.vendor_seq, r.body, "OK")
-        at, seq = at + size, seq + 1
+        whole = mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ)
+        yield memoryview(whole)  # unmapped with the last view of it
 
 
 class _Part(InputPartition):
@@ -124,50 +182,79 @@ class SegmentReader(DataSourceReader):
         return [_Part(os.path.join(self.path, x), limit=self.limits.get(x)) for x in files]
 
     def read(self, part):
-        with open(part.path, "rb") as f:
-            data = f.read()
         test = {"=": lambda a, b: a == b, ">=": lambda a, b: a is not None and a >= b, "<": lambda a, b: a is not None and a < b}
-        for row in scan(data, part.limit):
-            if row[-1] != "OK" or all(test[op](row[i], v) for i, op, v in self.tests):
-                yield row
+        with mapped(part.path) as data:
+            for row in scan(data, part.limit):
+                if row[-1] != "OK" or all(test[op](row[i], v) for i, op, v in self.tests):
+                    yield row
 
 
 class SegmentTail(DataSourceStreamReader):
-    """Follows a folder of segments. The offset is the next byte, sequence and file; it must be a record's
-    end, else the query fails."""
+    """Follows a folder of one log's segments. The offset is a file, the end of its last whole record, the sequence that must come
+    next there, and the log's stream and date. The sequence was found when the offset was taken, so the bytes of a
+    later batch can't vouch for themselves; a record that is still being written waits for the next batch.
+    Damage, a gap, another log in the folder, or a segment that was left with half a record fails the query.
+    With option ``transitions`` a row of status SEGMENT_TRANSITION, without a sequence, begins each segment."""
 
     def __init__(self, options):
         self.path = options["path"]
+        self.transitions = options.get("transitions", "false").lower() == "true"
+        self.seen = ("", SEGMENT_BYTES, None)  # file, position, next sequence: saves walking a file anew
 
     def _files(self):
         return sorted(x for x in os.listdir(self.path) if x.endswith(".seg"))
 
     def initialOffset(self):
-        return {"file": "", "at": 0}
+        return {"file": "", "at": 0, "seq": -1, "log": ""}
 
     def latestOffset(self):
-        files = self._files()
-        return {"file": files[-1], "at": os.path.getsize(os.path.join(self.path, files[-1]))} if files else self.initialOffset()
+        for name in reversed(self._files()):
+            with mapped(os.path.join(self.path, name)) as data:
+                if len(data) < SEGMENT_BYTES:
+                    continue  # its header is being written
+                head = header(data)
+                if head is None:
+                    return {"file": name, "at": len(data), "seq": -1, "log": ""}  # reading it fails the query
+                at, seq = (SEGMENT_BYTES, head[-1]) if self.seen[0] != name else self.seen[1:]
+                while at < len(data):
+                    size, status = framed(data, at)
+                    if status == "INVALID_RECORD":
+                        return {"file": name, "at": len(data), "seq": -1, "log": self._log(head)}
+                    if status != "OK":
+                        break
+                    at, seq = at + size, RECORD.unpack_from(data, at)[2] + 1
+                self.seen = (name, at, seq)
+                return {"file": name, "at": at, "seq": seq, "log": self._log(head)}
+        return self.initialOffset()
+
+    @staticmethod
+    def _log(head):
+        return f"{head[0]}/{head[1]}"
 
     def partitions(self, start, end):
-        out = []
+        out, log = [], start.get("log") or end.get("log") or None
         for x in self._files():
             if x < start["file"] or x > end["file"]:
                 continue
-            out.append(_Part(os.path.join(self.path, x), offset=max(SEGMENT_BYTES, start["at"]) if x == start["file"] else SEGMENT_BYTES, limit=end["at"] if x == end["file"] else None))
+            again = x == start["file"]
+            seq = start.get("seq", -1) if again and start["at"] > SEGMENT_BYTES else -1
+            part = _Part(os.path.join(self.path, x), max(SEGMENT_BYTES, start["at"]) if again else SEGMENT_BYTES, None if seq < 0 else seq, end["at"] if x == end["file"] else None)
+            part.log, part.begins = log, not again
+            out.append(part)
         return out
 
     def read(self, part):
-        with open(part.path, "rb") as f:
-            data = f.read()
-        expected = None
-        if part.offset > SEGMENT_BYTES and part.offset < len(data):
-            expected = RECORD.unpack_from(data, part.offset)[2] if len(data) - part.offset >= RECORD.size else None
-        for row in scan(data, part.limit, part.offset, expected):
-            if row[-1] in ("INVALID_RECORD", "SEQUENCE_MISMATCH"):
-                raise ValueError(f"{part.path}: {row[-1]} at {row[4]}")
-            if row[-1] == "OK":
-                yield row
+        with mapped(part.path) as data:
+            head = header(data)
+            if head and part.log and self._log(head) != part.log:
+                raise ValueError(f"{part.path}: log {self._log(head)} where {part.log} is followed")
+            if head and part.begins and self.transitions:
+                yield (*head[:3], None, head[3], head[3], None, None, None, None, None, None, None, "SEGMENT_TRANSITION")
+            for row in scan(data, part.limit, part.offset, part.expected):
+                if row[-1] not in ("OK", "PREALLOCATION"):
+                    raise ValueError(f"{part.path}: {row[-1]} at {row[4]}")
+                if row[-1] == "OK":
+                    yield row
 
     def commit(self, end):
         pass
