@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ticktrail.functions import bits, fixed, hashing
 from ticktrail.operators import control, factors, lake, market, ordered, replay
 from ticktrail.plans import base, control_plans
-from ticktrail.sources import faults, rawlog, sinks, synth
+from ticktrail.sources import faults, injected, rawlog, sinks, synth
 from ticktrail.streaming import session_stream
 
 SF = "/root/testdata/sf0.001"
@@ -121,6 +121,31 @@ def test_faults_keep_their_promises(spark):
     assert all(abs(straight.index((r.seq, r.copy)) - (r.new_seq - 1)) < 8 for r in got)
 
 
+def test_injected_logs_are_sound_and_apart(spark, tmp_path):
+    d = replay.positions(base.raw(spark, SF)).where("stream < 2")
+    rule, path = faults.FaultRule(seed=2, drop_one_in=6, duplicate_one_in=4, copies=2, mutate_one_in=3, xor_mask=5, reorder_window=8), str(tmp_path / "run")
+    put = lambda: injected.write_injected(d, path, ["stream"], "seq", "price", rule, ["stream", "seq", "start_pos", "end_pos"], "r1", "abc")
+    put()
+    with pytest.raises(Exception, match="ALREADY_EXISTS"):
+        put()
+    records, gone, manifest = injected.read_injected(spark, path)
+    n = d.count()
+    assert records.where("occurrence = 1").count() + gone.count() == n and manifest.count() == 1 and records.where("mutated").count()
+    assert injected.injected_faults(records, gone, manifest, ["stream"]).collect() == []
+    with_kind = injected.with_parents(records, d, ["stream", "seq", "start_pos", "end_pos"], ["kind"])
+    assert with_kind.count() == records.count()
+    bad = records.where("synthetic_seq <> 3").withColumn("mutated", F.lit(False))
+    found = {r.fault for r in injected.injected_faults(bad, records.select(*gone.columns).limit(1).union(gone), manifest, ["stream"]).collect()}
+    assert {"sequence_not_gapless", "mutation_mislabelled", "dropped_and_kept", "not_as_the_manifest_counts"} <= found
+
+
+def test_reordered_chunks_by_hand():
+    """Draws by the chunk's number and the rows not yet placed."""
+    left = np.array([4, 3, 2])
+    got = hashing.stable_draw(9, 2, faults.REORDER, left)
+    assert got.tolist() == [int(hashing.stable_draw(9, 2, faults.REORDER, int(n))[0]) for n in left]
+
+
 @pytest.mark.parametrize("width", [2, 65536])
 def test_sequence_guard_table(spark, width):
     rows = [("c1", 1, 100, "a"), ("c1", 2, 101, "b"), ("c1", 3, 101, "b"), ("c1", 4, 104, "c"), ("c1", 5, 102, "d"), ("c1", 6, 105, "e"), ("c2", 7, 1, "x"), ("c2", 8, 1, "y")]

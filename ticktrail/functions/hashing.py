@@ -20,10 +20,10 @@ def splitmix(x) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def stable_draw(seed: int, ordinal, purpose: int, lane: int = 0) -> np.ndarray:
-    """A draw for each ordinal that no other purpose or lane shifts."""
+def stable_draw(seed: int, ordinal, purpose: int, lane=0) -> np.ndarray:
+    """A draw for each ordinal, or each lane, that no other purpose or lane shifts."""
     o = splitmix(np.asarray(ordinal, np.uint64) ^ np.uint64(ORDINAL_KEY))
-    k = splitmix(np.uint64(lane) ^ np.uint64(LANE_KEY))
+    k = splitmix(np.asarray(lane, np.uint64) ^ np.uint64(LANE_KEY))
     return splitmix(np.uint64(seed) ^ np.uint64(purpose) ^ o ^ k)
 
 

@@ -6,10 +6,14 @@ from pyspark.sql import functions as F
 
 from ..functions.bits import BIT, QUALITY_BITS, masks_pass
 from ..functions.bits import names as bit_names
+from ..functions import hashing
 from ..operators.control import sequence_guard
 from ..operators.lake import merge_tiers, offered, reconcile
 from ..operators.ordered import prefix
+from ..operators.replay import positions
+from ..sources import faults, injected
 from .base import query, raw, table
+from .replay_plans import POS_SQL
 
 COLS = ["l_partkey", "l_suppkey", "cents", "qty", "ship"]
 GUARD = """WITH l AS (SELECT l_orderkey AS scope, CAST(l_linenumber AS BIGINT) AS s, l_partkey, l_suppkey, CAST(round(l_extendedprice * 100) AS BIGINT) AS cents, CAST(l_quantity AS BIGINT) AS qty, epoch_us(l_shipdate) AS ship FROM lineitem),
@@ -115,11 +119,45 @@ def _(spark, sf):
     return raw(spark, sf).groupBy("stream", F.col("qty").alias("occurrence")).agg(F.count("*").alias("locators")).where("locators > 1")
 
 
-@query("parent_lineage", "SELECT c.seq AS child_seq, p.seq AS parent_seq, p.price FROM raw c JOIN raw p ON c.stream = p.stream AND p.seq = c.seq - 4 * (c.qty % 3) WHERE c.kind = 'purchase'")
+def _mix(name: str, x: str) -> str:
+    """Columns that end in ``name``: the splitmix step of x, in 128-bit unsigned arithmetic."""
+    wrap, a, b = 1 << 64, hashing.MIX_A, hashing.MIX_B
+    return f"""(({x})::UHUGEINT + {hashing.GAMMA}) % {wrap} AS {name}0, (xor({name}0, {name}0 >> 30) * {a}) % {wrap} AS {name}1,
+(xor({name}1, {name}1 >> 27) * {b}) % {wrap} AS {name}2, xor({name}2, {name}2 >> 31) AS {name}"""
+
+
+_LANE = int(hashing.splitmix(hashing.LANE_KEY)[0])  # lane 0's part of a draw
+RULE = faults.FaultRule(seed=7, drop_one_in=9, duplicate_one_in=11, copies=2, mutate_one_in=5, xor_mask=3)
+LOCATOR = ("stream", "capture_date", "seq", "start_pos", "end_pos")
+INJECTED = POS_SQL + f""", n AS (SELECT stream, CAST(strftime(ts, '%Y%m%d') AS INTEGER) AS capture_date, seq, start_pos, end_pos, price, row_number() OVER (PARTITION BY stream ORDER BY seq) - 1 AS ordinal FROM placed),
+o AS (SELECT *, {_mix("o", f"xor(ordinal::UHUGEINT, {hashing.ORDINAL_KEY}::UHUGEINT)")} FROM n),
+w AS (SELECT *, xor(o, xor({_LANE}::UHUGEINT, {RULE.seed}::UHUGEINT)) AS own FROM o),
+f AS (SELECT *, {", ".join(_mix(x, f"xor(own, {p}::UHUGEINT)") for x, p in (("d", faults.DROP), ("c", faults.DUPLICATE), ("m", faults.MUTATE)))} FROM w),
+k AS (SELECT *, CASE WHEN m % {RULE.mutate_one_in} = 0 THEN xor(price, {RULE.xor_mask}) ELSE price END AS now, unnest(range(1, CASE WHEN c % {RULE.duplicate_one_in} = 0 THEN {RULE.copies + 2} ELSE 2 END)) AS occurrence FROM f WHERE d % {RULE.drop_one_in} <> 0)"""
+PARENT = "stream AS parent_stream, capture_date AS parent_capture_date, seq AS parent_seq, start_pos AS parent_start_pos, end_pos AS parent_end_pos"
+
+
+def _located(spark, sf):
+    return positions(raw(spark, sf)).withColumn("capture_date", F.date_format("ts", "yyyyMMdd").cast("int"))
+
+
+def _injected(spark, sf):
+    return injected.inject(_located(spark, sf), ["stream"], "seq", "price", RULE, LOCATOR)
+
+
+@query("injected_records", INJECTED + f" SELECT stream, row_number() OVER (PARTITION BY stream ORDER BY ordinal, occurrence) AS synthetic_seq, now AS price, price AS before, now IS DISTINCT FROM price AS mutated, CAST(occurrence AS INTEGER) AS occurrence, {PARENT} FROM k")
 def _(spark, sf):
-    d = raw(spark, sf)
-    c = d.where("kind = 'purchase'").select("stream", F.col("seq").alias("child_seq"), F.expr("seq - 4 * (qty % 3)").alias("parent_seq"))
-    return c.join(d.select("stream", F.col("seq").alias("parent_seq"), "price"), ["stream", "parent_seq"]).select("child_seq", "parent_seq", "price")
+    return _injected(spark, sf)[0]
+
+
+@query("injected_dropped", INJECTED + f" SELECT {PARENT} FROM f WHERE d % {RULE.drop_one_in} = 0")
+def _(spark, sf):
+    return _injected(spark, sf)[1]
+
+
+@query("parent_lineage", INJECTED + f", s AS (SELECT *, row_number() OVER (PARTITION BY stream ORDER BY ordinal, occurrence) AS synthetic_seq FROM k) SELECT s.stream, s.synthetic_seq, CAST(s.occurrence AS INTEGER) AS occurrence, p.kind, p.qty FROM s JOIN placed p USING (stream, seq, start_pos, end_pos)")
+def _(spark, sf):
+    return injected.with_parents(_injected(spark, sf)[0], _located(spark, sf), LOCATOR, ["kind", "qty"]).select("stream", "synthetic_seq", "occurrence", "kind", "qty")
 
 
 @query("queue_high_water", "q AS (SELECT stream, sum(CASE WHEN kind IN ('click', 'view') THEN 1 WHEN kind IN ('purchase', 'error') THEN -1 ELSE 0 END) OVER (PARTITION BY stream ORDER BY seq) AS depth FROM raw) SELECT stream, CAST(max(depth) AS BIGINT) AS high_water FROM q GROUP BY stream")
@@ -130,6 +168,4 @@ def _(spark, sf):
 
 @query("faulted_replay")
 def _(spark, sf):
-    from ..sources.faults import FaultRule, transform
-
-    return transform(raw(spark, sf).select("seq", "stream", "price"), ["stream"], "seq", "price", FaultRule(seed=7, drop_one_in=9, duplicate_one_in=11, copies=2, mutate_one_in=5, xor_mask=3, reorder_window=16))
+    return faults.transform(raw(spark, sf).select("seq", "stream", "price"), ["stream"], "seq", "price", faults.FaultRule(seed=7, drop_one_in=9, duplicate_one_in=11, copies=2, mutate_one_in=5, xor_mask=3, reorder_window=16))

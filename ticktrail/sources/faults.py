@@ -13,7 +13,8 @@ from pyspark.sql import functions as F
 from ..functions.hashing import selected, stable_draw
 from ..operators.ordered import prefix
 
-DROP, DUPLICATE, MUTATE, REORDER = 1, 2, 3, 4
+#: The purposes of draws.
+DROP, DUPLICATE, MUTATE, REORDER = 0x64726F705F763031, 0x6475706C5F763031, 0x6D7574615F763031, 0x72656F72645F7631
 
 
 @dataclass(frozen=True)
@@ -27,9 +28,19 @@ class FaultRule:
     reorder_window: int = 0
 
 
+def numbered(df: DataFrame, keys: Sequence[str], order: str) -> DataFrame:
+    """df plus ordinal, from 0 in each namespace."""
+    return prefix(df, keys, order, {"ordinal": ("sum", F.lit(1).cast("long"))}).withColumn("ordinal", F.col("ordinal") - 1)
+
+
+def dropped(df: DataFrame, keys: Sequence[str], order: str, rule: FaultRule) -> DataFrame:
+    """The rows that transform leaves out, with ordinal."""
+    return numbered(df, keys, order).where(selected(F.col("ordinal"), rule.seed, DROP, rule.drop_one_in))
+
+
 def transform(df: DataFrame, keys: Sequence[str], order: str, value: str, rule: FaultRule) -> DataFrame:
     """df's rows after the faults, with ordinal, copy and new_seq (from 1 in each namespace)."""
-    d = prefix(df, keys, order, {"ordinal": ("sum", F.lit(1).cast("long"))}).withColumn("ordinal", F.col("ordinal") - 1)
+    d = numbered(df, keys, order)
     d = d.where(~selected(F.col("ordinal"), rule.seed, DROP, rule.drop_one_in))
     d = d.withColumn(value, F.when(selected(F.col("ordinal"), rule.seed, MUTATE, rule.mutate_one_in), F.col(value).bitwiseXOR(F.lit(rule.xor_mask).cast("long"))).otherwise(F.col(value)))
     n = F.when(selected(F.col("ordinal"), rule.seed, DUPLICATE, rule.duplicate_one_in), 1 + rule.copies).otherwise(1)
@@ -40,13 +51,12 @@ def transform(df: DataFrame, keys: Sequence[str], order: str, value: str, rule:
         d = d.withColumn("__chunk", F.expr(f"(new_seq - 1) div {rule.reorder_window}"))
 
         def shuffle(pdf):
-            """Fisher-Yates in the chunk, with draws keyed by the place: the order of swaps matters."""
+            """Swaps from the chunk's end down; a draw goes by the chunk's number and the rows not yet placed."""
             pdf = pdf.sort_values("new_seq")
-            place, first = np.arange(len(pdf)), int(pdf["new_seq"].iloc[0])
-            draws = stable_draw(rule.seed, np.arange(first, first + len(pdf)), REORDER)
-            for i in range(len(place) - 1, 0, -1):
-                j = int(draws[i] % np.uint64(i + 1))
-                place[i], place[j] = place[j], place[i]
+            place, chunk = np.arange(len(pdf)), int(pdf["__chunk"].iloc[0])
+            left = np.arange(len(pdf), 1, -1)
+            for n, pick in zip(left, stable_draw(rule.seed, chunk, REORDER, left) % left.astype(np.uint64)):
+                place[[n - 1, int(pick)]] = place[[int(pick), n - 1]]
             out = pdf.iloc[place].copy()
             out["new_seq"] = pdf["new_seq"].to_numpy()
             return out
