@@ -194,3 +194,41 @@ def test_log2_buckets_and_epochs(spark):
     d = spark.createDataFrame([("a", "bc", "d"), ("ab", "c", "d"), ("", "b", "c"), ("a", None, "c")], "a string, b string, c string")
     got = [tuple(r) for r in d.select(*clock_epoch(F.col("a"), F.col("b"), F.col("c"))).collect()]
     assert got[0] != got[1] and got[2:] == [(None, None)] * 2 and all(x[:16] == y for x, y in got[:2])
+
+
+def test_player_waits_holds_and_steps():
+    from ticktrail.operators.player import Player
+
+    now, slept = [1000], []
+
+    def sleep(ns):
+        slept.append(ns)
+        now[0] += ns
+
+    p = Player(iter([{"due_ns": x} for x in (0, 50, 80, 90, 200)]), lambda: now[0], sleep)
+    assert p.take()["due_ns"] == 0 and p.take()["due_ns"] == 50 and slept == [50]
+    p.pause()
+    now[0] += 500
+    assert p.take() is None and not p.ended
+    p.step()
+    assert p.take()["due_ns"] == 80 and p.take() is None and slept == [50]
+    p.resume()
+    assert p.take()["due_ns"] == 90 and slept == [50, 40]
+    with pytest.raises(ValueError):
+        p.step()
+    assert p.take()["due_ns"] == 200 and p.take() is None and p.ended
+
+
+def test_idle_proofs_and_release(spark):
+    sound = dict(source=1, now_ns=50, state="HEALTHY", captured=5, appended=5, processed=5, inflight=0, captured_again=5, appended_again=5, inflight_again=0)
+    broken = [{}, {"state": "FATAL"}, {"state": None}, {"appended": 4}, {"processed": 4}, {"inflight": 1}, {"captured_again": 6}, {"appended_again": 6}, {"inflight_again": 1}, {"processed": None}]
+    rows = [sound | change | {"source": i, "now_ns": 50 + i} for i, change in enumerate(broken)]
+    schema = "source int, now_ns long, state string, captured long, appended long, processed long, inflight long, captured_again long, appended_again long, inflight_again long"
+    samples = spark.createDataFrame([tuple(r[c.split()[0]] for c in schema.split(", ")) for r in rows], schema)
+    idle = frontier.idle_frontiers(samples, "source")
+    assert {r.source: r.idle_to for r in idle.collect()} == {0: 50} | {i: None for i in range(1, len(broken))}
+    events = spark.createDataFrame([(1, 10), (1, 40), (1, 60), (2, 45), (2, 48)], "source int, at long")
+    out = lambda need: sorted((r.source, r["at"]) for r in frontier.released(events, idle, "source", "at", need).collect())
+    assert out([1, 2, 0]) == [(1, 10), (1, 40), (2, 45), (2, 48)]
+    assert out([1, 2, 7]) == []  # nothing is known of 7
+    assert out([1]) == [(1, 10), (1, 40), (1, 60), (2, 45), (2, 48)]

@@ -8,6 +8,8 @@ a broken rule.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -77,3 +79,32 @@ def sampled(log: DataFrame, keys: list[str], segment: str, order: str, durable:
     offset = F.coalesce("__d.append_offset", F.lit(SEGMENT_HEADER).cast("long"))
     d = d.withColumn("durable_offset", offset).withColumn("durable_pos", base + F.col("durable_offset"))
     return d.withColumn("durable_seq", F.coalesce("__d.append_seq", "__before")).drop("__d", "__start", "__before")
+
+
+def quiet() -> Column:
+    """That a source was idle between two reads of its counters: nothing captured, appended or waiting from one to the
+    other, and no callback under way in either. Null is not idle."""
+    caught_up = (F.col("captured") == F.col("appended")) & (F.col("appended") == F.col("processed"))
+    still = (F.col("captured_again") == F.col("captured")) & (F.col("appended_again") == F.col("appended"))
+    return F.coalesce(caught_up & still & (F.col("inflight") == 0) & (F.col("inflight_again") == 0), F.lit(False))
+
+
+def idle_frontiers(samples: DataFrame, source: str) -> DataFrame:
+    """(source, idle_to): the latest now_ns at which a healthy source was proven idle, null if it never was. samples: source,
+    now_ns, state and the columns of quiet()."""
+    proof = quiet() & F.coalesce(F.col("state") == "HEALTHY", F.lit(False))
+    return samples.groupBy(source).agg(F.max(F.when(proof, F.col("now_ns"))).alias("idle_to"))
+
+
+def released(events: DataFrame, idle: DataFrame, source: str, at: str, required: Sequence) -> DataFrame:
+    """The events that can go out in the order of one merged stream without a look ahead: every other required source
+    has an event at that time or later, or is proven idle up to it. A required source of which nothing is
+    known holds all others back. events: one clock epoch. The table of limits has a row for each source that is required."""
+    spark, kind = events.sparkSession, events.schema[source].dataType.simpleString()
+    need = spark.createDataFrame([(x,) for x in required], f"`{source}` {kind}")
+    known = events.groupBy(source).agg(F.max(at).alias("__top"))
+    bound = need.join(known, source, "left").join(idle, source, "left").select(source, F.greatest("__top", "idle_to").alias("__bound"))
+    limits = bound.agg(F.collect_list(F.struct(source, F.col("__bound").alias("b"))).alias("__all"))
+    others = lambda s: F.filter("__all", lambda x: x[source] != s)
+    clear = F.forall(others(F.col(source)), lambda x: F.coalesce(x["b"] >= F.col(at), F.lit(False)))
+    return events.crossJoin(F.broadcast(limits)).where(clear).drop("__all")  # one row

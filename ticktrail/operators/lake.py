@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -53,6 +54,31 @@ def merge_tiers(rows: DataFrame, key: Sequence[str], tier: str) -> DataFrame:
     return g.select(*key, *[F.col(f"__r.{c}").alias(c) for c in (tier, *rest)], "copies")
 
 
+def manifest_json(columns: Sequence[str]) -> Column:
+    """Canonical JSON of the columns: sorted names, numbers as strings, no nulls left out."""
+    return F.to_json(F.struct(*[F.coalesce(F.col(c).cast("string"), F.lit("null")).alias(c) for c in sorted(columns)]))
+
+
+def manifest_chain(segments: DataFrame, keys: Sequence[str], segment: str, columns: Sequence[str]) -> DataFrame:
+    """Per log: segments and chain, a hash over its closed segments in order: each link is the hash of the link before and the
+    segment's manifest, the first begins with the empty text. A log has few segments beside its records; their manifests of some
+    hundred bytes are gathered by log."""
+    rows = segments.select(*keys, F.struct(segment, manifest_json(columns).alias("m")).alias("s"))
+    g = rows.groupBy(*keys).agg(F.array_sort(F.collect_list("s")).alias("s"))
+    chain = F.aggregate("s", F.lit(""), lambda a, x: F.sha2(F.concat(a, x["m"]), 256))
+    return g.select(*keys, F.size("s").cast("long").alias("segments"), chain.alias("chain"))
+
+
+def run_manifest(inputs: DataFrame, config: dict, factors: Sequence[str], rules: Sequence[str]) -> DataFrame:
+    """One row: manifest and run_id, its hash. inputs: a row for each log that the run reads, all its columns (ranges, chain) are
+    taken; config: names and values; factors and rules: their identities. Equal runs have equal ids, whatever the order of rows."""
+    one = F.array_join(F.array_sort(F.collect_list(manifest_json(inputs.columns))), ",")
+    text = lambda v: json.dumps(v, sort_keys=True, separators=(",", ":"))
+    ends = text({str(k): str(v) for k, v in config.items()}), text(sorted(factors)), text(sorted(rules))
+    body = F.concat(F.lit(f'{{"config":{ends[0]},"factors":{ends[1]},"inputs":['), one, F.lit(f'],"rules":{ends[2]}}}'))
+    return inputs.agg(body.alias("manifest")).withColumn("run_id", F.sha2("manifest", 256))
+
+
 def publish(batch: DataFrame, path: str, key: Sequence[str], payload: str) -> int:
     """Idempotent keyed publish: new keys are appended, a key with the same payload is accepted again, another
     payload under a known key refuses the batch. Returns how many rows were appended."""

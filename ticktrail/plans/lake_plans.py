@@ -93,8 +93,21 @@ def _(spark, sf):
     return raw(spark, sf).groupBy("kind").agg(F.count("*").alias("n")).select("kind", F.concat(F.lit('records_total{kind="'), "kind", F.lit('"} '), "n").alias("line"))
 
 
-@query("segment_manifest", "SELECT seq // 1000 AS segment, '{\"segment\":\"' || (seq // 1000) || '\",\"records\":\"' || count(*) || '\",\"first_seq\":\"' || min(seq) || '\"}' AS manifest FROM raw GROUP BY 1")
+MANIFEST = ("segment", "records", "first_seq", "last_seq", "base_pos", "limit_pos")
+CHAIN_SQL = SEG_SQL + """, j AS (SELECT stream, segment, '{"base_pos":"' || base_pos || '","first_seq":"' || first_seq || '","last_seq":"' || last_seq || '","limit_pos":"' || limit_pos || '","records":"' || records || '","segment":"' || segment || '"}' AS manifest FROM seg),
+h AS (SELECT stream, count(*) AS segments, list_reduce([''] || list(manifest ORDER BY segment), lambda a, b: sha256(a || b)) AS chain FROM j GROUP BY stream)"""
+
+
+@query("segment_manifest", CHAIN_SQL + " SELECT stream, segment, manifest FROM j")
+def _(spark, sf):
+    return _segments(spark, sf).select("stream", "segment", L.manifest_json(MANIFEST).alias("manifest"))
+
+
+@query("manifest_chain", CHAIN_SQL + " SELECT stream, segments, chain FROM h")
+def _(spark, sf):
+    return L.manifest_chain(_segments(spark, sf), ["stream"], "segment", MANIFEST)
+
+
+@query("run_manifest", CHAIN_SQL + """, m AS (SELECT '{"config":{"registry":"7","shards":"4"},"factors":["f1","f2"],"inputs":[' || string_agg('{"chain":"' || chain || '","segments":"' || segments || '","stream":"' || stream || '"}', ',' ORDER BY chain) || '],"rules":["drop"]}' AS manifest FROM h) SELECT manifest, sha256(manifest) AS run_id FROM m""")
 def _(spark, sf):
-    g = raw(spark, sf).groupBy(F.expr("seq div 1000").alias("segment")).agg(F.count("*").alias("n"), F.min("seq").alias("f"))
-    body = F.to_json(F.struct(F.col("segment").cast("string").alias("segment"), F.col("n").cast("string").alias("records"), F.col("f").cast("string").alias("first_seq")))
-    return g.select("segment", body.alias("manifest"))
+    return L.run_manifest(L.manifest_chain(_segments(spark, sf), ["stream"], "segment", MANIFEST), {"shards": 4, "registry": 7}, ["f2", "f1"], ["drop"])

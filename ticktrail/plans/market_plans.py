@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.bits import BIT
 from ..functions.fixed import div
 from ..operators import market as M
+from ..operators.frontier import idle_frontiers, released
 from ..operators.ordered import prefix
 from .base import query, raw, table
 
@@ -178,8 +179,18 @@ def _(spark, sf):
     return g.select("n_regionkey", F.size("st").cast("long").alias("entries"), F.size(F.array_distinct(ids)).cast("long").alias("distinct_entries"), F.forall("st", lambda x: x["status"] == 0).alias("accepted"))
 
 
-@query("safe_frontier", "m AS (SELECT stream, max(recv_ns) AS top FROM raw WHERE seq % 10 <> 0 GROUP BY stream), f AS (SELECT min(top) AS frontier FROM m) SELECT stream, count(*) AS released, max(recv_ns) AS released_to FROM raw, f WHERE recv_ns <= frontier GROUP BY stream")
+@query("safe_frontier", """s AS (SELECT stream, recv_ns + 1000000000 AS now_ns, qty % 5 <> 0 AND qty % 7 <> 0 AND qty % 11 <> 0 AND price % 13 <> 0 AS idle FROM raw WHERE seq % 10 = 0),
+i AS (SELECT stream, max(now_ns) FILTER (WHERE idle) AS idle_to FROM s GROUP BY stream), e AS (SELECT * FROM raw WHERE seq % 10 <> 0),
+b AS (SELECT stream, greatest(top, idle_to) AS bound FROM (SELECT stream, max(recv_ns) AS top FROM e GROUP BY stream) FULL JOIN i USING (stream)),
+l AS (SELECT x.stream, min(y.bound) AS until, count(y.bound) AS n FROM b x JOIN b y ON x.stream <> y.stream GROUP BY x.stream)
+SELECT stream, count(*) AS released, max(recv_ns) AS released_to FROM e JOIN l USING (stream) WHERE recv_ns <= until AND n = 3 GROUP BY stream""")
 def _(spark, sf):
     d = raw(spark, sf)
-    f = d.where("seq % 10 <> 0").groupBy("stream").agg(F.max("recv_ns").alias("top")).agg(F.min("top").alias("frontier"))
-    return d.join(F.broadcast(f), F.col("recv_ns") <= F.col("frontier")).groupBy("stream").agg(F.count("*").alias("released"), F.max("recv_ns").alias("released_to"))
+    off = lambda e: F.when(F.expr(e), 1).otherwise(0)
+    samples = d.where("seq % 10 = 0").select(
+        "stream", (F.col("recv_ns") + 1_000_000_000).alias("now_ns"), F.when(F.expr("price % 13 = 0"), "DISCONNECTED").otherwise("HEALTHY").alias("state"), F.col("seq").alias("captured"),
+        F.col("seq").alias("appended"), (F.col("seq") - off("qty % 5 = 0")).alias("processed"), F.lit(0).alias("inflight"), (F.col("seq") + off("qty % 7 = 0")).alias("captured_again"),
+        F.col("seq").alias("appended_again"), off("qty % 11 = 0").alias("inflight_again"),
+    )
+    out = released(d.where("seq % 10 <> 0"), idle_frontiers(samples, "stream"), "stream", "recv_ns", [0, 1, 2, 3])
+    return out.groupBy("stream").agg(F.count("*").alias("released"), F.max("recv_ns").alias("released_to"))
