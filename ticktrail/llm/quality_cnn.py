@@ -1,13 +1,14 @@
 """Quality classifier: a byte-level convolutional network in numpy.
 
-A byte is embedded in EMBED numbers; filters WIDTH bytes wide move STRIDE bytes at a time over overlapping
-chunks that together cover the whole document. Each filter is max-pooled over a chunk; the largest,
+A byte is embedded in EMBED numbers; filters WIDTH bytes wide move over overlapping chunks that together cover the
+whole document: STRIDE bytes at a time at one alignment, and features are pooled over all alignments, so that a byte
+more at a text's front moves no feature much. Each filter is max-pooled over a chunk; the largest,
 mean and smallest of a document's chunk maxima feed one logistic output. As WIDTH is twice STRIDE, a filter is two
 half filters applied to neighbouring blocks, so a chunk's convolution is one matrix product and nothing
 is copied for the overlap.
 
 Training is on the driver, on at most ``max_rows`` labelled documents, each with its whole text: filters learn
-from every chunk, and the output layer is fitted to the features that scoring computes. The driver's memory
+from every chunk at one alignment, and the output layer is fitted to the features that scoring computes. The driver's memory
 goes by those rows' texts. Scoring reads every byte of every text, batch by batch, and shuffles nothing. Null and empty texts are one chunk of padding and get the score that the
 network gives it. Repeated rows are scored each; of rows that repeat an id training takes one. Without labels every score is 0.5.
 """
@@ -25,6 +26,7 @@ from .common import by_batch, hash_sample, label_ids, one_row_an_id, remainder,
 EMBED, STRIDE, WIDTH = 8, 6, 12
 CHUNK = 510  # bytes; a multiple of STRIDE
 PER = CHUNK // STRIDE  # filter positions of a chunk
+SHIFTS = range(STRIDE)  # alignments of the filters: pooled over all, they step one byte at a time
 PIECE = 64  # chunks whose products training holds at once
 
 
@@ -68,18 +70,26 @@ class Cnn:
     def halves(self, blocks: np.ndarray) -> np.ndarray:
         return self.emb[blocks].reshape(len(blocks), -1) @ self.w
 
-    def pooled(self, data: bytes, pieces: int = 4096) -> np.ndarray:
-        """summary() of the document's chunks. A chunk
-        starts every CHUNK bytes and ends a filter's width into the next, so chunks overlap."""
-        blocks, f, per = blocks_of(data), self.filters, CHUNK // STRIDE
+    def tops(self, data: bytes, pieces: int = 4096) -> np.ndarray:
+        """Each filter's maximum over each chunk, at one alignment. A chunk starts every CHUNK bytes and ends a filter's
+        width into the next, so chunks overlap."""
+        blocks, f = blocks_of(data), self.filters
         tops = []
-        pieces = pieces // per * per
+        pieces = pieces // PER * PER
         for at in range(0, max(1, len(blocks) - 1), pieces):
             h = self.halves(blocks[at : at + pieces + 1])
             z = h[:-1, :f] + h[1:, f:]
-            tops.append(np.maximum.reduceat(z, np.arange(0, len(z), per), axis=0))
-        top = np.maximum(np.concatenate(tops) + self.b, 0)
-        return summary(top)
+            tops.append(np.maximum.reduceat(z, np.arange(0, len(z), PER), axis=0))
+        return np.concatenate(tops)
+
+    def pooled(self, data: bytes) -> np.ndarray:
+        """summary() of the document's chunks, each filter at its best over SHIFTS."""
+        top = self.tops(data)
+        for shift in SHIFTS[1:]:
+            if len(data) >= shift + WIDTH:
+                more = self.tops(data[shift:])
+                np.maximum(top[: len(more)], more, out=top[: len(more)])
+        return summary(np.maximum(top + self.b, 0))
 
     def score(self, data: bytes) -> float:
         z = float((self.pooled(data) - self.mu) / self.sd @ self.v + self.c)
