@@ -4,6 +4,7 @@ import random
 import time
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -121,6 +122,26 @@ def test_faults_keep_their_promises(spark):
     assert all(abs(straight.index((r.seq, r.copy)) - (r.new_seq - 1)) < 8 for r in got)
 
 
+def test_chunks_reorder_together_as_each_alone(spark):
+    """A frame holds many chunks, the last one short; each is shuffled as if it were alone."""
+    for n, window, base in ((1, 4, 0), (3, 4, 8), (50, 4, 8), (64, 16, 0), (65, 16, 32), (20, 30, 0)):
+        pdf = pd.DataFrame({"x": np.arange(n) * 3, "new_seq": np.arange(n) + base + 1}).sample(frac=1, random_state=1)
+        want = []
+        for start in range(0, n, window):
+            own = list(range(start, min(n, start + window)))
+            for left in range(len(own), 1, -1):
+                pick = int(hashing.stable_draw(5, (base + start) // window, faults.REORDER, left)[0]) % left
+                own[left - 1], own[pick] = own[pick], own[left - 1]
+            want += [3 * i for i in own]
+        got = faults.reordered(pdf, 5, window)
+        assert got["x"].tolist() == want and got["new_seq"].tolist() == list(range(base + 1, base + n + 1))
+    d = spark.range(40_000).select(F.when(F.col("id") < 500, None).otherwise(F.lit(1)).alias("stream"), F.col("id").alias("seq"), F.col("id").alias("price"))
+    got = faults.transform(d, ["stream"], "seq", "price", faults.FaultRule(seed=5, reorder_window=16)).toPandas()
+    for _, own in got.groupby("stream", dropna=False):
+        straight = pd.DataFrame({"seq": sorted(own["seq"]), "new_seq": np.arange(len(own)) + 1})
+        assert own.sort_values("new_seq")["seq"].tolist() == faults.reordered(straight, 5, 16)["seq"].tolist()
+
+
 def test_injected_logs_are_sound_and_apart(spark, tmp_path):
     d = replay.positions(base.raw(spark, SF)).where("stream < 2")
     rule, path = faults.FaultRule(seed=2, drop_one_in=6, duplicate_one_in=4, copies=2, mutate_one_in=3, xor_mask=5, reorder_window=8), str(tmp_path / "run")

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -15,6 +16,8 @@ from ..operators.ordered import prefix
 
 #: The purposes of draws.
 DROP, DUPLICATE, MUTATE, REORDER = 0x64726F705F763031, 0x6475706C5F763031, 0x6D7574615F763031, 0x72656F72645F7631
+#: Rows that are reordered together; a longer chunk is a group of its own.
+GROUP = 16_384
 
 
 @dataclass(frozen=True)
@@ -38,6 +41,24 @@ def dropped(df: DataFrame, keys: Sequence[str], order: str, rule: FaultRule) ->
     return numbered(df, keys, order).where(selected(F.col("ordinal"), rule.seed, DROP, rule.drop_one_in))
 
 
+def reordered(pdf: pd.DataFrame, seed: int, window: int) -> pd.DataFrame:
+    """pdf, whole chunks of one namespace of ``window`` consecutive new_seq each (the last may be shorter), with each chunk's
+    rows shuffled. Swaps go from a chunk's end down, in all chunks at once; a draw goes by the chunk's number and the rows not yet placed."""
+    pdf = pdf.sort_values("new_seq")
+    place, first = np.arange(len(pdf)), np.arange(0, len(pdf), window)
+    chunk = (int(pdf["new_seq"].iloc[0]) - 1) // window + np.arange(len(first))
+    left = np.arange(min(window, len(pdf)), 1, -1)
+    draws = stable_draw(seed, chunk[:, None], REORDER, left[None, :]) % left.astype(np.uint64)
+    long = np.minimum(window, len(pdf) - first)
+    for i, n in enumerate(left):
+        k = len(first) - int(long[-1] < n)  # only the last chunk can be short
+        a, b = first[:k] + n - 1, first[:k] + draws[:k, i].astype(np.int64)
+        place[a], place[b] = place[b], place[a]
+    out = pdf.iloc[place].copy()
+    out["new_seq"] = pdf["new_seq"].to_numpy()
+    return out
+
+
 def transform(df: DataFrame, keys: Sequence[str], order: str, value: str, rule: FaultRule) -> DataFrame:
     """df's rows after the faults, with ordinal, copy and new_seq (from 1 in each namespace)."""
     d = numbered(df, keys, order)
@@ -48,18 +69,7 @@ def transform(df: DataFrame, keys: Sequence[str], order: str, value: str, rule:
     d = d.withColumn("__at", F.col("ordinal") * (rule.copies + 1) + F.col("copy"))
     d = prefix(d, keys, "__at", {"new_seq": ("sum", F.lit(1).cast("long"))})
     if rule.reorder_window > 1:
-        d = d.withColumn("__chunk", F.expr(f"(new_seq - 1) div {rule.reorder_window}"))
-
-        def shuffle(pdf):
-            """Swaps from the chunk's end down; a draw goes by the chunk's number and the rows not yet placed."""
-            pdf = pdf.sort_values("new_seq")
-            place, chunk = np.arange(len(pdf)), int(pdf["__chunk"].iloc[0])
-            left = np.arange(len(pdf), 1, -1)
-            for n, pick in zip(left, stable_draw(rule.seed, chunk, REORDER, left) % left.astype(np.uint64)):
-                place[[n - 1, int(pick)]] = place[[int(pick), n - 1]]
-            out = pdf.iloc[place].copy()
-            out["new_seq"] = pdf["new_seq"].to_numpy()
-            return out
-
-        d = d.groupBy(*keys, "__chunk").applyInPandas(shuffle, d.schema).drop("__chunk")
+        rows = max(1, GROUP // rule.reorder_window) * rule.reorder_window  # whole chunks
+        d = d.withColumn("__group", F.expr(f"(new_seq - 1) div {rows}"))
+        d = d.groupBy(*keys, "__group").applyInPandas(lambda pdf: reordered(pdf, rule.seed, rule.reorder_window), d.schema).drop("__group")
     return d.drop("__at")
