@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ticktrail.functions import bits, fixed, hashing
 from ticktrail.operators import control, factors, lake, market, ordered, replay
-from ticktrail.plans import base, control_plans
+from ticktrail.plans import base, catalog, control_plans
 from ticktrail.sources import faults, injected, rawlog, sinks, synth
 from ticktrail.streaming import session_stream
 
@@ -406,3 +406,18 @@ def test_metrics_are_replaced_whole(spark, tmp_path):
     finally:
         spark.streams.removeListener(listener)
     assert 'ticktrail_input_rows{query="counted"} 5' in at.read_text() and not (tmp_path / "metrics.txt.part").exists()
+
+
+def test_order_reference_is_dealt_by_rows(spark, tmp_path, monkeypatch):
+    """No broadcast and so many tasks as the rows ask for, whatever the session's setting; null and repeated keys as in SQL."""
+    import duckdb
+
+    monkeypatch.setattr(ordered, "TASK_ROWS", 5)
+    keys = [None, None, 1, 1, 1, 2, 3, 7, 7, *range(20, 60)]
+    spark.createDataFrame([(k, i % 2) for i, k in enumerate(keys)], "l_orderkey long, l_linenumber int").coalesce(1).write.parquet(f"{tmp_path}/lineitem.parquet")
+    spark.createDataFrame([(k,) for k in [None, 1, 1, 2, 7, *range(30, 60)]], "o_orderkey long").coalesce(1).write.parquet(f"{tmp_path}/orders.parquet")
+    got = catalog.QUERIES["order_reference"](spark, str(tmp_path))
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "Broadcast" not in plan and f"hashpartitioning(l_orderkey#{plan.split('hashpartitioning(l_orderkey#')[1].split(',')[0]}, 10)" in plan
+    sql = catalog.ORACLES["order_reference"].replace("FROM lineitem", f"FROM '{tmp_path}/lineitem.parquet/*.parquet'").replace("FROM orders", f"FROM '{tmp_path}/orders.parquet/*.parquet'")
+    assert sorted(map(str, map(tuple, got.collect()))) == sorted(map(str, duckdb.connect().sql(sql).fetchall()))

@@ -12,10 +12,12 @@ from collections.abc import Callable, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 BUCKET = 65_536
+#: Rows of a task where a whole table is dealt by a key.
+TASK_ROWS = 500_000
 
 
 def prefix(df: DataFrame, keys: Sequence[str], order: str, values: dict[str, tuple[str, Column]], inclusive: bool = True, width: int = BUCKET, ties: Sequence[str] = ()) -> DataFrame:
@@ -76,6 +78,12 @@ def scanned(df: DataFrame, keys: Sequence[str], order: str, step: Callable, sche
     return df.repartition(*keys).sortWithinPartitions(*keys, order).mapInPandas(run, schema)
 
 
+def tasks(spark: SparkSession, rows: int) -> int:
+    """Partitions for so many rows: about TASK_ROWS each whatever the session's setting, so that what sorts and hash maps
+    of a task hold doesn't grow with the table."""
+    return max(spark.sparkContext.defaultParallelism, -(-rows // TASK_ROWS))
+
+
 def previous(df: DataFrame, keys: Sequence[str], order: str, cols: Sequence[str], width: int = BUCKET) -> DataFrame:
     """df plus prev, a struct of ``cols`` of the row before."""
     return prefix(df, keys, order, {"prev": ("last", F.struct(*cols))}, inclusive=False, width=width)

@@ -9,7 +9,7 @@ from ..functions.bits import BIT
 from ..functions.fixed import div
 from ..operators import market as M
 from ..operators.frontier import idle_frontiers, released
-from ..operators.ordered import prefix
+from ..operators.ordered import prefix, tasks
 from .base import query, raw, table
 
 ACTION = "CASE qty % 4 WHEN 0 THEN 'A' WHEN 1 THEN 'D' WHEN 2 THEN 'T' ELSE 'S' END"
@@ -150,7 +150,10 @@ def _(spark, sf):
 @query("order_reference", "SELECT l_orderkey, l_linenumber, count(*) AS rows, max(o_orderkey) IS NOT NULL AS known FROM lineitem LEFT JOIN (SELECT * FROM orders WHERE o_orderkey % 7 <> 0) o ON l_orderkey = o_orderkey GROUP BY ALL", with_raw=False)
 def _(spark, sf):
     o = table(spark, sf, "orders").where("o_orderkey % 7 <> 0").select("o_orderkey")
-    d = table(spark, sf, "lineitem").join(o, F.col("l_orderkey") == F.col("o_orderkey"), "left")
+    li = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber")
+    n = tasks(spark, li.count())
+    # Both sides dealt by order: the join and the groups, nearly as many as rows, need no more; a broadcast would hold all orders in every executor.
+    d = li.repartition(n, "l_orderkey").join(o.repartition(n, "o_orderkey").hint("merge"), F.col("l_orderkey") == F.col("o_orderkey"), "left")
     return d.groupBy("l_orderkey", "l_linenumber").agg(F.count("*").alias("rows"), F.max("o_orderkey").isNotNull().alias("known"))
 
 
