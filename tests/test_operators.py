@@ -421,3 +421,33 @@ def test_order_reference_is_dealt_by_rows(spark, tmp_path, monkeypatch):
     assert "Broadcast" not in plan and f"hashpartitioning(l_orderkey#{plan.split('hashpartitioning(l_orderkey#')[1].split(',')[0]}, 10)" in plan
     sql = catalog.ORACLES["order_reference"].replace("FROM lineitem", f"FROM '{tmp_path}/lineitem.parquet/*.parquet'").replace("FROM orders", f"FROM '{tmp_path}/orders.parquet/*.parquet'")
     assert sorted(map(str, map(tuple, got.collect()))) == sorted(map(str, duckdb.connect().sql(sql).fetchall()))
+
+
+@pytest.mark.parametrize("limit", [0, 4, 500_000])
+def test_sequence_guard_by_brute_force(spark, monkeypatch, limit):
+    """Scopes finished in one task, in buckets, and both at once give the same rows, also for a null scope."""
+    monkeypatch.setattr(control, "SCOPE_ROWS", limit)
+    rng = random.Random(4)
+    rows = [(k, rng.randrange(40), i, rng.randrange(1, 7), rng.choice("ab")) for k, n in ((None, 3), (1, 2), (2, 30), (3, 1), (4, 12)) for i in range(n)]
+    want = set()
+    for k in {r[0] for r in rows}:
+        top, seen, poisoned = None, {}, False
+        for _, at, tie, s, p in sorted((r for r in rows if r[0] == k), key=lambda r: r[1:3]):
+            if s in seen:
+                verdict = "EXACT_DUPLICATE" if seen[s] == p else "CONFLICT_DUPLICATE"
+            else:
+                verdict = "FIRST_OBSERVED" if top is None else "CONTIGUOUS" if s == top + 1 else "FORWARD_GAP" if s > top + 1 else "BACKWARD"
+            poisoned = poisoned or verdict in ("CONFLICT_DUPLICATE", "BACKWARD")
+            want.add((k, at, tie, s, p, verdict, s - top - 1 if verdict == "FORWARD_GAP" else 0, poisoned))
+            seen.setdefault(s, p)
+            top = s if top is None else max(top, s)
+    d = spark.createDataFrame(rows, "k long, at long, tie long, s long, p string")
+    got = [tuple(r) for r in control.sequence_guard(d, ["k"], ["at", "tie"], "s", F.col("p"), width=8).collect()]
+    assert len(got) == len(rows) and set(got) == want
+
+
+@pytest.mark.parametrize("name, most", [("seq_guard", 1), ("seq_gaps", 1)])
+def test_the_guard_moves_rows_once(spark, name, most):
+    """One exchange for all windows; the counts by verdict add one of a few rows."""
+    got = catalog.QUERIES[name](spark, SF)
+    assert got._jdf.queryExecution().executedPlan().toString().count("Exchange ") == most
