@@ -446,7 +446,7 @@ def test_sequence_guard_by_brute_force(spark, monkeypatch, limit):
     assert len(got) == len(rows) and set(got) == want
 
 
-@pytest.mark.parametrize("name, most", [("seq_guard", 1), ("seq_gaps", 1)])
+@pytest.mark.parametrize("name, most", [("seq_guard", 1), ("seq_gaps", 1), ("poisoned_scopes", 2)])
 def test_the_guard_moves_rows_once(spark, name, most):
     """One exchange for all windows; the counts by verdict add one of a few rows."""
     got = catalog.QUERIES[name](spark, SF)

@@ -46,7 +46,8 @@ def _(spark, sf):
 
 @query("poisoned_scopes", GUARD + " SELECT verdict, count(*) AS rows, count(*) FILTER (WHERE poisoned) AS poisoned_rows, count(DISTINCT scope) AS scopes FROM z GROUP BY verdict", with_raw=False)
 def _(spark, sf):
-    return _guard(spark, sf).groupBy("verdict").agg(F.count("*").alias("rows"), F.count_if("poisoned").alias("poisoned_rows"), F.countDistinct("scope").alias("scopes"))
+    d = _guard(spark, sf).groupBy("scope", "verdict").agg(F.count("*").alias("rows"), F.count_if("poisoned").alias("poisoned_rows"))  # where the guard left a scope's rows
+    return d.groupBy("verdict").agg(F.sum("rows").alias("rows"), F.sum("poisoned_rows").alias("poisoned_rows"), F.count("scope").alias("scopes"))
 
 
 QUAL = "CAST((CASE WHEN kind = 'error' THEN {a} ELSE 0 END) + (CASE WHEN qty = 0 THEN {b} ELSE 0 END) + (CASE WHEN price < 100 THEN {c} ELSE 0 END) + (CASE WHEN seq % 50 = 0 THEN {d} ELSE 0 END) AS BIGINT)".format(a=BIT["SOURCE_DISCONNECTED"], b=BIT["NULL_VALUE_PRESENT"], c=BIT["SNAPSHOT_STALE"], d=BIT["VENDOR_SEQUENCE_GAP"])
